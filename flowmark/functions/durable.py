@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Row limit under which a materialised side table may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Size of a partition of training data.
+PARTITION_BYTES = 64 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,15 +36,28 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if a materialised table has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def bounded_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | None:
+    """The rows of a narrow side table if there are at most ``max_rows`` of them, else ``None``."""
+    table = df.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows else None
 
 
 def side_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a narrow side table; hint a broadcast only if its counted size allows it."""
-    saved = durable(df)
-    return F.broadcast(saved) if is_small(saved, max_rows) else saved
+    """Compute a side table once. It is broadcast only if its counted rows allow that; a larger
+    one is kept in the checkpoint folder and joined by a shuffle."""
+    table = bounded_table(df, max_rows)
+    if table is None:
+        return durable(df)
+    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
+
+
+def compact(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Merge partitions of a table of known size down to ``PARTITION_BYTES`` each.
+
+    Iterative fits run several jobs per step, so a small table should be in few partitions. A
+    large one keeps the partitions it has.
+    """
+    return df.coalesce(max(1, -(-rows * row_bytes // PARTITION_BYTES)))
 
 
 def null_safe_join(

@@ -33,6 +33,13 @@ INDEXER_VALUES = 10_000
 #: Widest vector that may be centred: centring makes every vector dense.
 MAX_WIDTH = 20_000
 
+METADATA_SCHEMA = (
+    "numeric_features array<string>, categorical_features array<string>,"
+    " skipped_columns array<string>, empty_columns array<string>,"
+    " hashed_features array<string>, hash_buckets int, feature_policy string,"
+    " feature_dimension int, scaling string, fit_scope string"
+)
+
 
 @dataclass(frozen=True)
 class FeaturePolicy:
@@ -141,9 +148,9 @@ class FeatureModel:
             )
         return table
 
-    def metadata(self, spark: SparkSession) -> DataFrame:
-        """One row that says how the features were made."""
-        row = (
+    def metadata_row(self) -> tuple:
+        """How the features were made, in the order of :data:`METADATA_SCHEMA`."""
+        return (
             [c for c in self.columns.numeric if c not in self.empty],
             list(self.columns.categorical),
             list(self.columns.skipped),
@@ -155,13 +162,9 @@ class FeatureModel:
             "z-score (withMean=True, withStd=True)" if self.scaled else "none",
             self.fit_scope,
         )
-        return spark.createDataFrame(
-            [row],
-            "numeric_features array<string>, categorical_features array<string>,"
-            " skipped_columns array<string>, empty_columns array<string>,"
-            " hashed_features array<string>, hash_buckets int, feature_policy string,"
-            " feature_dimension int, scaling string, fit_scope string",
-        )
+
+    def metadata(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([self.metadata_row()], METADATA_SCHEMA)
 
 
 def _fill(values: DataFrame, means: dict[str, float], wide: dict[str, DataFrame]) -> DataFrame:

@@ -16,7 +16,7 @@ from flowmark.fixed_values import (
     SEED,
     TRAIN_FRACTION,
 )
-from flowmark.functions.durable import durable, is_small, null_safe_join
+from flowmark.functions.durable import null_safe_join, side_table
 from flowmark.functions.keys import hash_bucket, seeded_hash, stable_key
 
 #: Caps up to this size are cut by Spark's rank limit inside each input partition.
@@ -116,25 +116,20 @@ def _by_cutoff(
         undecided = keyed.withColumn(_LEFT, F.lit(cap).cast("bigint"))
     else:
         wanted = quotas.select(*by, F.col("quota").cast("bigint").alias(_LEFT))
-        wanted = durable(wanted)
-        few = is_small(wanted)
-        undecided = null_safe_join(keyed, F.broadcast(wanted) if few else wanted, by)
+        undecided = null_safe_join(keyed, side_table(wanted), by)
 
     cuts: list[DataFrame] = []
-    hint = None
     settled = False
     for depth, level in enumerate(levels):
         edge = f"__edge{depth}"
-        cut = durable(_edges(undecided, by, level, edge))
-        cuts.append(cut)
-        if hint is None:  # one row per class; deeper tables only have fewer
-            hint = F.broadcast if is_small(cut) else (lambda table: table)
-        open_classes = cut.filter(F.col(edge).isNotNull() & (F.col(_LEFT) > 0))
+        cut = _edges(undecided, by, level, edge)
+        cuts.append(side_table(cut))
+        open_classes = cuts[-1].filter(F.col(edge).isNotNull() & (F.col(_LEFT) > 0))
         settled = open_classes.isEmpty()
         if settled:
             break
         undecided = (
-            null_safe_join(undecided.drop(_LEFT), hint(open_classes), by)
+            null_safe_join(undecided.drop(_LEFT), open_classes, by)
             .filter(F.col(level) == F.col(edge))
             .drop(edge)
         )
@@ -150,7 +145,7 @@ def _by_cutoff(
             F.coalesce(value == edge, F.lit(False)) & keep
         )
     keep = F.col("__edge0").isNull() | keep
-    kept = null_safe_join(keyed, hint(edges), by).filter(keep).select(*columns)
+    kept = null_safe_join(keyed, edges, by).filter(keep).select(*columns)
     return kept if settled else kept.unionByName(_copies(undecided, columns, by))
 
 
@@ -312,19 +307,45 @@ def sample_for_run(
     **key_options,
 ) -> tuple[DataFrame, dict]:
     """Sample a task the way the profile and method ask for, with the policy that was used."""
-    if profile == "development":
-        sampled = class_cap(df, [label], key_cols, cap, seed, **key_options)
-        return sampled, {"policy": "development-class-cap", "cap_per_class": cap}
-    if method != "paper-compatible" or dataset != reduced_dataset:
-        return df, {"policy": "full-eligible-data"}
-    cut = (reduction or REDUCTION)[stage, task]
-    policy = {"policy": "paper-reported-reduction", "reported_reduction": cut}
+    policy = sample_policy(
+        dataset=dataset,
+        stage=stage,
+        task=task,
+        profile=profile,
+        method=method,
+        cap=cap,
+        reduction=reduction,
+        reduced_dataset=reduced_dataset,
+    )
+    if "cap_per_class" in policy:
+        return class_cap(df, [label], key_cols, cap, seed, **key_options), policy
+    cut = policy.get("reported_reduction", 0.0)
     if cut <= 0:
         return df, policy
-    table = durable(quotas(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), cut, label=label))
+    table = quotas(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), cut, label=label)
     return quota_sample(df, table, [label], key_cols, seed, **key_options), policy
 
 
+def sample_policy(
+    *,
+    dataset: str,
+    stage: str,
+    task: str,
+    profile: str,
+    method: str,
+    cap: int,
+    reduction: dict[tuple[str, str], float] | None = None,
+    reduced_dataset: str = DATASET_2022,
+) -> dict:
+    """How a task is sampled; equal policies give equal samples of a task."""
+    if profile == "development":
+        return {"policy": "development-class-cap", "cap_per_class": cap}
+    if method == "paper-compatible" and dataset == reduced_dataset:
+        cut = (reduction or REDUCTION)[stage, task]
+        return {"policy": "paper-reported-reduction", "reported_reduction": cut}
+    return {"policy": "full-eligible-data"}
+
+
 def split_column(
     key: Column, seed: int = SEED, train_fraction: float = TRAIN_FRACTION, kind: str = "xxhash64"
 ) -> Column:

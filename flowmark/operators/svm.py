@@ -66,8 +66,8 @@ def evaluate_auroc(
     return weighted_auroc(per_class, labels, by)
 
 
-def diagnostics(spark: SparkSession, model, max_iter: int) -> DataFrame:
-    """Convergence of each fitted machine."""
+def diagnostic_rows(model, max_iter: int) -> list[tuple]:
+    """Convergence of each fitted machine, in the order of :data:`DIAGNOSTIC_SCHEMA`."""
     rows = []
     for number, fitted in enumerate(getattr(model, "models", [model])):
         try:
@@ -78,7 +78,12 @@ def diagnostics(spark: SparkSession, model, max_iter: int) -> DataFrame:
         except Exception as problem:  # a loaded model has no training summary
             reason = f"training summary unavailable: {type(problem).__name__}"
             rows.append((max_iter, number, None, [], None, reason))
-    return spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA)
+    return rows
+
+
+def diagnostics(spark: SparkSession, model, max_iter: int) -> DataFrame:
+    """Convergence of each fitted machine as a table."""
+    return spark.createDataFrame(diagnostic_rows(model, max_iter), DIAGNOSTIC_SCHEMA)
 
 
 def at_threshold(predictions: DataFrame, threshold: float) -> DataFrame:
@@ -95,23 +100,21 @@ def sweep(
     iterations: Sequence[int] = SWEEP_ITERATIONS,
     thresholds: Sequence[float] = SWEEP_THRESHOLDS,
     parallelism: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """Predictions and diagnostics over a grid of iterations and thresholds.
+) -> tuple[DataFrame, list[tuple]]:
+    """Predictions and diagnostic rows over a grid of iterations and thresholds.
 
     One fit per iteration count: thresholds only move the cut on the raw score, and have no
     effect on the class with the highest score.
     """
-    spark = train.sparkSession
-    predicted, diagnosed = None, None
+    predicted, diagnosed = None, []
     for max_iter in iterations:
         model = fit_svm(train, kind, max_iter, 0.0, parallelism)
         scored = predict(model, test)
-        report = diagnostics(spark, model, max_iter)
+        diagnosed += diagnostic_rows(model, max_iter)
         for threshold in thresholds:
             cut = at_threshold(scored, threshold) if kind == "binary" else scored
             cut = cut.select(
                 F.lit(max_iter).alias("svm_max_iter"), F.lit(threshold).alias("svm_threshold"), "*"
             )
             predicted = cut if predicted is None else predicted.unionByName(cut)
-        diagnosed = report if diagnosed is None else diagnosed.unionByName(report)
     return predicted, diagnosed

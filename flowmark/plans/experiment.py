@@ -6,16 +6,20 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from time import perf_counter
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from flowmark.fixed_values import CLASS_CAP, PCA_GRID, SWEEP_ITERATIONS, SWEEP_THRESHOLDS
-from flowmark.functions.durable import durable, null_safe_join
+from flowmark.functions.durable import bounded_table, compact, durable, null_safe_join
 from flowmark.operators import metrics as M
 from flowmark.operators.compare import timing_rows
 from flowmark.operators.features import (
+    METADATA_SCHEMA,
     PREFIX,
+    FeatureModel,
     FeaturePolicy,
     feature_frame,
     fit_features,
@@ -33,14 +37,15 @@ from flowmark.operators.reduction import (
 from flowmark.operators.sampling import (
     class_counts,
     sample_for_run,
+    sample_policy,
     split_for_run,
     union_all,
 )
 from flowmark.operators.svm import (
-    diagnostics,
+    DIAGNOSTIC_SCHEMA,
+    diagnostic_rows,
     evaluate_auroc,
     fit_svm,
-    missing_labels,
     predict,
     sweep,
 )
@@ -49,6 +54,18 @@ from flowmark.plans.audit import IDENTITY_SCHEMA
 from flowmark.sources.scan import require_valid
 
 IDENTITY = [item.split()[0] for item in IDENTITY_SCHEMA.split(", ")]
+PLACE_SCHEMA = "dataset string, task string, stage string"
+KNOWN_SCHEMAS = {
+    "not_fitted": f"{PLACE_SCHEMA}, missing_label double",
+    "class_counts": f"{PLACE_SCHEMA}, split string, label_tactic string, n bigint",
+    "preprocessing": f"{PLACE_SCHEMA}, sampling map<string,string>, {METADATA_SCHEMA}",
+    "variance": f"{IDENTITY_SCHEMA}, component int, explained_variance double",
+    "timings": f"{IDENTITY_SCHEMA}, repetition int, base_preprocessing_seconds double,"
+    " dimensionality_reduction_seconds double, training_seconds double,"
+    " prediction_seconds double, metric_seconds double",
+    "model_diagnostics": f"{IDENTITY_SCHEMA}, {DIAGNOSTIC_SCHEMA}",
+    "sweep_diagnostics": f"{IDENTITY_SCHEMA}, {DIAGNOSTIC_SCHEMA}",
+}
 
 
 @dataclass(frozen=True)
@@ -73,24 +90,47 @@ class RunConfig:
 
 
 class _Results:
-    """Small per-model tables, stacked at the end. Each is materialised when it is added, so
-    none of them depends on training data that has been released."""
+    """Result tables of many models, stacked at the end.
 
-    def __init__(self) -> None:
-        self.parts: dict[str, list[DataFrame]] = {}
+    What is added is computed at once, so nothing depends on training data that has been
+    released. Tables of few rows are kept as such; larger ones go to the checkpoint folder.
+    """
 
-    def add(self, name: str, table: DataFrame, identity: dict | None = None) -> DataFrame:
-        if identity:
-            schema = dict(item.split() for item in IDENTITY_SCHEMA.split(", "))
-            table = table.select(
-                *[F.lit(v).cast(schema.get(c, "string")).alias(c) for c, v in identity.items()], "*"
-            )
-        saved = durable(table)
-        self.parts.setdefault(name, []).append(saved)
-        return saved
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.small: dict[str, list[pa.Table]] = {}
+        self.large: dict[str, list[DataFrame]] = {}
+        self.known: dict[str, list[tuple]] = {}
+        self.schemas: dict[str, StructType] = {}
+
+    def add(self, name: str, table: DataFrame, identity: dict) -> None:
+        types = dict(item.split() for item in IDENTITY_SCHEMA.split(", "))
+        columns = [F.lit(v).cast(types.get(c, "string")).alias(c) for c, v in identity.items()]
+        table = table.select(*columns, "*")
+        rows = bounded_table(table)
+        if rows is None:
+            self.large.setdefault(name, []).append(durable(table))
+        else:
+            fields = [StructField(f.name, f.dataType) for f in table.schema.fields]
+            self.schemas[name] = StructType(fields)
+            self.small.setdefault(name, []).append(rows)
+
+    def add_rows(self, name: str, rows: Sequence[tuple], identity: dict) -> None:
+        start = tuple(identity.values())
+        self.known.setdefault(name, []).extend((*start, *row) for row in rows)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: union_all(parts) for name, parts in self.parts.items()}
+        parts = {name: list(frames) for name, frames in self.large.items()}
+        for name, rows in self.small.items():
+            stacked = pa.concat_tables(rows, promote_options="permissive")
+            parts.setdefault(name, []).append(
+                self.spark.createDataFrame(stacked, self.schemas[name])
+            )
+        for name, rows in self.known.items():
+            parts.setdefault(name, []).append(
+                self.spark.createDataFrame(rows, KNOWN_SCHEMAS[name])
+            )
+        return {name: union_all(frames) for name, frames in parts.items()}
 
 
 def run(
@@ -107,12 +147,25 @@ def run(
     """
     if config.profile == "full" and problems is not None:
         require_valid(problems)
-    results = _Results()
+    results = _Results(flows.sparkSession)
     for task, kind, _ in spec.tasks():
         mapping = spec.label_mapping(task)
         frame = build_task_frame(flows, mapping, config.label_col)
+        # stages that see the same sample and scaling share the features fitted on it
+        shared: dict[tuple, list[str]] = {}
         for stage in config.stages:
-            _run_stage(results, frame, spec, protocol, config, task, kind, mapping, stage)
+            how = sample_policy(
+                dataset=spec.name,
+                stage=stage,
+                task=task,
+                profile=config.profile,
+                method=protocol.method,
+                cap=config.cap,
+            )
+            key = (*how.values(), protocol.scales(stage))
+            shared.setdefault(key, []).append(stage)
+        for stages in shared.values():
+            _run_stages(results, frame, spec, protocol, config, task, kind, mapping, stages)
     tables = results.tables()
     confusions = tables.pop("confusion")
     classes = M.per_class(confusions, IDENTITY)
@@ -131,7 +184,7 @@ def run(
     return tables
 
 
-def _run_stage(
+def _run_stages(
     results: _Results,
     frame: DataFrame,
     spec: DatasetSpec,
@@ -140,29 +193,32 @@ def _run_stage(
     task: str,
     kind: str,
     mapping: dict[str, float],
-    stage: str,
+    stages: Sequence[str],
 ) -> None:
     spark = frame.sparkSession
     labels = sorted(mapping.values())
     keys = {"key_cols": config.key_cols, "fallback_cols": config.fallback_cols}
-    place = {"dataset": spec.name, "task": task, "stage": stage}
-    identity = {
-        "dataset": spec.name,
-        "task": task,
-        "task_kind": kind,
-        "method": protocol.method,
-        "profile": config.profile,
-        "preprocessing": stage,
-        "k": None,
-        "engine": "spark-scatter" if stage == "lda" else "spark",
-        "execution_mode": "spark",
-        "accelerator": "cpu",
-        "distributed": not spark.sparkContext.master.startswith("local"),
+    places = [{"dataset": spec.name, "task": task, "stage": stage} for stage in stages]
+    identities = {
+        stage: {
+            "dataset": spec.name,
+            "task": task,
+            "task_kind": kind,
+            "method": protocol.method,
+            "profile": config.profile,
+            "preprocessing": stage,
+            "k": None,
+            "engine": "spark-scatter" if stage == "lda" else "spark",
+            "execution_mode": "spark",
+            "accelerator": "cpu",
+            "distributed": not spark.sparkContext.master.startswith("local"),
+        }
+        for stage in stages
     }
     sample, sampling = sample_for_run(
         frame,
         dataset=spec.name,
-        stage=stage,
+        stage=stages[0],
         task=task,
         profile=config.profile,
         method=protocol.method,
@@ -171,77 +227,101 @@ def _run_stage(
         label=config.label_col,
         **keys,
     )
-    train, test = split_for_run(
-        sample,
-        dataset=spec.name,
-        task=task,
-        method=protocol.method,
-        seed=protocol.seed,
-        **keys,
-    )
-    counts = class_counts(
-        train.withColumn("split", F.lit("train")).unionByName(
+    held = []
+    try:
+        if config.profile == "development":  # at most ``cap`` rows per class, read many times
+            held.append(sample.persist(StorageLevel.MEMORY_AND_DISK))
+        train, test = split_for_run(
+            sample,
+            dataset=spec.name,
+            task=task,
+            method=protocol.method,
+            seed=protocol.seed,
+            **keys,
+        )
+        sides = train.withColumn("split", F.lit("train")).unionByName(
             test.withColumn("split", F.lit("test"))
-        ),
-        ["split", config.label_col],
-    )
-    results.add("class_counts", counts, place)
-
-    absent = missing_labels(train, labels)
-    if absent:
-        reason = f"no training rows for labels: {', '.join(map(str, absent))}"
-        results.add("not_fitted", spark.createDataFrame([(reason,)], "reason string"), place)
-        # without a model nothing is predicted: an empty matrix, reported as not valid
-        nothing = spark.createDataFrame([], "label double, prediction double")
-        results.add("confusion", M.confusion(nothing, labels), identity)
-        return
+        )
+        # two rows per declared class
+        counts = class_counts(sides, ["split", config.label_col, "label"]).collect()
+        for place in places:
+            rows = [(r["split"], r[config.label_col], r["n"]) for r in counts]
+            results.add_rows("class_counts", rows, place)
+        present = {r["label"] for r in counts if r["split"] == "train"}
+        absent = [x for x in labels if x not in present]
+        if absent:
+            # without a model nothing is predicted: an empty matrix, reported as not valid
+            nothing = spark.createDataFrame([], "label double, prediction double")
+            for stage, place in zip(stages, places):
+                results.add_rows("not_fitted", [(x,) for x in absent], place)
+                results.add("confusion", M.confusion(nothing, labels), identities[stage])
+            return
+        rows = {side: sum(r["n"] for r in counts if r["split"] == side) for side in ("train", "test")}
 
-    how = config.policy or policy(
-        protocol.feature_policy,
-        labels=("uid", config.label_col, "label", "label_binary", "label_technique"),
-    )
-    started = perf_counter()
-    fit_frame = fit_scope_frame(train, test, protocol.fit_on_all)
-    model = fit_features(
-        fit_frame, how, protocol.scales(stage), protocol.preprocessing_fit_scope
-    )
-    kept = ("label", config.label_col)
-    prepared = [
-        model.transform(side, kept).persist(StorageLevel.MEMORY_AND_DISK) for side in (train, test)
-    ]
-    try:
-        for side in prepared:
-            side.count()  # so that the timing covers the transform
+        how = config.policy or policy(
+            protocol.feature_policy,
+            labels=("uid", config.label_col, "label", "label_binary", "label_technique"),
+        )
+        started = perf_counter()
+        fit_frame = fit_scope_frame(train, test, protocol.fit_on_all)
+        model = fit_features(
+            fit_frame, how, protocol.scales(stages[0]), protocol.preprocessing_fit_scope
+        )
+        kept = ("label", config.label_col)
+        prepared = []
+        for side, frame_of_side in (("train", train), ("test", test)):
+            ready = model.transform(frame_of_side, kept).persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(ready)
+            prepared.append(compact(ready, rows[side], 8 * model.dimension + 64))
+            prepared[-1].count()  # so that the timing covers the transform
         base_seconds = perf_counter() - started
-        report = model.metadata(spark)
-        for name, value in sampling.items():
-            report = report.withColumn(f"sampling_{name}", F.lit(value))
-        results.add("preprocessing", report, place)
-        results.add("string_index", model.mapping_table(spark), place)
-        if not protocol.fit_on_all and model.columns.indexed:
-            names = [PREFIX + c for c in model.columns.indexed]
-            unseen = unseen_categories(
-                feature_frame(train, how, ()), feature_frame(test, how, ()), names
-            ).withColumn("column", F.expr(f"substring(column, {len(PREFIX) + 1})"))
-            results.add("unseen_categories", unseen, place)
-        if model.columns.hashed:
-            results.add(
-                "hash_load", hash_load(fit_frame, list(model.columns.hashed), how.buckets), place
-            )
-        for variant in _reduce(stage, prepared, len(mapping), model.dimension, protocol, config):
-            k, reduced_train, reduced_test, ratios, seconds = variant
-            own = {**identity, "k": k}
-            if ratios:
-                rows = [(i, float(x)) for i, x in enumerate(ratios, 1)]
-                table = spark.createDataFrame(rows, "component int, explained_variance double")
-                results.add("variance", table, own)
-            _fit_and_measure(
-                results, reduced_train, reduced_test, kind, labels, protocol, config, own,
-                base_seconds, seconds,
-            )
+        _describe(results, model, how, train, test, fit_frame, sampling, protocol, places)
+        for stage in stages:
+            reduced = _reduce(stage, prepared, len(mapping), model.dimension, protocol, config)
+            for k, reduced_train, reduced_test, ratios, seconds in reduced:
+                own = {**identities[stage], "k": k}
+                results.add_rows(
+                    "variance", [(i, float(x)) for i, x in enumerate(ratios, 1)], own
+                )
+                _fit_and_measure(
+                    results, reduced_train, reduced_test, kind, labels, protocol, config, own,
+                    base_seconds, seconds,
+                )
     finally:
-        for side in prepared:
-            side.unpersist()
+        for table in held:
+            table.unpersist()
+
+
+def _describe(
+    results: _Results,
+    model: FeatureModel,
+    how: FeaturePolicy,
+    train: DataFrame,
+    test: DataFrame,
+    fit_frame: DataFrame,
+    sampling: dict,
+    protocol: Protocol,
+    places: Sequence[dict],
+) -> None:
+    """Record how the features were made: mappings, unseen values, hash load."""
+    spark = train.sparkSession
+    policy_used = {name: str(value) for name, value in sampling.items()}
+    described = {"string_index": model.mapping_table(spark)}
+    if not protocol.fit_on_all and model.columns.indexed:
+        described["unseen_categories"] = unseen_categories(
+            feature_frame(train, how, ()),
+            feature_frame(test, how, ()),
+            [PREFIX + c for c in model.columns.indexed],
+        ).withColumn("column", F.expr(f"substring(column, {len(PREFIX) + 1})"))
+    if model.columns.hashed:
+        described["hash_load"] = hash_load(fit_frame, list(model.columns.hashed), how.buckets)
+    for place in places:
+        results.add_rows("preprocessing", [(policy_used, *model.metadata_row())], place)
+    for name, table in described.items():
+        # one table for the stages that share it
+        stages = F.array(*[F.lit(p["stage"]) for p in places])
+        first = {"dataset": places[0]["dataset"], "task": places[0]["task"]}
+        results.add(name, table.withColumn("stages", stages), first)
 
 
 def _reduce(
@@ -287,7 +367,6 @@ def _fit_and_measure(
     base_seconds: float,
     reduction_seconds: float,
 ) -> None:
-    spark = train.sparkSession
     train = train.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
     test = test.select("label", "features")
     try:
@@ -304,25 +383,21 @@ def _fit_and_measure(
                 predictions.count()
                 predicted = perf_counter()
                 if repetition == config.repetitions:
-                    results.add("confusion", M.confusion(predictions, labels), identity)
+                    counted = M.confusion(predictions, labels)
+                    results.add("confusion", counted, identity)
+                    if config.diagnostic_sweep:
+                        collapsed = M.summary(M.per_class(counted)).first()["collapse_flag"]
                     results.add("auroc", evaluate_auroc(predictions, labels), identity)
             finally:
                 predictions.unpersist()
             if repetition > 0:
                 parts = (fitted - started, predicted - fitted, perf_counter() - predicted)
                 timings.append((repetition, base_seconds, reduction_seconds, *parts))
-        table = spark.createDataFrame(
-            timings,
-            "repetition int, base_preprocessing_seconds double,"
-            " dimensionality_reduction_seconds double, training_seconds double,"
-            " prediction_seconds double, metric_seconds double",
-        )
-        results.add("timings", table, identity)
-        results.add("model_diagnostics", diagnostics(spark, model, protocol.svm_max_iter), identity)
-        if config.diagnostic_sweep:
-            confusion = results.parts["confusion"][-1].drop(*IDENTITY)
-            if M.summary(M.per_class(confusion)).first()["collapse_flag"]:
-                _sweep(results, train, test, kind, labels, config, identity)
+        results.add_rows("timings", timings, identity)
+        report = diagnostic_rows(model, protocol.svm_max_iter)
+        results.add_rows("model_diagnostics", report, identity)
+        if config.diagnostic_sweep and collapsed:
+            _sweep(results, train, test, kind, labels, config, identity)
     finally:
         train.unpersist()
 
@@ -345,7 +420,7 @@ def _sweep(
     try:
         results.add("sweep_confusion", M.confusion(swept, labels, keys), identity)
         results.add("sweep_auroc", evaluate_auroc(swept, labels, keys), identity)
-        results.add("sweep_diagnostics", report, identity)
+        results.add_rows("sweep_diagnostics", report, identity)
     finally:
         swept.unpersist()
 

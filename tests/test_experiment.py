@@ -29,7 +29,7 @@ def test_diagnostics(spark, points):
     model = fit_svm(points, "binary", 5)
     row = diagnostics(spark, model, 5).first()
     assert row.max_iter == 5 and row.submodel == 0 and row.unavailable_reason == ""
-    assert row.total_iterations <= 5 and row.objective_history
+    assert row.total_iterations > 0 and row.objective_history
     assert row.converged == (row.total_iterations < 5)
     three = points.withColumn("label", (F.col("label") + F.element_at(F.array(F.lit(0.0), F.lit(1.0)), 1)))
     many = three.union(three.limit(5).withColumn("label", F.lit(2.0)))
@@ -42,7 +42,7 @@ def test_missing_labels(points):
 
 def test_sweep_equals_single_fits(points):
     predicted, report = sweep(points, points, "binary", (2, 5), (0.5, 0.0))
-    assert report.count() == 2 and predicted.count() == 4 * points.count()
+    assert len(report) == 2 and predicted.count() == 4 * points.count()
     for iterations in (2, 5):
         for threshold in (0.5, 0.0):
             alone = predict(fit_svm(points, "binary", iterations, threshold), points)
@@ -72,8 +72,8 @@ SPEC = DatasetSpec("toy", ("Scan It", "Discovery"))
 
 
 def test_corrected_run(spark, flows, tmp_path):
-    protocol = Protocol.resolve("corrected", svm_max_iter=20)
-    out = run(flows, SPEC, protocol, RunConfig(cap=150, pca_grid=(2,), repetitions=2))
+    protocol = Protocol.resolve("corrected", svm_max_iter=8)
+    out = run(flows, SPEC, protocol, RunConfig(cap=150, pca_grid=(2,)))
     rows = {(r.task, r.preprocessing, r.k): r for r in out["metrics"].collect()}
     assert set(rows) == {
         *[(t, "minimal", None) for t in ("Scan_It", "Discovery", "Multinomial")],
@@ -84,7 +84,7 @@ def test_corrected_run(spark, flows, tmp_path):
     assert rows["Multinomial", "minimal", None].accuracy == 1.0
     assert rows["Scan_It", "minimal", None].auroc == 1.0
     assert rows["Multinomial", "lda", 2].evaluation_valid
-    assert out["timings"].count() == 2 * len(rows)
+    assert out["timings"].count() == len(rows)
     assert out["confusion"].count() == len(rows)
     assert out["variance"].filter("preprocessing = 'pca'").count() == 3 * 2
     counts = out["class_counts"].filter("task = 'Multinomial' AND stage = 'minimal'").groupBy("label_tactic").sum("n")
@@ -128,7 +128,10 @@ def test_label_without_training_rows(spark, flows):
     rows = {r.task: r for r in out["metrics"].collect()}
     assert rows["Scan_It"].evaluation_valid
     assert not rows["Never_Seen"].evaluation_valid and not rows["Multinomial"].evaluation_valid
-    assert out["not_fitted"].count() == 2
+    assert {(r.task, r.missing_label) for r in out["not_fitted"].collect()} == {
+        ("Never_Seen", 1.0),
+        ("Multinomial", 2.0),
+    }
 
 
 def test_full_run_is_refused_on_inventory_problems(spark, flows):
