@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,3 +46,17 @@ def grade(percentage_points: Column) -> Column:
         test = percentage_points <= F.lit(bound)
         chain = F.when(test, F.lit(name)) if chain is None else chain.when(test, F.lit(name))
     return chain.otherwise(F.lit(WORST_GRADE))
+
+
+def vector_width(df: DataFrame, column: str) -> int:
+    """Vector width from the column's ML attributes, or from one row where they are missing."""
+    group = df.schema[column].metadata.get("ml_attr", {})
+    if "num_attrs" in group:
+        return int(group["num_attrs"])
+    attributes = group.get("attrs")
+    if attributes:
+        return sum(len(items) for items in attributes.values())
+    row = df.select(column).first()
+    if row is None:
+        raise ValueError("cannot tell the feature width of an empty table")
+    return int(row[0].size)

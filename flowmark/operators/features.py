@@ -24,7 +24,7 @@ from flowmark.fixed_values import (
     LABEL_COLUMNS,
 )
 from flowmark.functions.durable import durable
-from flowmark.functions.scalars import number_value, observed, text_value
+from flowmark.functions.scalars import number_value, observed, text_value, vector_width
 from flowmark.operators.profile import category_index, index_column
 
 PREFIX = "__value_"
@@ -268,7 +268,7 @@ def fit_features(
     if scale:
         # the width is known from the indices, before vectors are made dense
         assembled = Pipeline(stages=stages).fit(fit_values)
-        width = _vector_size(assembled.transform(fit_values.limit(1)), "unscaled_features")
+        width = vector_width(assembled.transform(fit_values.limit(1)), "unscaled_features")
         if width > max_width:
             raise ValueError(
                 f"{width} features are too wide to centre (limit {max_width}): "
@@ -280,7 +280,7 @@ def fit_features(
         pipeline = PipelineModel([*assembled.stages, scaler])
     else:
         pipeline = Pipeline(stages=stages).fit(fit_values)
-        width = _vector_size(pipeline.transform(fit_values.limit(1)), "features")
+        width = vector_width(pipeline.transform(fit_values.limit(1)), "features")
 
     mappings = {}
     if narrow:
@@ -302,20 +302,6 @@ def fit_features(
     )
 
 
-def _vector_size(df: DataFrame, column: str) -> int:
-    """Vector width from the column's ML attributes, or from one row where they are missing."""
-    group = df.schema[column].metadata.get("ml_attr", {})
-    if "num_attrs" in group:
-        return int(group["num_attrs"])
-    attributes = group.get("attrs")
-    if attributes:
-        return sum(len(items) for items in attributes.values())
-    row = df.select(column).first()
-    if row is None:
-        raise ValueError("cannot tell the feature width of an empty table")
-    return int(row[0].size)
-
-
 def fit_scope_frame(train: DataFrame, test: DataFrame, fit_on_all: bool) -> DataFrame:
     """The rows a fit may see: the train side, or both."""
     return train.unionByName(test) if fit_on_all else train

@@ -13,6 +13,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowmark.functions.scalars import vector_width
+
 #: Widest features a d x d matrix is made of on the driver (4096 doubles squared: 128 MB).
 MAX_SCATTER_WIDTH = 4096
 #: Most class means (classes x width) sent to the tasks.
@@ -97,18 +99,15 @@ def scatter_rows(
 
 def fit_scatter(df: DataFrame, features: str = "features", label: str = "label") -> Scatter:
     """Two passes over ``df``: class means, then the scatter around them."""
-    moments = class_moments(df, features, label)
-    first = moments.first()
-    if first is None:
-        raise ValueError("cannot fit on an empty table")
-    width = int(first["mean"].size)
-    classes = moments.count()
-    if width > MAX_SCATTER_WIDTH or classes * width > MAX_MEANS:
+    width = vector_width(df, features)
+    most = MAX_MEANS // width
+    found = class_moments(df, features, label).limit(most + 1).collect()  # a row per class
+    if width > MAX_SCATTER_WIDTH or len(found) > most:
         raise ValueError(
-            f"{width} features and {classes} classes are too wide for a scatter matrix: "
-            "hash wide text columns or drop them"
+            f"{width} features and {len(found)} classes or more are too wide for a scatter "
+            "matrix: hash wide text columns or drop them"
         )
-    found = sorted(moments.collect(), key=lambda r: r["label"])  # one bounded row per class
+    found.sort(key=lambda r: r["label"])
     labels = tuple(float(r["label"]) for r in found)
     counts = np.array([r["n"] for r in found], dtype=float)
     means = np.stack([r["mean"].toArray() for r in found])

@@ -21,8 +21,10 @@ from flowmark.functions.keys import hash_bucket, seeded_hash, stable_key
 
 #: Caps up to this size are cut by Spark's rank limit inside each input partition.
 WINDOW_CAP = 1000
-#: Hash bits of a sample histogram: at most 2**18 rows per class.
-BUCKET_BITS = 18
+#: Hash prefixes a sample is narrowed down by: 4096 counts per class and level.
+PREFIX_BITS = (12, 24, 36)
+#: Rows on the edge of a class that one task may rank.
+EDGE_ROWS = 500_000
 #: Copies of one row that a task writes out at once.
 COPY_CHUNK = 10_000
 
@@ -58,14 +60,16 @@ def _keyed(
     )
 
 
-def _edges(undecided: DataFrame, by: Sequence[str], level: str, edge: str) -> DataFrame:
-    """Per class: the value of ``level`` at which its places run out, and the places left there.
+def _edges(undecided: DataFrame, by: Sequence[str], level: Column) -> DataFrame:
+    """Per class: the value of ``level`` at which its places run out, the rows that have this
+    value and the places left for them.
 
     Values below the edge are taken whole. The edge is null if the class fits.
     """
-    running = Window.partitionBy(*by).orderBy(level)
+    running = Window.partitionBy(*by).orderBy("__level")
+    past = F.col("__upto") > F.col(_LEFT)
     return (
-        undecided.groupBy(*by, _LEFT, level)
+        undecided.groupBy(*by, _LEFT, level.alias("__level"))
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn(
             "__upto",
@@ -73,12 +77,15 @@ def _edges(undecided: DataFrame, by: Sequence[str], level: str, edge: str) -> Da
         )
         .groupBy(*by, _LEFT)
         .agg(
-            F.min(F.when(F.col("__upto") > F.col(_LEFT), F.col(level))).alias(edge),
-            F.coalesce(
-                F.max(F.when(F.col("__upto") <= F.col(_LEFT), F.col("__upto"))), F.lit(0)
-            ).alias("__taken"),
+            F.min(F.when(past, F.struct("__level", "__n"))).alias("__first"),
+            F.coalesce(F.max(F.when(~past, F.col("__upto"))), F.lit(0)).alias("__taken"),
+        )
+        .select(
+            *by,
+            F.col("__first.__level").alias("__edge"),
+            F.col("__first.__n").alias("__rows"),
+            (F.col(_LEFT) - F.col("__taken")).cast("bigint").alias(_LEFT),
         )
-        .select(*by, edge, (F.col(_LEFT) - F.col("__taken")).cast("bigint").alias(_LEFT))
     )
 
 
@@ -98,55 +105,60 @@ def _by_cutoff(
 ) -> DataFrame:
     """The rows :func:`_by_window` keeps, without sorting a class.
 
-    Each level counts rows per value and finds the value at which the places of a class run
-    out: first a bucket of hashes, then a key inside that bucket, then - only if a key with
-    several rows lies on the edge - a bucket of tie hashes inside that key. Rows below the edge
-    are kept by a filter; what is left on the last edge is counted by content, so that copies
-    collapse before they are ordered.
+    The order is narrowed down level by level: rows are counted per value of a coarse level, the
+    value at which the places of a class run out is found, and only rows with that value go on
+    to the next, finer level. Levels are growing prefixes of the key hash, then the key itself
+    (one key may hold any share of the rows), then growing prefixes of the tie hash. Each count
+    is combined inside the tasks, so little is shuffled. As soon as few rows share the edge of
+    every class they are ranked. Rows that share even the last edge are counted by content.
+
+    Rows below an edge are kept by a filter on the source; they are never moved.
     """
     by = list(by)
-    keyed = keyed.select(
-        "*",
-        hash_bucket(F.col(_HASH), BUCKET_BITS, kind).alias("__bucket"),
-        F.struct(_HASH, _KEY).alias("__place"),
-        hash_bucket(F.col(_TIE), BUCKET_BITS, kind).alias("__tie_bucket"),
-    )
-    levels = ["__bucket", "__place", "__tie_bucket"]
+    levels = [
+        *[hash_bucket(F.col(_HASH), bits, kind) for bits in PREFIX_BITS],
+        F.struct(_HASH, _KEY),
+        *[hash_bucket(F.col(_TIE), bits, kind) for bits in PREFIX_BITS],
+    ]
     if quotas is None:
         undecided = keyed.withColumn(_LEFT, F.lit(cap).cast("bigint"))
     else:
         wanted = quotas.select(*by, F.col("quota").cast("bigint").alias(_LEFT))
         undecided = null_safe_join(keyed, side_table(wanted), by)
 
-    cuts: list[DataFrame] = []
-    settled = False
+    edges = None  # per class, the edge of every level that was needed
+    rest = None
+    keep = []
     for depth, level in enumerate(levels):
+        cut = side_table(_edges(undecided, by, level))
         edge = f"__edge{depth}"
-        cut = _edges(undecided, by, level, edge)
-        cuts.append(side_table(cut))
-        open_classes = cuts[-1].filter(F.col(edge).isNotNull() & (F.col(_LEFT) > 0))
-        settled = open_classes.isEmpty()
-        if settled:
+        own = cut.select(*by, F.col("__edge").alias(edge))
+        edges = own if edges is None else null_safe_join(edges, own, by, "left")
+        keep.append((level, F.col(edge)))
+        narrow = cut.filter(F.col("__edge").isNotNull() & (F.col(_LEFT) > 0))
+        most = narrow.agg(F.max("__rows")).first()[0]
+        if most is None:
             break
         undecided = (
-            null_safe_join(undecided.drop(_LEFT), open_classes, by)
-            .filter(F.col(level) == F.col(edge))
-            .drop(edge)
+            null_safe_join(undecided.drop(_LEFT), narrow, by)
+            .filter(level == F.col("__edge"))
+            .drop("__edge", "__rows")
         )
+        if most <= EDGE_ROWS:
+            rest = _by_window(undecided, columns, by, F.col(_LEFT))
+            break
+    else:
+        rest = _copies(undecided, columns, by)
 
-    # One table of edges per class. A deeper edge is missing where no place was left above it.
-    edges = cuts[0].drop(_LEFT)
-    for cut in cuts[1:]:
-        edges = null_safe_join(edges, cut.drop(_LEFT), by, "left")
-    keep = F.lit(False)
-    for depth, level in reversed(list(enumerate(levels[: len(cuts)]))):
-        value, edge = F.col(level), F.col(f"__edge{depth}")
-        keep = F.coalesce(value < edge, F.lit(False)) | (
-            F.coalesce(value == edge, F.lit(False)) & keep
+    # a deeper edge is missing where no place was left above it
+    below = F.lit(False)
+    for level, edge in reversed(keep):
+        below = F.coalesce(level < edge, F.lit(False)) | (
+            F.coalesce(level == edge, F.lit(False)) & below
         )
-    keep = F.col("__edge0").isNull() | keep
-    kept = null_safe_join(keyed, edges, by).filter(keep).select(*columns)
-    return kept if settled else kept.unionByName(_copies(undecided, columns, by))
+    below = F.col("__edge0").isNull() | below
+    kept = null_safe_join(keyed, edges, by).filter(below).select(*columns)
+    return kept if rest is None else kept.unionByName(rest)
 
 
 def _copies(rows: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:

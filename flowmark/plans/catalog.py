@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmark.functions.durable import compact, side_table
 from flowmark.functions.scalars import text_value
 from flowmark.operators import compare as C
 from flowmark.operators import metrics as M
@@ -217,10 +218,8 @@ def hash_split(spark, sf_dir):
 
 @register
 def class_counts_by_split(spark, sf_dir):
-    frames = build_task_frames(event_flows(spark, sf_dir), [EVENTS])
-    return X.class_counts(
-        X.hash_split(frames, ["event_id"], kind="md5"), ["task", "split", "label_tactic"]
-    )
+    flows = X.hash_split(event_flows(spark, sf_dir), ["event_id"], kind="md5")
+    return X.class_counts(build_task_frames(flows, [EVENTS]), ["task", "split", "label_tactic"])
 
 
 @register
@@ -540,6 +539,12 @@ def _sides(df: DataFrame, key: str):
     return [both.filter(F.col("split") == s).drop("split") for s in ("train", "test")]
 
 
+def _trained_on(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Training rows cached for the passes of an iterative fit, in as few partitions as fit."""
+    cached = df.select("label", "features").cache()
+    return compact(cached, cached.count(), row_bytes)
+
+
 def _quality_features(spark, sf_dir):
     """Quality labels of documents with features of their length, language and source."""
     labelled = table(spark, sf_dir, "documents").join(
@@ -556,8 +561,7 @@ def _quality_features(spark, sf_dir):
 @register
 def svm_binary(spark, sf_dir):
     train, test = _quality_features(spark, sf_dir)
-    train = train.cache()
-    predictions = V.predict(V.fit_svm(train, "binary", 20), test)
+    predictions = V.predict(V.fit_svm(_trained_on(train, 512), "binary", 20), test)
     predictions = predictions.withColumn("task", F.lit("quality"))
     cells = M.confusion(predictions, [0, 1], ["task"])
     score = V.evaluate_auroc(predictions, [0.0, 1.0], ["task"])
@@ -567,20 +571,20 @@ def svm_binary(spark, sf_dir):
 @register
 def svm_ovr(spark, sf_dir):
     train, test = _sides(_embedding_vectors(spark, sf_dir), "vec_id")
-    predictions = V.predict(V.fit_svm(train.cache(), "multinomial", 5), test)
+    predictions = V.predict(V.fit_svm(_trained_on(train, 1024), "multinomial", 5), test)
     return M.per_class(M.confusion(predictions, CLASSES))
 
 
 @register
 def svm_diagnostics(spark, sf_dir):
     train, _ = _quality_features(spark, sf_dir)
-    return V.diagnostics(spark, V.fit_svm(train.cache(), "binary", 10), 10)
+    return V.diagnostics(spark, V.fit_svm(_trained_on(train, 512), "binary", 10), 10)
 
 
 @register
 def svm_sweep(spark, sf_dir):
     train, test = _quality_features(spark, sf_dir)
-    swept, _ = V.sweep(train.cache(), test, "binary", (5, 10))
+    swept, _ = V.sweep(_trained_on(train, 512), test, "binary", (5, 10))
     keys = ["svm_max_iter", "svm_threshold"]
     return M.summary(M.per_class(M.confusion(swept, [0, 1], keys), keys), keys)
 
@@ -603,8 +607,8 @@ MODELS = (("minimal", None, 30.0), ("pca", 1, 10.0), ("pca", 2, 1000.0), ("lda",
 
 def _model_results(spark, sf_dir):
     """Threshold models of the binary event tasks with their metrics on either split."""
-    frames = build_task_frames(event_flows(spark, sf_dir), [EVENTS]).filter("kind = 'binary'")
-    frames = X.hash_split(frames, ["event_id"], kind="md5")
+    flows = X.hash_split(event_flows(spark, sf_dir), ["event_id"], kind="md5")
+    frames = build_task_frames(flows, [EVENTS]).filter("kind = 'binary'")
     models = F.explode(
         F.array(
             *[
@@ -622,7 +626,8 @@ def _model_results(spark, sf_dir):
         (F.col("value") > F.col("m.cut")).cast("double").alias("prediction"),
     )
     by = ["split", *C.MODEL]
-    return scored, M.summary(M.per_class(M.confusion(scored, [0, 1], by), by), by)
+    results = M.summary(M.per_class(M.confusion(scored, [0, 1], by), by), by)
+    return scored, side_table(results)  # one row per model, read several times
 
 
 def _comparison(spark, sf_dir):

@@ -43,9 +43,16 @@ def test_seed_is_an_int_literal(spark):
     assert rows_of(split) == rows_of(by_hand)
 
 
-@pytest.mark.parametrize("kind", ["xxhash64", "md5"])
-@pytest.mark.parametrize("cap", [1, 7, 100, 350, 5000])
-def test_cutoff_equals_window(spark, kind, cap):
+@pytest.fixture(params=[500_000, 20, 0], ids=lambda n: f"edge{n}")
+def edge_rows(request, monkeypatch):
+    """Rows that may be ranked in one task: with fewer, deeper levels are taken."""
+    monkeypatch.setattr("flowmark.operators.sampling.EDGE_ROWS", request.param)
+    monkeypatch.setattr("flowmark.operators.sampling.PREFIX_BITS", (3, 6, 20))
+    return request.param
+
+
+@pytest.mark.parametrize("kind,cap", [("xxhash64", 7), ("xxhash64", 350), ("md5", 100), ("md5", 5000)])
+def test_cutoff_equals_window(spark, edge_rows, kind, cap):
     """Unique keys, keys with many payloads, whole copies, null classes and a single-row class."""
     rnd = random.Random(cap)
     rows = [(f"k{i}", rnd.choice("ab"), i) for i in range(800)]
@@ -61,7 +68,7 @@ def test_cutoff_equals_window(spark, kind, cap):
     assert cutoff.columns == df.columns
 
 
-def test_cutoff_edge_inside_one_hot_key(spark):
+def test_cutoff_edge_inside_one_hot_key(spark, edge_rows):
     """Every place of the class is decided among rows of one key."""
     rows = [("hot", "a", i) for i in range(5000)]
     df = spark.createDataFrame(rows, "uid string, label_tactic string, x int")
@@ -71,7 +78,8 @@ def test_cutoff_edge_inside_one_hot_key(spark):
     assert rows_of(cutoff) == rows_of(class_cap(df, *args, strategy="window"))
 
 
-def test_hot_copies_are_cut_and_written_in_chunks(spark):
+def test_hot_copies_are_cut_and_written_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr("flowmark.operators.sampling.EDGE_ROWS", 100)
     df = spark.range(60_000).select(
         F.lit("hot").alias("uid"), F.lit("a").alias("label_tactic"), F.lit(1.5).alias("x")
     )
