@@ -16,6 +16,8 @@ from flowmark.functions.durable import durable, null_safe_join, side_table
 from flowmark.functions.scalars import observed
 
 PART = "__part"
+#: Accuracy of quantile sketches: ranks are off by at most one in this many rows.
+SKETCH = 10_000
 
 
 def by_range(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -49,44 +51,65 @@ def global_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame
 def exact_medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Exact median of each column per group; null groups are kept, null and NaN values skipped.
 
-    Values are counted first, so a group may be as large as the table: its distinct values are
-    spread over ranges and only the ranges that hold the middle are ordered.
+    One pass sketches the quantiles next to the middle, with the sketches merged inside the
+    tasks. A second pass only tells values below that bracket from those inside it, and counts
+    them, so about six in ``SKETCH`` distinct values of a group are shuffled however large the
+    group is. These are spread over ranges, and the ranges that hold the middle are ordered.
     """
     by, columns = list(by), list(columns)
     keys = [*by, "__metric"]
-    values = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v"))
+    values = {c: observed(F.col(c).cast("double")) for c in columns}
+    around = [0.5 - 3 / SKETCH, 0.5 + 3 / SKETCH]
+    sketched = df.groupBy(*by).agg(
+        *[F.count(v).alias(f"__n_{c}") for c, v in values.items()],
+        *[F.percentile_approx(v, around, SKETCH).alias(f"__b_{c}") for c, v in values.items()],
+    )
+    everything = F.array(F.lit(float("-inf")), F.lit(float("inf")))
+    bounds = side_table(
+        sketched.select(
+            *by,
+            *[f"__n_{c}" for c in columns],
+            *[  # small groups are taken whole
+                F.when(F.col(f"__n_{c}") > SKETCH, F.col(f"__b_{c}")).otherwise(everything).alias(
+                    f"__b_{c}"
+                )
                 for c in columns
-            ]
+            ],
         )
     )
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("__metric"),
+                F.col(f"__n_{c}").alias("__total"),
+                # what lies below the bracket only has to be counted
+                F.when(v >= F.col(f"__b_{c}")[0], v).otherwise(float("-inf")).alias("__value"),
+                (v <= F.col(f"__b_{c}")[1]).alias("__wanted"),
+            )
+            for c, v in values.items()
+        ]
+    )
     counted = (
-        df.select(*by, values.alias("__e"))
-        .select(*by, F.col("__e.m").alias("__metric"), observed(F.col("__e.v")).alias("__value"))
-        .groupBy(*keys, "__value")
+        null_safe_join(df, bounds, by)
+        .select(*by, F.explode(entries).alias("__e"))
+        .select(*by, "__e.*")
+        .filter("__wanted")
+        .groupBy(*keys, "__total", "__value")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    everything = durable(by_range(counted, *keys, "__value"))
-    ranged = everything.filter(F.col("__value").isNotNull())
-    whole = Window.partitionBy(*keys)
-    ahead = whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = durable(by_range(counted, *keys, "__value"))
+    ahead = (
+        Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    )
     parts = (
-        ranged.groupBy(*keys, PART)
+        ranged.groupBy(*keys, "__total", PART)
         .agg(F.sum("__n").alias("__size"))
-        .select(
-            *keys,
-            PART,
-            "__size",
-            F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__offset"),
-            F.sum("__size").over(whole).alias("__total"),
-        )
+        .withColumn("__offset", F.coalesce(F.sum("__size").over(ahead), F.lit(0)))
         # 0-based positions of the two middle values (the same one for an odd total)
         .withColumn("__lo", F.expr("(__total - 1) div 2"))
         .withColumn("__hi", F.expr("__total div 2"))
         .filter("__offset <= __hi AND __lo < __offset + __size")
-        .drop("__size", "__total")
+        .select(*keys, PART, "__offset", "__lo", "__hi")
     )
     inside = Window.partitionBy(*keys, PART).orderBy("__value")
     middle = (
@@ -110,5 +133,4 @@ def exact_medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> D
         ]
     )
     # a group whose values are all missing still has its row
-    groups = everything.select(*by).distinct()
-    return null_safe_join(groups, medians, by, "left") if by else medians
+    return null_safe_join(bounds.select(*by), medians, by, "left")

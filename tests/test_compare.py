@@ -134,7 +134,9 @@ def test_best_accuracy(spark):
     assert {(r.k, r.collapse_flag) for r in by_k} == {(2, False), (3, True)}
 
 
-def test_exact_medians(spark):
+@pytest.mark.parametrize("sketch", [10_000, 100])
+def test_exact_medians(spark, monkeypatch, sketch):
+    monkeypatch.setattr("flowmark.functions.ordered.SKETCH", sketch)
     rnd = random.Random(1)
     rows = [
         (rnd.choice(["a", "b", None]), rnd.randrange(50) / 3, rnd.choice([None, float("nan"), 1.0, 2.0]))
