@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Row limit under which a materialised side table may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -42,6 +43,14 @@ def bounded_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | N
     return table if table.num_rows <= max_rows else None
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows the driver knows, as a relation whose size the optimizer knows too."""
+    fields = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    table = pa.Table.from_arrays([pa.array(list(c)) for c in columns], names=fields.names)
+    return spark.createDataFrame(table, fields)
+
+
 def side_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Compute a side table once. It is broadcast only if its counted rows allow that; a larger
     one is kept in the checkpoint folder and joined by a shuffle."""

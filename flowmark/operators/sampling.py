@@ -334,8 +334,10 @@ def sample_for_run(
     cut = policy.get("reported_reduction", 0.0)
     if cut <= 0:
         return df, policy
-    table = quotas(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), cut, label=label)
-    return quota_sample(df, table, [label], key_cols, seed, **key_options), policy
+    table = side_table(quotas(class_counts(df, [label]), cut, label=label))
+    info = sample_metadata(table, cut, label=label).drop("policy", "reported_reduction").first()
+    sampled = quota_sample(df, table, [label], key_cols, seed, **key_options)
+    return sampled, {**policy, **info.asDict()}
 
 
 def sample_policy(

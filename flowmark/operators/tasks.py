@@ -19,6 +19,7 @@ from flowmark.fixed_values import (
     SEED,
     TACTICS,
 )
+from flowmark.functions.durable import local_table
 
 TASK_SCHEMA = "dataset string, task string, kind string, label_tactic string, label double"
 
@@ -67,7 +68,7 @@ def task_map(spark: SparkSession, specs: Iterable[DatasetSpec]) -> DataFrame:
         for task, kind, _ in spec.tasks()
         for tactic, label in spec.label_mapping(task).items()
     ]
-    return spark.createDataFrame(rows, TASK_SCHEMA)
+    return local_table(spark, rows, TASK_SCHEMA)
 
 
 def label_lookup(mapping: dict[str, float], column: Column) -> Column:

@@ -171,7 +171,13 @@ def run(
     classes = M.per_class(confusions, IDENTITY)
     summary = M.summary(classes, IDENTITY)
     tables["metrics"] = null_safe_join(summary, tables.pop("auroc"), IDENTITY, "left")
-    tables["confusion"] = M.matrix_table(confusions, classes, IDENTITY)
+    mappings = flows.sparkSession.createDataFrame(
+        [(spec.name, task, spec.label_mapping(task)) for task, _, _ in spec.tasks()],
+        "dataset string, task string, label_mapping map<string,double>",
+    )
+    tables["confusion"] = M.matrix_table(confusions, classes, IDENTITY).join(
+        F.broadcast(mappings), ["dataset", "task"]
+    )
     tables["timings"] = timing_rows(tables["timings"])
     if "variance" in tables:
         tables["variance"] = cumulative_variance(tables["variance"], IDENTITY)

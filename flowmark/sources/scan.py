@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmark.fixed_values import CLASS_MISMATCH_TEXT
-from flowmark.functions.durable import null_safe_join
+from flowmark.functions.durable import local_table, null_safe_join
 from flowmark.operators.tasks import DatasetSpec
 
 PROBLEM_SCHEMA = "dataset string, problem string, message string"
@@ -22,26 +23,36 @@ def scan(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Path and size of every Parquet file; file contents are not read."""
+    """Path and size of every Parquet file; file contents are not read.
+
+    A folder that does not exist holds no files.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    return (
+    reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
-        .load(paths)
-        .select("path", F.col("length").alias("bytes"))
     )
+    try:
+        return reader.load(paths).select("path", F.col("length").alias("bytes"))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return local_table(spark, [], "path string, bytes bigint")
 
 
 def file_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Bytes and rows per file, empty files included. Rows come from the footers."""
+    files = listing(spark, path)
+    if files.isEmpty():
+        return files.withColumn("rows", F.lit(0).cast("bigint"))
     rows = (
         scan(spark, path)
         .groupBy(F.col("_metadata.file_path").alias("path"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     return (
-        listing(spark, path)
+        files
         .withColumn("__tail", _path_key("path"))
         .join(rows.select(_path_key("path").alias("__tail"), "rows"), "__tail", "left")
         .select("path", "bytes", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"))
@@ -105,12 +116,12 @@ def totals(
 
 def expected_totals(spark: SparkSession, specs: Iterable[DatasetSpec]) -> DataFrame:
     rows = [(s.name, s.files, s.rows) for s in specs]
-    return spark.createDataFrame(rows, "dataset string, expected_files bigint, expected_rows bigint")
+    return local_table(spark, rows, "dataset string, expected_files bigint, expected_rows bigint")
 
 
 def expected_classes(spark: SparkSession, specs: Iterable[DatasetSpec]) -> DataFrame:
     rows = [(s.name, c, n) for s in specs for c, n in s.class_rows.items()]
-    return spark.createDataFrame(rows, "dataset string, label_tactic string, expected bigint")
+    return local_table(spark, rows, "dataset string, label_tactic string, expected bigint")
 
 
 def validate(
@@ -180,12 +191,13 @@ def inventory(
         own_schemas = schema_census(spark, roots[spec.name])
         files.append(own_files.select(key, "*"))
         schemas.append(own_schemas.select(key, "*"))
-        classes.append(
-            scan(spark, roots[spec.name])
-            .groupBy(F.col(label_col).alias("label_tactic"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(key, "*")
+        rows = (
+            local_table(spark, [], f"{label_col} string")
+            if own_files.isEmpty()
+            else scan(spark, roots[spec.name])
         )
+        counted = rows.groupBy(F.col(label_col).alias("label_tactic"))
+        classes.append(counted.agg(F.count(F.lit(1)).alias("n")).select(key, "*"))
         sums.append(totals(spark, spec.name, own_files, own_schemas))
 
     def stack(parts: list[DataFrame]) -> DataFrame:

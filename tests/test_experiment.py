@@ -86,6 +86,9 @@ def test_corrected_run(spark, flows, tmp_path):
     assert rows["Multinomial", "lda", 2].evaluation_valid
     assert out["timings"].count() == len(rows)
     assert out["confusion"].count() == len(rows)
+    nested = out["confusion"].filter("task = 'Scan_It' AND preprocessing = 'minimal'").first()
+    assert nested.label_mapping == {"none": 0.0, "Scan It": 1.0}
+    assert sum(map(sum, nested.matrix)) == rows["Scan_It", "minimal", None].test_rows
     assert out["variance"].filter("preprocessing = 'pca'").count() == 3 * 2
     counts = out["class_counts"].filter("task = 'Multinomial' AND stage = 'minimal'").groupBy("label_tactic").sum("n")
     assert {r[0]: r[1] for r in counts.collect()} == {"none": 150, "Scan It": 150, "Discovery": 150}

@@ -168,6 +168,8 @@ def test_published_sample_size_is_exact(spark):
         key_cols=["uid"],
     )
     assert policy["reported_reduction"] == 0.95
+    assert (policy["source_rows"], policy["target_rows"]) == (1020, 51)
+    assert policy["target_class_counts"]["Discovery"] == 20 and policy["protected_retained"]
     assert sampled.count() == round(1020 * 0.05)
     assert sampled.filter("label_tactic = 'Discovery'").count() == 20
 

@@ -77,6 +77,13 @@ def test_inventory_of_folders(spark, root):
     }
 
 
+def test_inventory_of_a_missing_folder(spark, tmp_path):
+    spec = DatasetSpec("gone", (), files=1, rows=5, class_rows={"none": 5})
+    for root in (str(tmp_path / "nowhere"), str(tmp_path)):
+        problems = S.inventory(spark, {"gone": root}, [spec])["problems"].collect()
+        assert {r.problem for r in problems} == {"files", "rows", "classes", "schemas"}
+
+
 def test_csv_and_json_tables(spark, tmp_path):
     df = spark.createDataFrame([("a,\"b\"", None, 1.5), ("", 2, None)], "t string, k int, v double")
     path = str(tmp_path / "plain")
