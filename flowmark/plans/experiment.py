@@ -237,6 +237,9 @@ def _run_stages(
     try:
         if config.profile == "development":  # at most ``cap`` rows per class, read many times
             held.append(sample.persist(StorageLevel.MEMORY_AND_DISK))
+        elif "target_rows" in sampling and protocol.method != "corrected":
+            # a random split is only sound on partitions that stay as they are
+            sample = durable(sample)
         train, test = split_for_run(
             sample,
             dataset=spec.name,

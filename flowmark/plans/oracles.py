@@ -435,6 +435,12 @@ SELECT component, round(share, 6) AS explained_variance,
 ORACLES["pca_spread"] = f"""
 WITH {_SPREAD2} SELECT component, round(variance, 6) AS variance FROM eigen"""
 
+ORACLES["pca_total_spread"] = """
+WITH slots AS (
+  SELECT unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings),
+spread AS (SELECT i, var_samp(x) AS v FROM slots GROUP BY i)
+SELECT count(*)::BIGINT AS components, round(sum(v), 6) AS variance FROM spread"""
+
 
 def scatter2(label: str) -> str:
     """Within- and between-class scatter of two features, and the inverse of the former."""
