@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Row limit under which a materialised side table may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Limits under which a side table may be kept on the driver and broadcast.
+BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 32 << 20
 #: Size of a partition of training data.
 PARTITION_BYTES = 64 << 20
 
@@ -38,9 +39,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def bounded_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> pa.Table | None:
-    """The rows of a narrow side table if there are at most ``max_rows`` of them, else ``None``."""
+    """The rows of a narrow side table if they are few and small enough, else ``None``."""
     table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    return table if table.num_rows <= max_rows and table.nbytes <= BROADCAST_BYTES else None
 
 
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -52,7 +53,7 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 
 
 def side_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a side table once. It is broadcast only if its counted rows allow that; a larger
+    """Compute a side table once. It is broadcast only if its rows and bytes allow that; a larger
     one is kept in the checkpoint folder and joined by a shuffle."""
     table = bounded_table(df, max_rows)
     if table is None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmark.fixed_values import HASH_BUCKETS
-from flowmark.functions.durable import side_table
+from flowmark.functions.durable import BROADCAST_BYTES, side_table
 from flowmark.functions.ordered import global_index
 
 #: Most frequent values per column that are joined by broadcast.
@@ -53,10 +53,16 @@ def index_column(
     and none of those can hold more than one part in ``head`` of the rows the index was made on.
     """
     own = index.filter(F.col("column") == column).select(F.col("value"), F.col("index"))
-    known = own.count()
-    first = df.join(
-        F.broadcast(own.filter(F.col("index") < head)), df[column] == own["value"], "left"
-    ).drop("value")
+    common = F.col("index") < head
+    known, size = own.agg(
+        F.count(F.lit(1)), F.sum(F.when(common, F.octet_length("value")))
+    ).first()
+    if (size or 0) > BROADCAST_BYTES:  # long texts: everything goes through the shuffle join
+        head = known
+        top = own
+    else:
+        top = F.broadcast(own.filter(common))
+    first = df.join(top, df[column] == own["value"], "left").drop("value")
     if known <= head:
         return first.withColumn(
             output, F.coalesce("index", F.lit(known)).cast("double")

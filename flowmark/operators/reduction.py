@@ -180,6 +180,12 @@ def lda_project(df: DataFrame, model: LdaModel, k: int, features: str = "feature
 
 def fit_pca(df: DataFrame, k_max: int, features: str = "features") -> PCAModel:
     """Fit principal components once at the largest count."""
+    width = vector_width(df, features)
+    if width > MAX_SCATTER_WIDTH:
+        raise ValueError(
+            f"{width} features are too wide for a covariance matrix: "
+            "hash wide text columns or drop them"
+        )
     return PCA(k=k_max, inputCol=features, outputCol="__reduced").fit(df)
 
 

@@ -397,12 +397,14 @@ def split_for_run(
     seed: int = SEED,
     hashed: tuple[str, str] = (DATASET_2022, "Reconnaissance"),
     **key_options,
-) -> tuple[DataFrame, DataFrame]:
-    """Train and test side: by hash, or at random where the published method drew at random."""
+) -> DataFrame:
+    """Add ``split``: by hash, or at random where the published method drew at random."""
     if method == "corrected" or (dataset, task) == hashed:
-        both = hash_split(df, key_cols, seed, **key_options)
-        return tuple(both.filter(F.col("split") == side).drop("split") for side in ("train", "test"))
-    return random_split(df, seed)
+        return hash_split(df, key_cols, seed, **key_options)
+    train, test = random_split(df, seed)
+    return train.withColumn("split", F.lit("train")).unionByName(
+        test.withColumn("split", F.lit("test"))
+    )
 
 
 def class_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:

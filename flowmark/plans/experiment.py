@@ -23,7 +23,6 @@ from flowmark.operators.features import (
     FeaturePolicy,
     feature_frame,
     fit_features,
-    fit_scope_frame,
     policy,
 )
 from flowmark.operators.profile import hash_load, unseen_categories
@@ -240,7 +239,7 @@ def _run_stages(
         elif "target_rows" in sampling and protocol.method != "corrected":
             # a random split is only sound on partitions that stay as they are
             sample = durable(sample)
-        train, test = split_for_run(
+        sides = split_for_run(
             sample,
             dataset=spec.name,
             task=task,
@@ -248,8 +247,8 @@ def _run_stages(
             seed=protocol.seed,
             **keys,
         )
-        sides = train.withColumn("split", F.lit("train")).unionByName(
-            test.withColumn("split", F.lit("test"))
+        train, test = (
+            sides.filter(F.col("split") == side).drop("split") for side in ("train", "test")
         )
         # two rows per declared class
         counts = class_counts(sides, ["split", config.label_col, "label"]).collect()
@@ -265,28 +264,24 @@ def _run_stages(
                 results.add_rows("not_fitted", [(x,) for x in absent], place)
                 results.add("confusion", M.confusion(nothing, labels), identities[stage])
             return
-        rows = {side: sum(r["n"] for r in counts if r["split"] == side) for side in ("train", "test")}
-
         how = config.policy or policy(
             protocol.feature_policy,
             labels=("uid", config.label_col, "label", "label_binary", "label_technique"),
         )
         started = perf_counter()
-        fit_frame = fit_scope_frame(train, test, protocol.fit_on_all)
+        fit_frame = sample if protocol.fit_on_all else train
         model = fit_features(
             fit_frame, how, protocol.scales(stages[0]), protocol.preprocessing_fit_scope
         )
-        kept = ("label", config.label_col)
-        prepared = []
-        for side, frame_of_side in (("train", train), ("test", test)):
-            ready = model.transform(frame_of_side, kept).persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(ready)
-            prepared.append(compact(ready, rows[side], 8 * model.dimension + 64))
-            prepared[-1].count()  # so that the timing covers the transform
+        # both sides come from one scan and stay in one cached table
+        ready = model.transform(sides, ("label", "split")).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(ready)
+        ready = compact(ready, sum(r["n"] for r in counts), 8 * model.dimension + 64)
+        ready.count()  # so that the timing covers the transform
         base_seconds = perf_counter() - started
         _describe(results, model, how, train, test, fit_frame, sampling, protocol, places)
         for stage in stages:
-            reduced = _reduce(stage, prepared, len(mapping), model.dimension, protocol, config)
+            reduced = _reduce(stage, ready, len(mapping), model.dimension, protocol, config)
             for k, reduced_train, reduced_test, ratios, seconds in reduced:
                 own = {**identities[stage], "k": k}
                 results.add_rows(
@@ -335,14 +330,14 @@ def _describe(
 
 def _reduce(
     stage: str,
-    prepared: Sequence[DataFrame],
+    ready: DataFrame,
     classes: int,
     dimension: int,
     protocol: Protocol,
     config: RunConfig,
 ):
     """Variants of a stage: one reduction is fitted, every component count is a prefix of it."""
-    train, test = prepared
+    train, test = (ready.filter(F.col("split") == side) for side in ("train", "test"))
     counts = variants(stage, classes, dimension, config.pca_grid)
     if stage == "minimal":
         yield None, train, test, [], 0.0
@@ -350,7 +345,7 @@ def _reduce(
     if not counts:
         return
     started = perf_counter()
-    fit_frame = fit_scope_frame(train, test, protocol.fit_on_all)
+    fit_frame = ready if protocol.fit_on_all else train
     if stage == "pca":
         model = fit_pca(fit_frame, max(counts))
         ratios = [float(x) for x in model.explainedVariance]

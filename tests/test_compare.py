@@ -4,13 +4,14 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from flowmark.fixed_values import DATASET_2022
 from flowmark.functions.ordered import exact_medians, global_index
 from flowmark.functions.scalars import grade
 from flowmark.operators import compare as C
 from flowmark.plans.audit import audit
 from flowmark.sources.published import published_cells
 
-D22 = "UWF-ZeekData22"
+D22 = DATASET_2022
 
 
 def metrics_table(spark, rows):
@@ -158,3 +159,15 @@ def test_global_index(spark):
     out = global_index(df, [F.desc("a"), F.col("b")], "i").orderBy("i").collect()
     assert [r.i for r in out] == list(range(3000))
     assert [(r.a, r.b) for r in out] == sorted(((r.a, r.b) for r in out), key=lambda x: (-x[0], x[1]))
+
+
+def test_side_tables_beyond_the_limit_are_joined_by_shuffle(spark):
+    from flowmark.functions.durable import null_safe_join, side_table
+
+    small = spark.range(5).selectExpr("id AS k", "id * 2 AS v")
+    for limit, broadcast in ((5, True), (4, False)):
+        side = side_table(small, limit)
+        joined = null_safe_join(spark.range(3).withColumnRenamed("id", "k"), side, ["k"])
+        assert sorted(map(tuple, joined.collect())) == [(0, 0), (1, 2), (2, 4)]
+        plan = joined._jdf.queryExecution().toString()
+        assert ("ResolvedHint (strategy=broadcast)" in plan) == broadcast

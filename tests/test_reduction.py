@@ -119,8 +119,9 @@ def test_too_wide_or_empty(spark, clusters, monkeypatch):
     with pytest.raises(ValueError, match="empty"):
         fit_lda(clusters.limit(0), 1)
     monkeypatch.setattr("flowmark.operators.reduction.MAX_SCATTER_WIDTH", 2)
-    with pytest.raises(ValueError, match="too wide"):
-        fit_lda(clusters, 1)
+    for fit in (fit_lda, fit_pca):
+        with pytest.raises(ValueError, match="too wide"):
+            fit(clusters, 1)
 
 
 def test_variance_table(spark):

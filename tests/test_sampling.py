@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from flowmark.fixed_values import DATASET_2022
 from flowmark.operators.sampling import (
     class_cap,
     hash_split,
@@ -159,7 +160,7 @@ def test_published_sample_size_is_exact(spark):
     df = flows(spark, {"none": 600, "Reconnaissance": 400, "Discovery": 20})
     sampled, policy = sample_for_run(
         df,
-        dataset="UWF-ZeekData22",
+        dataset=DATASET_2022,
         stage="pca",
         task="Multinomial",
         profile="full",
@@ -196,9 +197,9 @@ def test_dispatch(spark):
     assert capped.count() == 6 and policy["cap_per_class"] == 3
     whole, policy = sample_for_run(df, dataset="d", profile="full", method="corrected", **common)
     assert whole is df and policy == {"policy": "full-eligible-data"}
-    parts = split_for_run(df, dataset="d", task="t", method="corrected", key_cols=["uid"])
-    assert sum(p.count() for p in parts) == 45
-    assert parts[0].columns == df.columns
+    split = split_for_run(df, dataset="d", task="t", method="corrected", key_cols=["uid"])
+    assert rows_of(split) == rows_of(hash_split(df, ["uid"], 42))
     drawn = split_for_run(df, dataset="d", task="t", method="paper-compatible", key_cols=["uid"])
-    assert rows_of(drawn[0]) == rows_of(random_split(df, 42)[0])
-    assert rows_of(drawn[0].union(drawn[1])) == rows_of(df)
+    train, test = (drawn.filter(drawn.split == s).drop("split") for s in ("train", "test"))
+    assert rows_of(train) == rows_of(random_split(df, 42)[0])
+    assert rows_of(train.union(test)) == rows_of(df)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from flowmark.fixed_values import DATASET_2022
 from flowmark.operators.tasks import STUDY_DATASETS, DatasetSpec
 from flowmark.sources import artifacts as A
 from flowmark.sources import scan as S
@@ -51,7 +52,7 @@ def test_validation_accepts_expected_counts(spark, spec):
 
 
 def test_validation_reports_four_problems(spark):
-    spec = STUDY_DATASETS["UWF-ZeekData22"]
+    spec = STUDY_DATASETS[DATASET_2022]
     found = actual(spark, spec, 7, 1, {}, 0)
     problems = S.validate(*found, S.expected_totals(spark, [spec]), S.expected_classes(spark, [spec]))
     messages = {r.problem: r.message for r in problems.collect()}
