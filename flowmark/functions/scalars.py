@@ -20,10 +20,14 @@ def text_value(column: Column, mark_blank: bool) -> Column:
 def number_value(column: Column, data_type: T.DataType) -> Column | None:
     """Double form of a numeric, boolean or timestamp column; ``None`` for other types.
 
-    A timestamp without zone is read in the session zone before it becomes epoch seconds.
+    A timestamp without zone becomes the epoch seconds it would have in UTC, whatever the zone
+    of the session.
     """
     if isinstance(data_type, T.TimestampNTZType):
-        return column.cast("timestamp").cast("double")
+        minutes = F.unix_date(column.cast("date")) * F.lit(1440).cast("bigint")
+        minutes = minutes + F.hour(column) * 60 + F.minute(column)
+        micros = (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("bigint")
+        return (minutes * 60_000_000 + micros) / F.lit(1e6)
     if isinstance(data_type, (T.TimestampType, T.NumericType, T.BooleanType)):
         return column.cast("double")
     return None
