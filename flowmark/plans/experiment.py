@@ -282,14 +282,13 @@ def _run_stages(
         _describe(results, model, how, train, test, fit_frame, sampling, protocol, places)
         for stage in stages:
             reduced = _reduce(stage, ready, len(mapping), model.dimension, protocol, config)
-            for k, reduced_train, reduced_test, ratios, seconds in reduced:
+            for k, table, ratios, seconds in reduced:
                 own = {**identities[stage], "k": k}
                 results.add_rows(
                     "variance", [(i, float(x)) for i, x in enumerate(ratios, 1)], own
                 )
                 _fit_and_measure(
-                    results, reduced_train, reduced_test, kind, labels, protocol, config, own,
-                    base_seconds, seconds,
+                    results, table, kind, labels, protocol, config, own, base_seconds, seconds
                 )
     finally:
         for table in held:
@@ -337,15 +336,14 @@ def _reduce(
     config: RunConfig,
 ):
     """Variants of a stage: one reduction is fitted, every component count is a prefix of it."""
-    train, test = (ready.filter(F.col("split") == side) for side in ("train", "test"))
     counts = variants(stage, classes, dimension, config.pca_grid)
     if stage == "minimal":
-        yield None, train, test, [], 0.0
+        yield None, ready, [], 0.0
         return
     if not counts:
         return
     started = perf_counter()
-    fit_frame = ready if protocol.fit_on_all else train
+    fit_frame = ready if protocol.fit_on_all else ready.filter(F.col("split") == "train")
     if stage == "pca":
         model = fit_pca(fit_frame, max(counts))
         ratios = [float(x) for x in model.explainedVariance]
@@ -354,15 +352,20 @@ def _reduce(
         model = fit_lda(fit_frame, max(counts), config.lda_normalise)
         ratios = list(model.ratios)
         project = lda_project
-    seconds = perf_counter() - started
+    fit_seconds = perf_counter() - started
     for k in counts:
-        yield k, project(train, model, k), project(test, model, k), ratios[:k], seconds
+        started = perf_counter()
+        table = project(ready, model, k).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            table.count()  # so that the timing covers the projection
+            yield k, table, ratios[:k], fit_seconds + perf_counter() - started
+        finally:
+            table.unpersist()
 
 
 def _fit_and_measure(
     results: _Results,
-    train: DataFrame,
-    test: DataFrame,
+    table: DataFrame,
     kind: str,
     labels: Sequence[float],
     protocol: Protocol,
@@ -371,39 +374,39 @@ def _fit_and_measure(
     base_seconds: float,
     reduction_seconds: float,
 ) -> None:
-    train = train.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.select("label", "features")
-    try:
-        timings = []
-        rounds = range(0 if config.warmup else 1, config.repetitions + 1)
-        for repetition in rounds:
-            started = perf_counter()
-            model = fit_svm(
-                train, kind, protocol.svm_max_iter, protocol.svm_threshold, config.parallelism
-            )
-            fitted = perf_counter()
-            predictions = predict(model, test).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                predictions.count()
-                predicted = perf_counter()
-                if repetition == config.repetitions:
-                    counted = M.confusion(predictions, labels)
-                    results.add("confusion", counted, identity)
-                    if config.diagnostic_sweep:
-                        collapsed = M.summary(M.per_class(counted)).first()["collapse_flag"]
-                    results.add("auroc", evaluate_auroc(predictions, labels), identity)
-            finally:
-                predictions.unpersist()
-            if repetition > 0:
-                parts = (fitted - started, predicted - fitted, perf_counter() - predicted)
-                timings.append((repetition, base_seconds, reduction_seconds, *parts))
-        results.add_rows("timings", timings, identity)
-        report = diagnostic_rows(model, protocol.svm_max_iter)
-        results.add_rows("model_diagnostics", report, identity)
-        if config.diagnostic_sweep and collapsed:
-            _sweep(results, train, test, kind, labels, config, identity)
-    finally:
-        train.unpersist()
+    # the table is cached by the caller, and the fits cache their own blocks of it
+    train, test = (
+        table.filter(F.col("split") == side).select("label", "features")
+        for side in ("train", "test")
+    )
+    timings = []
+    rounds = range(0 if config.warmup else 1, config.repetitions + 1)
+    for repetition in rounds:
+        started = perf_counter()
+        model = fit_svm(
+            train, kind, protocol.svm_max_iter, protocol.svm_threshold, config.parallelism
+        )
+        fitted = perf_counter()
+        predictions = predict(model, test).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            predictions.count()
+            predicted = perf_counter()
+            if repetition == config.repetitions:
+                counted = M.confusion(predictions, labels)
+                results.add("confusion", counted, identity)
+                if config.diagnostic_sweep:
+                    collapsed = M.summary(M.per_class(counted)).first()["collapse_flag"]
+                results.add("auroc", evaluate_auroc(predictions, labels), identity)
+        finally:
+            predictions.unpersist()
+        if repetition > 0:
+            parts = (fitted - started, predicted - fitted, perf_counter() - predicted)
+            timings.append((repetition, base_seconds, reduction_seconds, *parts))
+    results.add_rows("timings", timings, identity)
+    report = diagnostic_rows(model, protocol.svm_max_iter)
+    results.add_rows("model_diagnostics", report, identity)
+    if config.diagnostic_sweep and collapsed:
+        _sweep(results, train, test, kind, labels, config, identity)
 
 
 def _sweep(
