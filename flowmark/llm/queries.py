@@ -5,9 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmark.llm import exact_dedup, secrets
+from flowmark.llm import exact_dedup, kd_shards, packing, secrets, word_bpe
 from flowmark.llm.common import documents
 
+#: Shards of the sharding query, and the metadata its tree cuts along.
+SHARDS = 24
+DIMENSIONS = ("n_chars", "source", "lang", "doc_id")
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=1)
+    return packed.drop("row")
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.kd_shards(documents(spark, sf_dir), DIMENSIONS, n_shards=SHARDS).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = secrets.scan(documents(spark, sf_dir))
@@ -27,7 +54,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = tokenizer_file("word_bpe_49k.json")
+    decoded = word_bpe.decode(word_bpe.encode(documents(spark, sf_dir), file), file)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_sharding": op2_sharding,
     "op4_secret_scans": op4_secret_scans,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_word_bpe": op7_word_bpe,
 }
