@@ -14,14 +14,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """``docs`` with rows that come in the same order however often, and with whichever columns, they are
+    computed, as row numbers need it. Files and checkpoints are like that; what comes out of a shuffle
+    is written to the checkpoint folder first."""
+    plan = docs.sparkSession._jvm.PythonSQLUtils.explainString(
+        docs._jdf.queryExecution(), "simple"
+    )
+    return durable(docs) if "Exchange" in plan else docs
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and ``row``, a number that tells repeated rows apart.
 
-    ``row`` is only stable where ``docs`` deals its rows out the same way each time, as files and
-    checkpoints do; operators that need it again later keep it in a checkpoint. Other columns
-    are left behind, so their names cannot clash.
+    Other columns are left behind, so their names cannot clash.
     """
-    return docs.select(
+    return settled(docs).select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("row"),

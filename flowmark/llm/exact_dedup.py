@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmark.functions.durable import durable
-from flowmark.llm.common import PART_BITS, texts
+from flowmark.llm.common import PART_BITS, settled, texts
 
 #: Runs merged into one in a round are two to this power.
 FAN_IN_BITS = 4
@@ -92,6 +92,7 @@ def without_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest"
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns."""
+    docs = settled(docs)
     kept = exact_duplicates(docs, id_col, text_col, keep).filter("kept").select(
         F.col("row").alias("__row")
     )

@@ -132,7 +132,7 @@ def kd_shards(
         raise ValueError("give either n_shards or target_bytes")
     axes = [f"d{i}" for i in range(len(dims))]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = durable(
+    rows = durable(  # numbered and written at once, so the numbers stay
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.monotonically_increasing_id().alias("row"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmark.llm import exact_dedup, kd_shards, packing, secrets, word_bpe
+from flowmark.llm import chosen_path, exact_dedup, kd_shards, packing, secrets, word_bpe
 from flowmark.llm.common import documents
 
 #: Shards of the sharding query, and the metadata its tree cuts along.
@@ -54,6 +54,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = chosen_path.near_duplicates(documents(spark, sf_dir), shingle_words=4, similarity=0.8)
+    return near.select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokenizer_file("word_bpe_49k.json")
     decoded = word_bpe.decode(word_bpe.encode(documents(spark, sf_dir), file), file)
@@ -70,5 +80,6 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_secret_scans": op4_secret_scans,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_word_bpe": op7_word_bpe,
 }
