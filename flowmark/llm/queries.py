@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmark.llm import chosen_path, exact_dedup, kd_shards, packing, secrets, word_bpe
+from flowmark.llm import chosen_path, exact_dedup, kd_shards, packing, phrases, secrets, word_bpe
 from flowmark.llm.common import documents
 
 #: Shards of the sharding query, and the metadata its tree cuts along.
@@ -75,6 +75,12 @@ def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.without_repeats(documents(spark, sf_dir), window=20).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -82,4 +88,5 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_word_bpe": op7_word_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
 }
