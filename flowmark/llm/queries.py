@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmark.llm import chosen_path, exact_dedup, kd_shards, packing, phrases, secrets, word_bpe
+from flowmark.llm import chosen_path, exact_dedup, kd_shards, packing, phrases, secrets, weighted_sampling, word_bpe
 from flowmark.llm.common import documents
 
 #: Shards of the sharding query, and the metadata its tree cuts along.
@@ -75,6 +75,19 @@ def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, edit, following = map(F.col, ("signature", "edited_signature", "next_signature"))
+    return weighted_sampling.neighbour_fingerprints(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        weighted_sampling.as_text(own).alias("fingerprint"),
+        weighted_sampling.as_text(edit).alias("edited_fingerprint"),
+        weighted_sampling.likeness(own, edit).alias("near_edited"),
+        weighted_sampling.likeness(own, following).alias("near_next"),
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.without_repeats(documents(spark, sf_dir), window=20).select(
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")
@@ -88,5 +101,6 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_word_bpe": op7_word_bpe,
+    "op8_fingerprints": op8_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
 }
