@@ -21,6 +21,9 @@ from flowmark.llm.common import texts
 
 #: White space that separates words for sure. Other white space is left to the tokenizer.
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+#: Words whose ids a task remembers, and list entries handled at a time.
+REMEMBERED = 300_000
+BLOCK_ENTRIES = 500_000
 ENCODED = "doc_id long, row long, ids array<int>"
 DECODED = "doc_id long, row long, ids array<int>, decoded string"
 
@@ -34,6 +37,38 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+class _WordTable:
+    """The distinct words a task has met and their ids, each encoded once while it is remembered."""
+
+    def __init__(self, path: str):
+        self.coder = _tokenizer(path)
+        self.known: dict[str, bytes] = {}
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and all ids one after the other."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            for word, e in zip(some, self.coder.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[word] = np.array(e.ids, dtype="<i4").tobytes()
+        parts = [self.known[w] for w in words]
+        counts = np.fromiter(map(len, parts), "int64", len(parts)) // 4
+        return counts, np.frombuffer(b"".join(parts), dtype="<i4")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some ``BLOCK_ENTRIES`` list entries, one row at least."""
+    for batch in batches:
+        offsets, first = batch.column(column).offsets.to_numpy(), 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(offsets, offsets[first] + BLOCK_ENTRIES, side="right")) - 1
+            last = min(max(last, first + 1), batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
@@ -55,19 +90,12 @@ def encode(
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokenizer(tokenizer)
-        for batch in batches:
+        encode_words = _WordTable(tokenizer)
+        for batch in _blocks(batches, "words"):
             words = batch.column("words")
             table = words.flatten().dictionary_encode()
-            distinct = [
-                e.ids
-                for e in coder.encode_batch_fast(
-                    table.dictionary.to_pylist(), add_special_tokens=False
-                )
-            ]
-            counts = np.fromiter(map(len, distinct), "int64", len(distinct))
+            counts, ids = encode_words(table.dictionary.to_pylist())
             starts = np.cumsum(counts) - counts
-            ids = np.fromiter((i for x in distinct for i in x), "int32", int(counts.sum()))
             at = table.indices.to_numpy(zero_copy_only=False)
             spread = _expand(starts[at], counts[at])
             before = np.concatenate([[0], np.cumsum(counts[at])])
@@ -100,7 +128,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
         size = 1 + max(coder.get_vocab(with_added_tokens=True).values())
         known = [coder.id_to_token(i) for i in range(size)]
         pieces = pa.array(["" if p is None else f" {p}" for p in known])
-        for batch in batches:
+        for batch in _blocks(batches, "ids"):
             ids = batch.column("ids")
             flat = ids.flatten()
             flat = pc.if_else(
