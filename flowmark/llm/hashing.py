@@ -13,8 +13,8 @@ _RANDOM = np.random.default_rng(20_240_229)
 _BYTES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
@@ -87,7 +87,7 @@ def word_hashes(
         return np.zeros(0, dtype=np.uint64)
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[_LOWER[data] if lower else data] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTES[LOWER[data] if lower else data] * up[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 

@@ -14,19 +14,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmark.functions.durable import durable
 from flowmark.functions.ship import ship
-from flowmark.llm.common import known_rows, texts
+from flowmark.llm.common import settled, texts
+from flowmark.llm.labelled import labels_of, sample_per_label
 from flowmark.llm.hashing import runs_of, text_blocks, word_hashes, word_spans
 
-#: Labelled rows per label that the weights are fitted on, and the longest text among them in bytes.
+#: Labelled rows per label that the weights are fitted on.
 SAMPLE = 3_000
-SAMPLE_BYTES = 1 << 17
 #: Preferences drawn from the sample, and quantiles among which the cut is chosen.
 PAIRS = 40_000
 LEVELS = 200
@@ -162,3 +161,108 @@ class Ranking:
             w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         model.weights = w
         return model
+
+
+FEATURED = "doc_id long, row long, features array<float>"
+
+
+def _featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(batch.column("text")).astype(np.float32)
+            offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), lists],
+                names=["doc_id", "row", "features"],
+            )
+
+    return texts(docs, id_col, text_col).mapInArrow(run, FEATURED)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 31))
+
+
+def _cut(labelled: DataFrame) -> float:
+    """The quantile of the worth of all labelled rows that tells the labels apart best."""
+    levels = labelled.agg(
+        F.percentile_approx("worth", [i / LEVELS for i in range(1, LEVELS)], 10 * LEVELS)
+    ).first()[0]
+    if not levels:
+        return 0.0
+    levels = sorted(set(levels))
+    reached = F.size(F.filter(F.array(*map(F.lit, levels)), lambda q: q <= F.col("worth")))
+    counts = labelled.groupBy(reached.alias("reached"), "good").count().collect()
+    right = [
+        sum(r["count"] for r in counts if (r["reached"] > i) == r["good"])
+        for i in range(len(levels))
+    ]
+    return levels[right.index(max(right))]
+
+
+def quality_scores(
+    docs: DataFrame,
+    labels: DataFrame,
+    held_out,
+    label_col: str = "quality",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample: int = SAMPLE,
+) -> DataFrame:
+    """``doc_id``, ``row`` and ``score`` of every row of ``docs``: 0 to 1, ``CUT`` at the chosen quantile.
+
+    ``held_out`` makes a condition of an id column; labels of such ids are not looked at. Weights
+    are fitted on at most ``sample`` labelled rows of either label; all labelled rows choose the cut.
+    A null text is scored as an empty one. Equal texts have equal scores. Without labels of both kinds
+    there are no preferences, and every text has the score ``CUT``. No rows, no scores.
+    """
+    ship(docs.sparkSession)
+    featured = durable(_featured(docs, id_col, text_col))
+    learned = labels_of(labels, label_col, held_out)
+    labelled = featured.join(learned, "doc_id")
+    # bounded: at most twice ``sample`` rows of features
+    table = sample_per_label(labelled.select("doc_id", "features", "good"), sample).toArrow()
+    model, cut = None, 0.0
+    good = np.array(table.column("good").to_pylist(), dtype=bool)
+    if good.any() and not good.all():
+        model = Ranking.fit(_rows(table.column("features").combine_chunks()), good)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            worth = model.worth(_rows(batch.column("features")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array(worth, pa.float64())],
+                names=["doc_id", "row", "worth"],
+            )
+
+    if model is None:
+        ranked = featured.select("doc_id", "row", F.lit(0.0).alias("worth"))
+    else:
+        ranked = durable(featured.mapInArrow(run, "doc_id long, row long, worth double"))
+        cut = _cut(ranked.join(learned, "doc_id"))
+    ahead = F.col("worth") - F.lit(float(cut)) + float(np.log(CUT / (1 - CUT)))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), ahead))))
+    return ranked.select(
+        "doc_id",
+        "row",
+        # the rounding of the logistic function does not decide
+        F.when(F.col("worth") >= float(cut), F.greatest(score, F.lit(CUT))).otherwise(score).alias("score"),
+    )
+
+
+def of_good_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    held_out,
+    label_col: str = "quality",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``CUT``, with all their columns."""
+    docs = settled(docs)
+    scores = quality_scores(docs, labels, held_out, label_col, id_col, text_col)
+    kept = scores.filter(F.col("score") >= CUT).select(F.col("row").alias("__row"))
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.join(kept, "__row", "left_semi").drop("__row")

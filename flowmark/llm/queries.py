@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmark.llm import chosen_path, exact_dedup, kd_shards, packing, phrases, secrets, weighted_sampling, word_bpe
+from flowmark.llm import chosen_path, exact_dedup, kd_shards, packing, phrases, quality, secrets, toxicity, weighted_sampling, word_bpe
 from flowmark.llm.common import documents
+from flowmark.llm.labelled import remainder
 
 #: Shards of the sharding query, and the metadata its tree cuts along.
 SHARDS = 24
@@ -36,6 +37,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_held_out(doc_id):
+    return remainder(doc_id, 4) == 2
+
+
+def toxic_held_out(doc_id):
+    return remainder(doc_id, 5) == 0
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _judged(scores: DataFrame, held_out, cut: float) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= cut).cast("int").alias("predicted"),
+    )
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(
+        documents(spark, sf_dir), labels(spark, sf_dir), quality_held_out
+    )
+    return _judged(scores, quality_held_out, quality.CUT)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = secrets.scan(documents(spark, sf_dir))
     return secrets.findings_by_path(result).select(
@@ -94,13 +123,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(
+        documents(spark, sf_dir), labels(spark, sf_dir), toxic_held_out
+    )
+    return _judged(scores, toxic_held_out, 0.5)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_secret_scans": op4_secret_scans,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_word_bpe": op7_word_bpe,
     "op8_fingerprints": op8_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
