@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowmark.functions.durable import durable, local_table
+from flowmark.functions.durable import durable, ensure_checkpoint_dir, local_table
 
 PART_BITS = 33
 
@@ -14,14 +16,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table into the checkpoint folder, and read from there."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settled(docs: DataFrame) -> DataFrame:
     """``docs`` with rows that come in the same order however often, and with whichever columns, they are
     computed, as row numbers need it. Files and checkpoints are like that; what comes out of a shuffle
-    is written to the checkpoint folder first."""
+    is stored first."""
     plan = docs.sparkSession._jvm.PythonSQLUtils.explainString(
         docs._jdf.queryExecution(), "simple"
     )
-    return durable(docs) if "Exchange" in plan else docs
+    return stored(docs) if "Exchange" in plan else docs
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
