@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowmark.functions.durable import durable
 from flowmark.llm.common import texts
 
 
@@ -172,7 +173,9 @@ def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFr
 def findings_by_path(result: Scan, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """One row per path and version: ``doc_id``, ``row``, ``blob``, counts, ``found``, ``spans``."""
     counts = [f"n_{r.kind}" for r in rules]
-    return result.paths.join(by_blob(result.findings, rules), "blob", "left").select(
+    # kept first: the join then only shuffles its sides, and Spark can split a blob of many paths
+    found = durable(by_blob(result.findings, rules))
+    return result.paths.join(found, "blob", "left").select(
         "doc_id",
         "row",
         "blob",
@@ -210,8 +213,10 @@ def without_secrets(
     rules: tuple[Rule, ...] = BASE_RULES,
 ) -> DataFrame:
     """All rows and columns of ``docs`` with their secrets replaced by ``mask``. Null texts stay null."""
-    found = by_blob(scan(docs, None, None, id_col, text_col, rules).findings, rules).select(
-        F.col("blob").alias("__blob"), F.col("found").alias("__found")
+    found = durable(
+        by_blob(scan(docs, None, None, id_col, text_col, rules).findings, rules).select(
+            F.col("blob").alias("__blob"), F.col("found").alias("__found")
+        )
     )
     marked = docs.withColumn("__key", F.sha2(text_col, 256))
     return (
