@@ -249,7 +249,8 @@ def repeated_ranges(plain: DataFrame, window: int) -> DataFrame:
     digests = durable(
         plain.select("doc_id", "row", F.unhex(F.sha2("text", 256)).alias("digest"))
     )
-    firsts = digests.groupBy("digest").agg(F.min(key).alias("first"))
+    # kept first: the join then only shuffles its sides, and Spark can split a text of many copies
+    firsts = durable(digests.groupBy("digest").agg(F.min(key).alias("first")))
     copies = durable(
         digests.join(firsts, "digest")
         .filter(F.col("row") != F.col("first.row"))
