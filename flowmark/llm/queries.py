@@ -95,7 +95,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = tokenizer_file("word_bpe_49k.json")
-    decoded = word_bpe.decode(word_bpe.encode(documents(spark, sf_dir), file), file)
+    decoded = word_bpe.encode_and_decode(documents(spark, sf_dir), file)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -22,7 +22,7 @@ from flowmark.llm.common import texts
 #: White space that separates words for sure. Other white space is left to the tokenizer.
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 #: Words whose ids a task remembers, and list entries handled at a time.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 BLOCK_ENTRIES = 500_000
 ENCODED = "doc_id long, row long, ids array<int>"
 DECODED = "doc_id long, row long, ids array<int>, decoded string"
@@ -79,15 +79,8 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def encode(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id``, ``row`` and ``ids`` of every row of ``docs``, without added special tokens.
-
-    A null or empty text has no ids. Strings of special tokens in a text are special tokens, as by
-    default in the tokenizers library. The file ``tokenizer`` has to be at that path on all workers.
-    """
-    ship(docs.sparkSession)
+def _encoding(tokenizer: str):
+    """Batches with ``words`` to batches with ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_words = _WordTable(tokenizer)
@@ -109,17 +102,11 @@ def encode(
                 names=["doc_id", "row", "ids"],
             )
 
-    return (
-        texts(docs, id_col, text_col)
-        .select("doc_id", "row", F.split("text", BLANKS).alias("words"))
-        .mapInArrow(run, ENCODED)
-    )
+    return run
 
 
-def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """``encoded`` with ``decoded``: the pieces of the ids, special ones too, joined by blanks, which is
-    what a tokenizer file without a decoder says. An id that the file does not know is left out."""
-    ship(encoded.sparkSession)
+def _decoding(tokenizer: str):
+    """Batches with ``ids`` to batches with ``ids`` and ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(tokenizer)
@@ -128,12 +115,12 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
         size = 1 + max(coder.get_vocab(with_added_tokens=True).values())
         known = [coder.id_to_token(i) for i in range(size)]
         pieces = pa.array(["" if p is None else f" {p}" for p in known])
+        del coder
         for batch in _blocks(batches, "ids"):
             ids = batch.column("ids")
             flat = ids.flatten()
-            flat = pc.if_else(
-                pc.and_(pc.greater_equal(flat, 0), pc.less(flat, size)), flat, pa.scalar(None, pa.int32())
-            )
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, size))
+            flat = pc.if_else(inside, flat, pa.scalar(None, pa.int32()))
             offsets = ids.offsets.to_numpy()
             taken = pc.fill_null(pieces.take(flat), "")
             joined = pc.binary_join(_lists(offsets - offsets[0], taken), "")
@@ -142,4 +129,37 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 names=["doc_id", "row", "ids", "decoded"],
             )
 
-    return encoded.select("doc_id", "row", "ids").mapInArrow(run, DECODED)
+    return run
+
+
+def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
+    return texts(docs, id_col, text_col).select(
+        "doc_id", "row", F.split("text", BLANKS).alias("words")
+    )
+
+
+def encode(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``row`` and ``ids`` of every row of ``docs``, without added special tokens.
+
+    A null or empty text has no ids. Strings of special tokens in a text are special tokens, as by
+    default in the tokenizers library. The file ``tokenizer`` has to be at that path on all workers.
+    """
+    return _words(docs, id_col, text_col).mapInArrow(_encoding(tokenizer), ENCODED)
+
+
+def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """``encoded`` with ``decoded``: the pieces of the ids, special ones too, joined by blanks, which is
+    what a tokenizer file without a decoder says. An id that the file does not know is left out."""
+    ship(encoded.sparkSession)
+    return encoded.select("doc_id", "row", "ids").mapInArrow(_decoding(tokenizer), DECODED)
+
+
+def encode_and_decode(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """:func:`decode` of :func:`encode`, by one Python worker per task instead of two."""
+    encoding, decoding = _encoding(tokenizer), _decoding(tokenizer)
+    return _words(docs, id_col, text_col).mapInArrow(lambda b: decoding(encoding(b)), DECODED)

@@ -92,6 +92,8 @@ def test_word_ids_are_those_of_the_library(spark):
         wanted.append((doc_id, ids, t.decode(ids, skip_special_tokens=False)))
     assert found == sorted(w for w in wanted if w[0] is not None)
     assert len(rows) == len(wanted)
+    both = word_bpe.encode_and_decode(awkward(spark), WORD).collect()
+    assert sorted(map(tuple, both), key=str) == sorted(map(tuple, rows), key=str)
 
 
 def test_no_rows(spark):
