@@ -6,7 +6,8 @@
    that the node chooses and by the minwise token found there. Two sets of similarity s share a branch
    with probability s, so at 0.8 a tree of three branches loses a pair with probability below 0.01 however
    deep it is, and ``TREES`` independent ones with less than 1e-6. Nodes of few classes
-   are compared exhaustively by their sketches; large ones branch on.
+   are compared exhaustively by their sketches; large ones branch on, unless few of their pairs are
+   not connected yet.
 3. What the nodes report is a forest of classes whose sketches agree in half of the positions; at a
    similarity of 0.8 fewer agree with probability below 1e-7. Its components hold all links
    found. The full sets of a component are brought together once, and links are confirmed on them.
@@ -36,8 +37,10 @@ TREES = 3
 BRANCHES = 3
 #: Depths at which nodes branch; each has its own positions of the sketch.
 DEPTH = 4
-#: Classes of a node that are compared exhaustively.
-SMALL_NODE = 256
+#: Classes of a node that are compared exhaustively, and pairs of classes of different components for
+#: which a larger node is compared and does not branch.
+SMALL_NODE = 32
+NODE_PAIRS = 200_000
 #: Sketch positions that have to agree for a pair to be looked at on full sets.
 AGREE = 32
 #: Classes of a component confirmed in one task.
@@ -123,34 +126,57 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _alike(nodes: np.ndarray, sketches: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Pairs of rows of the same node (rows come by node) whose sketches agree enough.
-
-    Every row is compared with the ``limit`` rows after it and with the first of its node."""
-    found_a, found_b = [], []
+def _agreeing(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``a[i], b[i]`` of rows have sketches that agree enough."""
+    out = np.zeros(len(a), dtype=bool)
+    for at in range(0, len(a), 65536):
+        x, y = a[at : at + 65536], b[at : at + 65536]
+        # few positions tell most pairs apart
+        some = np.flatnonzero((sketches[x, :16] == sketches[y, :16]).any(1))
+        out[at + some] = (sketches[x[some]] == sketches[y[some]]).sum(1) >= AGREE
+    return out
 
-    def compare(a: np.ndarray, b: np.ndarray) -> None:
-        for at in range(0, len(a), 65536):
-            x, y = a[at : at + 65536], b[at : at + 65536]
-            # few positions tell most pairs apart
-            some = (sketches[x, :16] == sketches[y, :16]).sum(1) > 0
-            x, y = x[some], y[some]
-            same = (sketches[x] == sketches[y]).sum(1) >= AGREE
-            found_a.append(x[same])
-            found_b.append(y[same])
 
+def _alike(nodes: np.ndarray, sketches: np.ndarray, small: int) -> list[tuple[int, int]]:
+    """Pairs of rows of a node (rows come by node) with sketches alike: all pairs of nodes with at most
+    ``small`` rows, and each row with the first one of its node."""
     first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
     sizes = np.diff(np.concatenate([first, [len(nodes)]]))
-    left = np.repeat(first + sizes, sizes) - np.arange(len(nodes)) - 1  # rows after it in its node
-    rows = np.arange(len(nodes))
-    for step in range(1, min(limit, int(sizes.max())) if len(sizes) else 0):
+    head, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
+    left = head + size - np.arange(len(nodes)) - 1  # rows after it in its node
+    rows = np.flatnonzero(np.arange(len(nodes)) > head)
+    pairs = [(head[rows], rows)]
+    rows = np.flatnonzero((size <= small) & (np.arange(len(nodes)) > head))
+    for step in range(1, small):
         rows = rows[left[rows] >= step]
-        compare(rows, rows + step)
-    far = sizes > limit
-    for start, size in zip(first[far], sizes[far]):
-        others = np.arange(start + limit, start + size)
-        compare(np.full(len(others), start), others)
-    return list(zip(np.concatenate(found_a).tolist(), np.concatenate(found_b).tolist())) if found_a else []
+        pairs.append((rows, rows + step))
+    found = [(a[same], b[same]) for a, b in pairs for same in [_agreeing(sketches, a, b)]]
+    a, b = (np.concatenate(side).tolist() for side in zip(*found))
+    return list(zip(a, b))
+
+
+def _across(nodes: np.ndarray, groups: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows of a node with sketches alike and different groups, as far as they connect groups.
+
+    Rows come by node and group. Those of a node's largest group are not compared with each other."""
+    number, groups = np.unique(groups, return_inverse=True)
+    parent = np.arange(len(number))
+    out = []
+    first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(nodes)]):
+        own = groups[start:end]
+        kinds, counts = np.unique(own, return_counts=True)
+        largest = kinds[counts.argmax()]
+        every = np.arange(start, end)
+        for x in every[own != largest].tolist():
+            others = every[(own == largest) | (every < x)]
+            others = others[parent[groups[others]] != parent[groups[x]]]
+            for y in others[_agreeing(sketches, np.full(len(others), x), others)].tolist():
+                low, high = sorted((parent[groups[x]], parent[groups[y]]))
+                if low != high:
+                    parent[parent == high] = low
+                    out.append((x, y))
+    return out
 
 
 def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -171,23 +197,42 @@ def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(classes: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Classes of pairs of rows, without what they connect already."""
+    number, at = np.unique(classes, return_inverse=True)
+    ends = np.array(_forest(len(number), ((at[a], at[b]) for a, b in pairs)), dtype=np.int64)
+    ends = ends.reshape(-1, 2)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(number[ends[:, 0]]), pa.array(number[ends[:, 1]])], names=["a", "b"]
+    )
+
+
+def _compare_nodes(small: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_node(batches):
+            if table.num_rows:
+                nodes, sketches = table.column("node").to_numpy(), _matrix(table.column("sketch"))
+                yield _links(table.column("cls").to_numpy(), _alike(nodes, sketches, small))
+
+    return run
+
+
+def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _by_node(batches):
-        if not table.num_rows:
-            continue
-        classes = table.column("cls").to_numpy()
-        nodes = table.column("node").to_numpy()
-        pairs = _alike(nodes, _matrix(table.column("sketch")), SMALL_NODE)
-        number, classes_at = np.unique(classes, return_inverse=True)
-        pairs = _forest(len(number), ((classes_at[a], classes_at[b]) for a, b in pairs))
-        ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(number[ends[:, 0]]), pa.array(number[ends[:, 1]])], names=["a", "b"]
-        )
+        if table.num_rows:
+            nodes, sketches = table.column("node").to_numpy(), _matrix(table.column("sketch"))
+            pairs = _across(nodes, table.column("component").to_numpy(), sketches)
+            yield _links(table.column("cls").to_numpy(), pairs)
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Links between classes with sketches alike that share a node of a tree."""
+    """Links between classes with sketches alike that share a node of a tree.
+
+    First the nodes below the roots: small ones are compared exhaustively, in large ones every class with
+    the first. That joins the bulk of a large group of near copies, whose members no tree could tell
+    apart, by one link each. From there on only classes of different components are compared: in
+    nodes with few such pairs all of them, while nodes with many branch on.
+    """
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,28 +256,44 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
         return run
 
+    def by_node(members: DataFrame, *order: str) -> DataFrame:
+        # the rows of a node come together by hash and are sorted by node within a task
+        with_sketch = members.join(classes, "cls").repartition("node")
+        return with_sketch.sortWithinPartitions("node", *order, "cls")
+
     members = durable(classes.mapInArrow(roots, "node long, cls long"))
-    compared = []
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = durable(members.join(sizes, "node"))
+    links = durable(
+        by_node(members.select("node", "cls"))
+        .mapInArrow(_compare_nodes(SMALL_NODE), "a long, b long")
+        .distinct()
+    )
+    joined = components(links).select(F.col("v").alias("cls"), F.col("root").alias("component"))
+    members = members.filter(F.col("size") > SMALL_NODE).select("node", "cls")
     for depth in range(1, DEPTH + 1):
-        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        shared = members.join(sizes, "node")
-        last = depth == DEPTH
-        compared.append(shared if last else shared.filter(F.col("size") <= SMALL_NODE))
-        large = shared.filter(F.col("size") > SMALL_NODE).select("node", "cls")
-        if last or large.isEmpty():
+        if members.isEmpty():
             break
-        members = durable(large.join(classes, "cls").mapInArrow(down(depth), "node long, cls long"))
-    links = None
-    for part in compared:
-        # the compared rows of a node come together by hash and are sorted by node within a task
-        found = (
-            part.select("node", "cls")
-            .join(classes, "cls")
-            .repartition("node")
-            .sortWithinPartitions("node", "cls")
-            .mapInArrow(_compare_nodes, "a long, b long")
+        members = durable(
+            members.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        )
+        mixed = (
+            members.groupBy("node", "component")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("node")
+            .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+            .select("node", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
+            .filter("pairs > 0")
         )
-        links = found if links is None else links.unionByName(found)
+        members = durable(members.join(mixed, "node"))
+        few = (F.col("pairs") <= NODE_PAIRS) | F.lit(depth == DEPTH)
+        found = by_node(members.filter(few).select("node", "component", "cls"), "component")
+        links = links.unionByName(found.mapInArrow(_compare_groups, "a long, b long"))
+        large = members.filter(~few).select("node", "cls")
+        if depth < DEPTH:
+            members = durable(large.join(classes, "cls").mapInArrow(down(depth), "node long, cls long"))
+            sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+            members = members.join(sizes.select("node"), "node")
     return links.distinct()
 
 

@@ -62,10 +62,11 @@ def chains(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("small", [(256, 1500), (6, 20)])
+@pytest.mark.parametrize("small", [(32, 200_000, 1500), (3, 5, 20)])
 def test_chains_with_small_limits(spark, monkeypatch, small):
-    node, block = small
+    node, pairs, block = small
     monkeypatch.setattr(chosen_path, "SMALL_NODE", node)
+    monkeypatch.setattr(chosen_path, "NODE_PAIRS", pairs)
     monkeypatch.setattr(chosen_path, "BLOCK", block)
     rows = chains(500, 5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
