@@ -26,7 +26,7 @@ def stable_key(key_cols: Sequence[str], fallback_cols: Sequence[str] | None = No
 
 
 def seeded_hash(key: Column, seed: int = 42, kind: str = "xxhash64") -> Column:
-    """Signed 64-bit hash of ``key`` under ``seed``.
+    """Signed 64-bit hash of ``key`` under ``seed``; never null, a null key counts as empty text.
 
     ``xxhash64`` hashes the key and an INT seed. ``md5`` keeps the top 60 bits of the digest
     of ``key|seed``, which other SQL engines can compute too.
@@ -34,7 +34,7 @@ def seeded_hash(key: Column, seed: int = 42, kind: str = "xxhash64") -> Column:
     if kind == "xxhash64":
         return F.xxhash64(key, F.lit(seed))
     if kind == "md5":
-        digest = F.md5(F.concat(key, F.lit(f"|{seed}")))
+        digest = F.md5(F.concat(F.coalesce(key, F.lit("")), F.lit(f"|{seed}")))
         return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     raise ValueError(f"unknown hash kind {kind!r}")
 

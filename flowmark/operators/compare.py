@@ -82,13 +82,18 @@ def compare(
     variance: DataFrame | None = None,
     timings: DataFrame | None = None,
 ) -> DataFrame:
-    """Every published cell with the reproduced value, its status, errors and grade."""
+    """Every published cell with the reproduced value, its status, errors and grade.
+
+    A model that occurs more than once counts with its greatest value of a metric; it has collapsed if any
+    of its runs has, and is valid if all are.
+    """
     values = long_metrics(metrics)
     if variance is not None:
         values = values.unionByName(long_variance(variance))
     if timings is not None:
         values = values.unionByName(long_timings(timings))
-    values = values.withColumnRenamed("value", "reproduced_value")
+    # one value per cell, however often a model was run: the greatest
+    values = values.groupBy(*CELL).agg(F.max("value").alias("reproduced_value"))
     joined = null_safe_join(reference, values, CELL, "left")
     joined = null_safe_join(joined, model_flags(metrics), MODEL, "left")
     return with_grade(

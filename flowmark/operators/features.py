@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     FeatureHasher,
@@ -13,6 +14,7 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +27,14 @@ from flowmark.fixed_values import (
 )
 from flowmark.functions.durable import durable
 from flowmark.functions.scalars import number_value, observed, text_value, vector_width
-from flowmark.operators.profile import category_index, index_column
+from flowmark.operators.profile import Lookup, category_index, index_column, lookup
 
 PREFIX = "__value_"
 #: Distinct values up to which a column is indexed by ``StringIndexer`` (labels on the driver).
 INDEXER_VALUES = 10_000
-#: Widest vector that may be centred: centring makes every vector dense.
-MAX_WIDTH = 20_000
+#: Widest vector that is centred row by row, which makes it dense. Wider ones stay sparse and carry
+#: their mean as an offset.
+DENSE_WIDTH = 20_000
 
 METADATA_SCHEMA = (
     "numeric_features array<string>, categorical_features array<string>,"
@@ -117,12 +120,14 @@ class FeatureModel:
     columns: FeatureColumns
     means: dict[str, float]
     empty: tuple[str, ...]  # numeric columns without any value: left out
-    wide: dict[str, DataFrame]  # index tables of columns with many values
+    wide: dict[str, Lookup]  # indices of columns with many values
     pipeline: PipelineModel
     scaled: bool
     dimension: int
     fit_scope: str
     mappings: dict[str, list[str]] = field(default_factory=dict)
+    #: what has to be taken off wide scaled features to centre them (see :data:`DENSE_WIDTH`)
+    offset: DenseVector | None = None
 
     def values(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Feature columns with means filled in and wide columns indexed."""
@@ -144,7 +149,7 @@ class FeatureModel:
         table = spark.createDataFrame(rows, "column string, value string, index bigint")
         for column, index in self.wide.items():
             table = table.unionByName(
-                index.select(F.lit(column).alias("column"), "value", "index")
+                index.table.select(F.lit(column).alias("column"), "value", "index")
             )
         return table
 
@@ -159,7 +164,10 @@ class FeatureModel:
             self.how.buckets if self.columns.hashed else None,
             self.how.name,
             self.dimension,
-            "z-score (withMean=True, withStd=True)" if self.scaled else "none",
+            "none"
+            if not self.scaled
+            else f"z-score (withMean={self.offset is None}, withStd=True)"
+            + (" and offset" if self.offset is not None else ""),
             self.fit_scope,
         )
 
@@ -167,7 +175,7 @@ class FeatureModel:
         return spark.createDataFrame([self.metadata_row()], METADATA_SCHEMA)
 
 
-def _fill(values: DataFrame, means: dict[str, float], wide: dict[str, DataFrame]) -> DataFrame:
+def _fill(values: DataFrame, means: dict[str, float], wide: dict[str, Lookup]) -> DataFrame:
     filled = values.select(
         *[
             F.coalesce(observed(F.col(c)), F.lit(means[c])).alias(c) if c in means else F.col(c)
@@ -177,8 +185,7 @@ def _fill(values: DataFrame, means: dict[str, float], wide: dict[str, DataFrame]
     for column, index in wide.items():
         name = PREFIX + column
         filled = index_column(filled, name, index, f"{name}__indexed").drop(name)
-        known = index.count()
-        nominal = {"ml_attr": {"type": "nominal", "num_vals": known + 1}}
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": index.known + 1}}
         filled = filled.withMetadata(f"{name}__indexed", nominal)
     return filled
 
@@ -190,10 +197,14 @@ def fit_features(
     fit_scope: str = "train-only",
     *,
     indexer_values: int = INDEXER_VALUES,
-    max_width: int = MAX_WIDTH,
+    dense_width: int = DENSE_WIDTH,
 ) -> FeatureModel:
     """Fit imputation, indexing, encoding and scaling on ``fit``.
 
+    Features wider than ``dense_width`` are scaled but not centred, so that vectors stay sparse; the
+    model keeps the offset. Linear models with an intercept, covariances and scatter matrices do
+    not depend on it.
+
     Means, value counts and distinct estimates come from one aggregate. Text columns with few
     values go through one ``StringIndexer``; the others get an index table made by a
     distributed sort, since their values must not be pulled to the driver.
@@ -218,11 +229,10 @@ def fit_features(
     if wide_names:
         table = durable(category_index(values, wide_names))
         for name in wide_names:
-            own = table.filter(F.col("column") == name)
-            wide[name.removeprefix(PREFIX)] = own
+            wide[name.removeprefix(PREFIX)] = lookup(table, name)
     fit_values = _fill(values.drop(*empty), means, wide)
 
-    stages = []
+    stages, offset = [], None
     narrow = [c for c in indexed if c not in wide_names]
     if narrow:
         stages.append(
@@ -269,14 +279,15 @@ def fit_features(
         # the width is known from the indices, before vectors are made dense
         assembled = Pipeline(stages=stages).fit(fit_values)
         width = vector_width(assembled.transform(fit_values.limit(1)), "unscaled_features")
-        if width > max_width:
-            raise ValueError(
-                f"{width} features are too wide to centre (limit {max_width}): "
-                "hash wide text columns, drop them, or do not scale"
-            )
         scaler = StandardScaler(
-            inputCol="unscaled_features", outputCol="features", withMean=True, withStd=True
+            inputCol="unscaled_features",
+            outputCol="features",
+            withMean=width <= dense_width,
+            withStd=True,
         ).fit(assembled.transform(fit_values))
+        if width > dense_width:
+            mean, std = scaler.mean.toArray(), scaler.std.toArray()
+            offset = DenseVector(np.divide(mean, std, out=np.zeros_like(mean), where=std > 0))
         pipeline = PipelineModel([*assembled.stages, scaler])
     else:
         pipeline = Pipeline(stages=stages).fit(fit_values)
@@ -299,6 +310,7 @@ def fit_features(
         width,
         fit_scope,
         mappings,
+        offset,
     )
 
 

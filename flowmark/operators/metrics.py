@@ -183,7 +183,8 @@ def _auroc(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     from one total per range.
     """
     by = list(by)
-    counted = scored.groupBy(*by, "__score").agg(
+    # a row without a label is neither positive nor negative
+    counted = scored.filter(F.col("__positive").isNotNull()).groupBy(*by, "__score").agg(
         F.sum(F.when(F.col("__positive"), 1).otherwise(0)).alias("__pos"),
         F.sum(F.when(F.col("__positive"), 0).otherwise(1)).alias("__neg"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,36 +45,50 @@ def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def index_column(
-    df: DataFrame, column: str, index: DataFrame, output: str, head: int = HEAD_VALUES
-) -> DataFrame:
+@dataclass(frozen=True)
+class Lookup:
+    """Index of one column, measured once: how many values it has and how many go by broadcast."""
+
+    table: DataFrame  # value, index
+    known: int
+    head: int
+
+
+def lookup(index: DataFrame, column: str, head: int = HEAD_VALUES) -> Lookup:
+    """The part of :func:`category_index` that belongs to ``column``, ready to be applied."""
+    own = index.filter(F.col("column") == column).select("value", "index")
+    size = F.sum(F.when(F.col("index") < head, F.octet_length("value")))
+    known, size = own.agg(F.count(F.lit(1)), size).first()
+    # long texts: everything goes through the shuffle join
+    return Lookup(own, known, head if (size or 0) <= BROADCAST_BYTES else 0)
+
+
+def index_column(df: DataFrame, column: str, own: Lookup, output: str) -> DataFrame:
     """Replace values by their index as a double; unseen values get the number of known ones.
 
-    The ``head`` most frequent values are looked up by broadcast. Only the others are shuffled,
-    and none of those can hold more than one part in ``head`` of the rows the index was made on.
+    The most frequent values are looked up by broadcast, the others by a join on the value. Rows that
+    were found (or are null) take part in that join under a key of their own that matches nothing and
+    spreads them, so the input is read once however many columns are indexed one after the other,
+    and no value in the join can hold more than one part in ``head`` of the rows.
     """
-    own = index.filter(F.col("column") == column).select(F.col("value"), F.col("index"))
-    common = F.col("index") < head
-    known, size = own.agg(
-        F.count(F.lit(1)), F.sum(F.when(common, F.octet_length("value")))
-    ).first()
-    if (size or 0) > BROADCAST_BYTES:  # long texts: everything goes through the shuffle join
-        head = known
-        top = own
-    else:
-        top = F.broadcast(own.filter(common))
-    first = df.join(top, df[column] == own["value"], "left").drop("value")
-    if known <= head:
-        return first.withColumn(
-            output, F.coalesce("index", F.lit(known)).cast("double")
-        ).drop("index")
-    found = first.filter(F.col("index").isNotNull())
-    other = first.filter(F.col("index").isNull()).drop("index")
-    rare = own.filter(F.col("index") >= head)
-    other = other.join(rare, other[column] == rare["value"], "left").drop("value")
-    return found.unionByName(other).withColumn(
-        output, F.coalesce("index", F.lit(known)).cast("double")
-    ).drop("index")
+    table = own.table.select(F.col("value").alias("__value"), F.col("index").alias("__index"))
+    out = df.withColumn("__index", F.lit(None).cast("bigint"))
+    if own.head:
+        top = F.broadcast(table.filter(F.col("__index") < own.head))
+        out = df.join(top, df[column] == top["__value"], "left").drop("__value")
+    if own.known > own.head:
+        missed = F.col("__index").isNull() & F.col(column).isNotNull()
+        spread = F.concat(F.lit("-"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))
+        rare = table.filter(F.col("__index") >= own.head).select(
+            F.concat(F.lit("="), "__value").alias("__other"), F.col("__index").alias("__rare")
+        )
+        out = (
+            out.withColumn("__key", F.when(missed, F.concat(F.lit("="), F.col(column))).otherwise(spread))
+            .join(rare, F.col("__key") == F.col("__other"), "left")
+            .withColumn("__index", F.coalesce("__index", "__rare"))
+            .drop("__key", "__other", "__rare")
+        )
+    return out.withColumn(output, F.coalesce("__index", F.lit(own.known)).cast("double")).drop("__index")
 
 
 def unseen_categories(fit: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowmark.functions.scalars import vector_width
+from flowmark.functions.ship import ship
 
-#: Widest features a d x d matrix is made of on the driver (4096 doubles squared: 128 MB).
-MAX_SCATTER_WIDTH = 4096
-#: Most class means (classes x width) sent to the tasks.
-MAX_MEANS = 4_000_000
+#: Memory of the driver for the matrices of an LDA fit, unless a call gives its own.
+DRIVER_BYTES = 1 << 30
+#: Groups in which the matrices of the tasks are added up before the groups are.
+SCATTER_FAN_IN = 64
 #: Eigenvalues of the within-class scatter below this share of the largest count as zero.
 RANK_CUTOFF = 1e-10
 
@@ -70,6 +71,7 @@ def scatter_rows(
     cancels; the task matrices are then added line by line on the executors.
     """
 
+    ship(df.sparkSession)
     labels = np.array(sorted(means))
     centres = np.stack([means[x] for x in labels])
 
@@ -89,23 +91,34 @@ def scatter_rows(
                 names=["line", "values"],
             )
 
-    partial = df.select(
-        F.col(label).cast("double").alias("l"), vector_to_array(features).alias("x")
-    ).mapInArrow(gram, "line int, values array<double>")
-    return partial.groupBy("line").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("values"))).alias("values")
+    partial = (
+        df.select(F.col(label).cast("double").alias("l"), vector_to_array(features).alias("x"))
+        .mapInArrow(gram, "line int, values array<double>")
+        .withColumn("__task", F.spark_partition_id() % SCATTER_FAN_IN)
     )
+    added = vector_to_array(Summarizer.sum(array_to_vector("values"))).alias("values")
+    # two levels, so that no task adds up the same line of all matrices at once
+    return partial.groupBy("line", "__task").agg(added).groupBy("line").agg(added)
 
 
-def fit_scatter(df: DataFrame, features: str = "features", label: str = "label") -> Scatter:
-    """Two passes over ``df``: class means, then the scatter around them."""
+def fit_scatter(
+    df: DataFrame,
+    features: str = "features",
+    label: str = "label",
+    driver_bytes: int = DRIVER_BYTES,
+) -> Scatter:
+    """Two passes over ``df``: class means, then the scatter around them.
+
+    ``driver_bytes`` is the memory the driver gives to the matrices of the fit; what does not fit in it is
+    refused before anything is collected.
+    """
     width = vector_width(df, features)
-    most = MAX_MEANS // width
+    most = max(0, driver_bytes // 8 - 4 * width * width) // (2 * width)
     found = class_moments(df, features, label).limit(most + 1).collect()  # a row per class
-    if width > MAX_SCATTER_WIDTH or len(found) > most:
+    if len(found) > most:
         raise ValueError(
-            f"{width} features and {len(found)} classes or more are too wide for a scatter "
-            "matrix: hash wide text columns or drop them"
+            f"{width} features and {len(found)} classes or more need more than "
+            f"{driver_bytes} bytes on the driver: raise driver_bytes, or hash wide text columns"
         )
     found.sort(key=lambda r: r["label"])
     labels = tuple(float(r["label"]) for r in found)
@@ -125,7 +138,8 @@ def solve_lda(scatter: Scatter, k_max: int, normalise: str = "unit") -> LdaModel
 
     The within-class scatter is whitened on the space where it is not zero, which turns the
     problem into a symmetric one. ``unit`` scales directions to length one, ``whiten`` to unit
-    within-class variance. The largest entry of a direction is positive.
+    within-class variance. The largest entry of a direction is positive. Components beyond the rank of
+    the scatter are zero.
     """
     values, vectors = np.linalg.eigh(scatter.within)
     real = values > RANK_CUTOFF * max(values.max(initial=0.0), 0.0)
@@ -150,6 +164,9 @@ def solve_lda(scatter: Scatter, k_max: int, normalise: str = "unit") -> LdaModel
     projection = projection * np.where(peak < 0, -1.0, 1.0)
     total = spread.sum()
     ratios = tuple(float(x) for x in (spread[:k_max] / total if total else spread[:k_max] * 0))
+    beyond = k_max - projection.shape[1]
+    projection = np.pad(projection, ((0, 0), (0, beyond)))
+    ratios += (0.0,) * beyond
     return LdaModel(scatter.overall, projection, ratios, rank)
 
 
@@ -159,15 +176,17 @@ def fit_lda(
     normalise: str = "unit",
     features: str = "features",
     label: str = "label",
+    driver_bytes: int = DRIVER_BYTES,
 ) -> LdaModel:
     """Fit LDA from class statistics; smaller component counts are prefixes of this model."""
-    return solve_lda(fit_scatter(df, features, label), k_max, normalise)
+    return solve_lda(fit_scatter(df, features, label, driver_bytes), k_max, normalise)
 
 
 def lda_project(df: DataFrame, model: LdaModel, k: int, features: str = "features") -> DataFrame:
     """Replace ``features`` by the first ``k`` discriminant scores, one product per Arrow batch."""
     mean, projection = model.mean, np.ascontiguousarray(model.projection[:, :k])
     width = len(mean)
+    ship(df.sparkSession)
 
     @F.arrow_udf("array<double>")
     def project(column: pa.Array) -> pa.Array:
@@ -180,12 +199,6 @@ def lda_project(df: DataFrame, model: LdaModel, k: int, features: str = "feature
 
 def fit_pca(df: DataFrame, k_max: int, features: str = "features") -> PCAModel:
     """Fit principal components once at the largest count."""
-    width = vector_width(df, features)
-    if width > MAX_SCATTER_WIDTH:
-        raise ValueError(
-            f"{width} features are too wide for a covariance matrix: "
-            "hash wide text columns or drop them"
-        )
     return PCA(k=k_max, inputCol=features, outputCol="__reduced").fit(df)
 
 

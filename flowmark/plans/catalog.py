@@ -291,7 +291,7 @@ def index_lookup(spark, sf_dir):
     """Brands indexed on small parts, looked up for all parts; rare values by a second join."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     index = P.category_index(parts.filter("p_size <= 10"), ["p_name"])
-    return P.index_column(parts, "p_name", index, "name_index", head=8)
+    return P.index_column(parts, "p_name", P.lookup(index, "p_name", head=8), "name_index")
 
 
 @register

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import AtomicType, StructField, StructType
 
 from flowmark.fixed_values import CLASS_CAP, PCA_GRID, SWEEP_ITERATIONS, SWEEP_THRESHOLDS
 from flowmark.functions.durable import bounded_table, compact, durable, null_safe_join
@@ -72,7 +72,7 @@ class RunConfig:
     """What to run and how."""
 
     stages: tuple[str, ...] = ("minimal", "pca", "lda")
-    profile: str = "development"
+    profile: str = "full"
     cap: int = CLASS_CAP
     repetitions: int = 1
     warmup: bool = False
@@ -88,6 +88,22 @@ class RunConfig:
     policy: FeaturePolicy | None = None  # instead of the protocol's policy by name
 
 
+#: Columns that hold labels in one form or another.
+TARGETS = ("label", "label_binary", "label_technique")
+
+
+def _fallback(frame: DataFrame, config: RunConfig) -> Sequence[str] | None:
+    """Columns that stand in for a null key: those of the configuration, else all others with a text
+    form, by name. They are only read where the key column has nulls."""
+    if config.fallback_cols is not None or len(config.key_cols) > 1:
+        return config.fallback_cols
+    (key,) = config.key_cols
+    if frame.filter(F.col(key).isNull()).limit(1).isEmpty():
+        return None
+    others = [c for c in frame.columns if c not in (key, config.label_col, *TARGETS)]
+    return sorted(c for c in others if isinstance(frame.schema[c].dataType, AtomicType))
+
+
 class _Results:
     """Result tables of many models, stacked at the end.
 
@@ -202,7 +218,7 @@ def _run_stages(
 ) -> None:
     spark = frame.sparkSession
     labels = sorted(mapping.values())
-    keys = {"key_cols": config.key_cols, "fallback_cols": config.fallback_cols}
+    keys = {"key_cols": config.key_cols, "fallback_cols": _fallback(frame, config)}
     places = [{"dataset": spec.name, "task": task, "stage": stage} for stage in stages]
     identities = {
         stage: {
@@ -266,7 +282,7 @@ def _run_stages(
             return
         how = config.policy or policy(
             protocol.feature_policy,
-            labels=("uid", config.label_col, "label", "label_binary", "label_technique"),
+            labels=(*config.key_cols, "uid", config.label_col, *TARGETS),
         )
         started = perf_counter()
         fit_frame = sample if protocol.fit_on_all else train
@@ -276,8 +292,10 @@ def _run_stages(
         # both sides come from one scan and stay in one cached table
         ready = model.transform(sides, ("label", "split")).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(ready)
+        # computed in the partitions of the source, before its blocks are merged for the fits; so the
+        # timing covers the transform
+        ready.count()
         ready = compact(ready, sum(r["n"] for r in counts), 8 * model.dimension + 64)
-        ready.count()  # so that the timing covers the transform
         base_seconds = perf_counter() - started
         _describe(results, model, how, train, test, fit_frame, sampling, protocol, places)
         for stage in stages:

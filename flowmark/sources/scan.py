@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmark.fixed_values import CLASS_MISMATCH_TEXT
@@ -53,17 +53,20 @@ def file_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
     return (
         files
-        .withColumn("__tail", _path_key("path"))
-        .join(rows.select(_path_key("path").alias("__tail"), "rows"), "__tail", "left")
+        .withColumn("__tail", _path_key(F.col("path")))
+        .join(rows.select(_path_key(_decoded("path")).alias("__tail"), "rows"), "__tail", "left")
         .select("path", "bytes", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"))
     )
 
 
-def _path_key(column: str):
-    # the two readers spell a local path as file:/x or file:///x, and one escapes blanks
-    return F.url_decode(
-        F.regexp_replace(F.regexp_replace(F.col(column), r"^(\w+):/+", "$1:/"), r"\+", "%2B")
-    )
+def _path_key(path: Column) -> Column:
+    # the two readers spell a local path as file:/x or file:///x
+    return F.regexp_replace(path, r"^(\w+):/+", "$1:/")
+
+
+def _decoded(column: str) -> Column:
+    # the metadata column escapes a path as an URI, the listing does not
+    return F.url_decode(F.regexp_replace(F.col(column), r"\+", "%2B"))
 
 
 def schema_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -73,7 +73,7 @@ SPEC = DatasetSpec("toy", ("Scan It", "Discovery"))
 
 def test_corrected_run(spark, flows, tmp_path):
     protocol = Protocol.resolve("corrected", svm_max_iter=8)
-    out = run(flows, SPEC, protocol, RunConfig(cap=150, pca_grid=(2,)))
+    out = run(flows, SPEC, protocol, RunConfig(cap=150, pca_grid=(2,), profile="development"))
     rows = {(r.task, r.preprocessing, r.k): r for r in out["metrics"].collect()}
     assert set(rows) == {
         *[(t, "minimal", None) for t in ("Scan_It", "Discovery", "Multinomial")],
@@ -141,3 +141,19 @@ def test_full_run_is_refused_on_inventory_problems(spark, flows):
     problems = spark.createDataFrame([("toy", "rows", "rows: expected 1, found 2")], "dataset string, problem string, message string")
     with pytest.raises(RuntimeError, match="expected 1, found 2"):
         run(flows, SPEC, Protocol.resolve("corrected"), RunConfig(profile="full"), problems)
+
+
+def test_key_columns_are_no_features(spark, flows):
+    renamed = flows.withColumnRenamed("uid", "flow_number")
+    config = RunConfig(stages=("minimal",), key_cols=("flow_number",))
+    out = run(renamed, SPEC, Protocol.resolve("corrected", svm_max_iter=2), config)
+    for row in out["preprocessing"].collect():
+        assert "flow_number" not in [*row.numeric_features, *row.categorical_features]
+
+
+def test_null_keys_fall_back_on_all_columns(spark, flows):
+    nulled = flows.withColumn("uid", F.lit(None).cast("string"))
+    config = RunConfig(stages=("minimal",))
+    out = run(nulled, SPEC, Protocol.resolve("corrected", svm_max_iter=2), config)
+    sides = {r.split for r in out["class_counts"].select("split").distinct().collect()}
+    assert sides == {"train", "test"}

@@ -115,13 +115,23 @@ def test_no_spread_within_classes(spark):
     assert lda.ratios == (0.0,) and lda.rank == 0
 
 
-def test_too_wide_or_empty(spark, clusters, monkeypatch):
+def test_too_wide_or_empty(spark, clusters):
     with pytest.raises(ValueError, match="empty"):
         fit_lda(clusters.limit(0), 1)
-    monkeypatch.setattr("flowmark.operators.reduction.MAX_SCATTER_WIDTH", 2)
-    for fit in (fit_lda, fit_pca):
-        with pytest.raises(ValueError, match="too wide"):
-            fit(clusters, 1)
+    with pytest.raises(ValueError, match="driver_bytes"):
+        fit_lda(clusters, 1, driver_bytes=100)
+
+
+def test_more_components_than_rank(spark):
+    rng = np.random.default_rng(8)
+    labels = np.arange(100) % 5
+    points = rng.normal(size=(100, 2)) + labels[:, None]
+    df = table(spark, points, labels)
+    model = fit_lda(df, 4)
+    assert model.rank == 2 and model.projection.shape == (2, 4)
+    assert model.ratios[2:] == (0.0, 0.0) and sum(model.ratios) == pytest.approx(1)
+    rows = lda_project(df, model, 4).collect()
+    assert len(rows) == 100 and all(len(r.features) == 4 and r.features[3] == 0 for r in rows)
 
 
 def test_variance_table(spark):

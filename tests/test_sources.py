@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,12 @@ def test_published_cells(spark):
     assert value[18, "Discovery", 1, "cpu_mr_training_seconds"].preprocessing == "lda-mapreduce"
     assert {(r.table, r.page) for r in rows} >= {(5, 14), (22, 23)}
     assert errata(spark).count() == 6
+
+
+@pytest.mark.parametrize("name", ["ts=00%3A10", "100%", "a+b c", "ü x=%20"])
+def test_census_of_escaped_names(spark, tmp_path, name):
+    folder = tmp_path / name
+    folder.mkdir()
+    pq.write_table(pa.table({"x": [1, 2, 3]}), folder / f"{name}.parquet")
+    (row,) = S.file_census(spark, str(tmp_path).replace("%", "%25")).collect()
+    assert row.rows == 3
