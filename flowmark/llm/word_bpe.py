@@ -3,7 +3,7 @@
 Spark splits texts into words at white space, which no token of such a tokenizer crosses. Words and
 their positions arrive in blocks; each block has a table of its distinct words, every word of which
 is encoded once, by the tokenizers library itself. Ids go back to the positions of the words by an
-index join with that table. Decoding joins ids with the table of pieces in the same way.
+index join with that table. Plain words are encoded many to a line, since a call costs more than a word. Decoding joins ids with the table of pieces in the same way.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from flowmark.llm.common import texts
 
 #: White space that separates words for sure. Other white space is left to the tokenizer.
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+#: Marks that a plain word may end with, words encoded in one line, and how a token ends that ends a word.
+MARKS, LINE, END = ".,;:!?", 64, "</w>"
 #: Words whose ids a task remembers, and list entries handled at a time.
 REMEMBERED = 200_000
 BLOCK_ENTRIES = 500_000
@@ -43,15 +45,41 @@ class _WordTable:
     def __init__(self, path: str):
         self.coder = _tokenizer(path)
         self.known: dict[str, bytes] = {}
+        vocab = self.coder.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(1 + max(vocab.values()), dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
+
+    def _encode(self, texts: list[str]):
+        return self.coder.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _cut(self, line: list[str], ids: list[int]) -> None:
+        """Deal the ids of a line of plain words out to them, if they have as many ends as expected."""
+        found = np.array(ids, dtype="<i4")
+        ends = np.flatnonzero(self.ends[found])
+        last = np.cumsum([1 if w.isalpha() else 2 for w in line]) - 1
+        if len(ends) != last[-1] + 1:
+            return
+        data, at = found.tobytes(), 0
+        for word, end in zip(line, (4 * (ends[last] + 1)).tolist()):
+            self.known[word] = data[at:end]
+            at = end
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all ids one after the other."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 1024):
-            some = new[at : at + 1024]
-            for word, e in zip(some, self.coder.encode_batch_fast(some, add_special_tokens=False)):
+        # letters, with or without marks behind them: one token ends with the letters, one with the marks
+        plain = [w for w in new if w.rstrip(MARKS).isalpha()]
+        lines = [plain[at : at + LINE] for at in range(0, len(plain), LINE)]
+        for at in range(0, len(lines), 64):
+            some = lines[at : at + 64]
+            for line, e in zip(some, self._encode([" ".join(x) for x in some])):
+                self._cut(line, e.ids)
+        rest = [w for w in new if w not in self.known]
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
+            for word, e in zip(some, self._encode(some)):
                 self.known[word] = np.array(e.ids, dtype="<i4").tobytes()
         parts = [self.known[w] for w in words]
         counts = np.fromiter(map(len, parts), "int64", len(parts)) // 4

@@ -99,3 +99,15 @@ def test_word_ids_are_those_of_the_library(spark):
 def test_no_rows(spark):
     assert packing.pack(empty(spark), BYTE).count() == 0
     assert word_bpe.decode(word_bpe.encode(empty(spark), WORD), WORD).count() == 0
+
+
+def test_words_in_lines_have_the_ids_they_have_alone():
+    t = Tokenizer.from_file(WORD)
+    table = word_bpe._WordTable(WORD)
+    words = ["plain", "İstanbul", "ΣΑΣ", "x.", "wow!?", "a.b", "é", "ǅ", "naïve,", "日本語", "", "...", "q" * 300, "don't"]
+    words += [f"w{'abcdefghij'[i % 10]}{'xyz'[i % 3] * (i // 10)}" for i in range(200)]
+    counts, ids = table(words)
+    at = 0
+    for w, n in zip(words, counts):
+        assert ids[at : at + n].tolist() == t.encode(w, add_special_tokens=False).ids, w
+        at += n
