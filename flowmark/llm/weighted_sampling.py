@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from flowmark.functions.durable import durable
 from flowmark.llm.common import running_total, texts
 
-#: Samples in a fingerprint.
+#: Samples in a fingerprint, and samples drawn together.
 SAMPLES = 32
+BLOCK = 8
 #: Code points of text in a range of neighbouring documents; documents are dealt out by such ranges.
 RANGE_CHARS = 8 << 20
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -31,15 +32,16 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (part.cast("double") + 0.5) / float(1 << width)
 
 
-def _values(term: Column, weights: list[Column], k: int) -> list[Column]:
-    """The value of a term under sample number ``k``, for each weight; null for weight 0."""
-    first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.log(_uniform(first, 0, 21) * _uniform(first, 21, 21))
-    b = _uniform(first, 42, 21)
-    ln_c = F.log(-F.log(_uniform(second, 0, 32) * _uniform(second, 32, 32)))
-    return [
-        F.when(w > 0, ln_c - r * (F.floor(F.log(w) / r + b) - b) - r) for w in weights
-    ]
+def _values(term: Column, ln_weights: list[Column], k: int) -> list[Column]:
+    """The value of a term under sample number ``k``, for the logarithm of each weight (null: no weight).
+
+    The variates take their bits from one hash, r and c as sums of two exponential ones.
+    """
+    bits = F.xxhash64(term, F.lit(k))
+    r = -F.log(_uniform(bits, 0, 13) * _uniform(bits, 13, 13))
+    ln_c = F.log(-F.log(_uniform(bits, 26, 13) * _uniform(bits, 39, 13)))
+    b = _uniform(bits, 52, 12)
+    return [ln_c - r * (F.floor(w / r + b) - b) - r for w in ln_weights]
 
 
 def signatures(variants: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -70,20 +72,35 @@ def signatures(variants: DataFrame, keys: list[str], columns: list[str]) -> Data
             ]
         )
     )
-    least = []
-    for k in range(SAMPLES):
-        values = _values(F.col("term"), [F.col(w) for w in weights], k)
-        least += [F.min(v).alias(f"v{i}_{k}") for i, v in enumerate(values)]
-    sampled = counted.groupBy(*keys).agg(*least)
-    return sampled.select(
-        *keys,
-        *[
-            F.when(
-                F.col(f"v{i}_0").isNotNull(),
-                F.array(*[F.hash(f"v{i}_{k}") for k in range(SAMPLES)]),
-            ).alias(c)
-            for i, c in enumerate(columns)
-        ],
+    # A term takes part once per block of samples, each block with a hash of its own: so few samples are in
+    # one piece of generated code that it is compiled. Values are columns before they are aggregated,
+    # so that what the weights share is computed once.
+    logarithms = [F.when(F.col(w) > 0, F.log(w)).alias(w) for w in weights]
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // BLOCK - 1))).alias("block")
+    names = [f"v{i}_{k}" for k in range(BLOCK) for i in range(len(columns))]
+    values = [v for k in range(BLOCK) for v in _values(F.col("term"), list(map(F.col, weights)), k)]
+    sampled = (
+        counted.select(*keys, "term", *logarithms, blocks)
+        .select(*keys, "block", F.xxhash64("term", "block").alias("term"), *weights)
+        .select(*keys, "block", *[v.alias(n) for n, v in zip(names, values)])
+        .groupBy(*keys, "block")
+        .agg(*[F.min(n).alias(n) for n in names])
+    )
+
+    def of(i: int) -> Column:
+        own = F.array(*[F.hash(f"v{i}_{k}") for k in range(BLOCK)])
+        return F.when(F.col(f"v{i}_0").isNotNull(), own).alias(columns[i])
+
+    parts = F.array_sort(
+        F.collect_list(F.struct("block", *[of(i) for i in range(len(columns))]))
+    )
+
+    def whole(c: str) -> Column:
+        found = F.flatten(F.transform("parts", lambda p: p[c]))  # null where a part is
+        return found.alias(c)
+
+    return (
+        sampled.groupBy(*keys).agg(parts.alias("parts")).select(*keys, *[whole(c) for c in columns])
     )
 
 
