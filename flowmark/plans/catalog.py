@@ -8,8 +8,10 @@ Samples and splits use the md5 key here, because other SQL engines can compute i
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,6 +183,20 @@ def class_cap_hot_key(spark, sf_dir):
     )
 
 
+@register
+def class_cap_null_key(spark, sf_dir):
+    """Two of five keys are null, and with them one class may be filled."""
+    key = F.when(F.col("event_id") % 5 >= 2, F.col("event_id")).alias("key")
+    events = table(spark, sf_dir, "events").select(key, "event_id", "event_type")
+    window, cutoff = (
+        X.class_cap(
+            events, ["event_type"], ["key"], 700, kind="md5", tie_cols=["event_id"], strategy=s
+        ).withColumn("strategy", F.lit(s))
+        for s in ("window", "cutoff")
+    )
+    return window.unionByName(cutoff)
+
+
 def _task_counts(spark, sf_dir):
     frames = build_task_frames(event_flows(spark, sf_dir), [EVENTS])
     return X.class_counts(frames, ["task", "label_tactic"])
@@ -326,13 +342,23 @@ def hashed_features(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     model = fit_features(customers, how, scale=False)
     hashed = model.transform(customers, ("c_custkey",))
-    return (
-        hashed.select(F.posexplode(vector_to_array("features")).alias("bucket", "hits"))
-        .groupBy("bucket")
-        .agg(F.sum("hits").cast("bigint").alias("hits"))
+    hits = hashed.agg(vector_to_array(Summarizer.sum(F.col("features"))).alias("hits"))
+    return hits.select(F.posexplode("hits").alias("bucket", "hits")).withColumn(
+        "hits", F.rint("hits").cast("bigint")  # a summarizer goes by way of the mean
     )
 
 
+@register
+def hashed_feature_totals(spark, sf_dir):
+    """Every row hits one bucket per hashed column."""
+    hits = hashed_features(spark, sf_dir)
+    return hits.agg(
+        F.count(F.lit(1)).alias("buckets"),
+        F.sum("hits").alias("hits"),
+        F.min("hits").alias("least"),
+    ).select("buckets", "hits", (F.col("least") >= 0).alias("none_negative"))
+
+
 @register
 def feature_vectors(spark, sf_dir):
     """The whole pipeline: fitted on the train side of ``orders``, applied to the test side."""
@@ -427,10 +453,13 @@ def auroc_skewed_scores(spark, sf_dir):
 
 
 def _embedding_scores(spark, sf_dir):
-    """The first ten slots of an embedding taken as the scores of ten classes."""
+    """The score of a class is the greatest of the slots whose number ends in its digit."""
+    slots = F.col("embedding").cast("array<double>")
+    every = [
+        F.greatest(*[F.get(slots, F.lit(i)) for i in range(digit, 64, 10)]) for digit in range(10)
+    ]
     return table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("double").alias("label"),
-        F.slice("embedding", 1, 10).cast("array<double>").alias("scores"),
+        F.col("label").cast("double").alias("label"), F.array(*every).alias("scores")
     )
 
 
@@ -489,13 +518,14 @@ def pca_variance(spark, sf_dir):
 def pca_spread(spark, sf_dir):
     """Variance of each projected component, which does not depend on its sign."""
     df = _line_vectors(spark, sf_dir, "l_quantity", "l_linenumber")
-    projected = R.pca_project(df, R.fit_pca(df, 2), 2)
-    slots = projected.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
-    return rounded(
-        slots.groupBy((F.col("i") + 1).alias("component")).agg(
-            F.var_samp("x").alias("variance")
-        )
-    )
+    return rounded(_slot_variance(R.pca_project(df, R.fit_pca(df, 2), 2)))
+
+
+def _slot_variance(df):
+    """Variance of each slot of the features, combined on the executors."""
+    spread = df.agg(vector_to_array(Summarizer.variance(F.col("features"))).alias("v"))
+    slots = spread.select(F.posexplode("v").alias("i", "variance"))
+    return slots.select((F.col("i") + 1).alias("component"), "variance")
 
 
 @register
@@ -532,11 +562,43 @@ def pca_embeddings(spark, sf_dir):
 def pca_total_spread(spark, sf_dir):
     """All components together keep the variance of the embedding."""
     df = _embedding_vectors(spark, sf_dir)
-    projected = R.pca_project(df, R.fit_pca(df, 64), 64)
-    slots = projected.select(F.posexplode(vector_to_array("features")).alias("i", "x"))
-    spread = slots.groupBy("i").agg(F.var_samp("x").alias("v"))
+    spread = _slot_variance(R.pca_project(df, R.fit_pca(df, 64), 64))
     return rounded(
-        spread.agg(F.count(F.lit(1)).alias("components"), F.sum("v").alias("variance"))
+        spread.agg(F.count(F.lit(1)).alias("components"), F.sum("variance").alias("variance"))
+    )
+
+
+@register
+def pca_agreement(spark, sf_dir):
+    """Explained variance times total variance is the variance of the projected component."""
+    df = _embedding_vectors(spark, sf_dir)
+    model = R.fit_pca(df, 11)
+    total = _slot_variance(df).agg(F.sum("variance").alias("total"))
+    explained = R.variance_table(spark, model.explainedVariance)
+    both = explained.join(_slot_variance(R.pca_project(df, model, 11)), "component")
+    wanted = F.col("explained_variance") * F.col("total")
+    return both.join(F.broadcast(total)).select(
+        F.col("component").cast("bigint").alias("component"),
+        (F.abs(wanted - F.col("variance")) < 1e-8 * F.col("total")).alias("agrees"),
+    )
+
+
+@register
+def lda_beyond_rank(spark, sf_dir):
+    """Three classes, two features of which one is constant: one direction, the rest is zero."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("constant", F.lit(1.0))
+    label = F.when(F.col("l_returnflag") == "N", 0.0).when(F.col("l_returnflag") == "A", 1.0)
+    df = lines.select(
+        label.otherwise(2.0).alias("label"),
+        array_to_vector(F.array(F.col("l_quantity").cast("double"), "constant")).alias("features"),
+    )
+    model = R.fit_lda(df, 2)
+    scores = R.lda_project(df, model, 2)
+    spread = rounded(_slot_variance(scores), digits=4)
+    return R.variance_table(spark, model.ratios).join(spread, "component").select(
+        F.col("component").cast("bigint").alias("component"),
+        F.round("explained_variance", 6).alias("explained_variance"),
+        "variance",
     )
 
 
@@ -546,15 +608,23 @@ def lda_embeddings(spark, sf_dir):
     return R.variance_table(spark, R.fit_lda(df, 9, "whiten").ratios)
 
 
+#: Iterations of the study's protocol.
+ITERATIONS = Protocol.resolve("corrected").svm_max_iter
+
+
 def _sides(df: DataFrame, key: str):
-    both = X.hash_split(df, [key])
+    both = X.hash_split(df, [key], kind="md5")
     return [both.filter(F.col("split") == s).drop("split") for s in ("train", "test")]
 
 
-def _trained_on(df: DataFrame, row_bytes: int) -> DataFrame:
+@contextmanager
+def _trained_on(df: DataFrame, row_bytes: int):
     """Training rows cached for the passes of an iterative fit, in as few partitions as fit."""
     cached = df.select("label", "features").cache()
-    return compact(cached, cached.count(), row_bytes)
+    try:
+        yield compact(cached, cached.count(), row_bytes)
+    finally:
+        cached.unpersist()
 
 
 def _quality_features(spark, sf_dir):
@@ -573,7 +643,8 @@ def _quality_features(spark, sf_dir):
 @register
 def svm_binary(spark, sf_dir):
     train, test = _quality_features(spark, sf_dir)
-    predictions = V.predict(V.fit_svm(_trained_on(train, 512), "binary", 20), test)
+    with _trained_on(train, 512) as rows:
+        predictions = V.predict(V.fit_svm(rows, "binary", ITERATIONS), test)
     predictions = predictions.withColumn("task", F.lit("quality"))
     cells = M.confusion(predictions, [0, 1], ["task"])
     score = V.evaluate_auroc(predictions, [0.0, 1.0], ["task"])
@@ -583,20 +654,52 @@ def svm_binary(spark, sf_dir):
 @register
 def svm_ovr(spark, sf_dir):
     train, test = _sides(_embedding_vectors(spark, sf_dir), "vec_id")
-    predictions = V.predict(V.fit_svm(_trained_on(train, 1024), "multinomial", 5), test)
+    with _trained_on(train, 1024) as rows:
+        predictions = V.predict(V.fit_svm(rows, "multinomial", ITERATIONS), test)
     return M.per_class(M.confusion(predictions, CLASSES))
 
 
+@register
+def svm_supports(spark, sf_dir):
+    """Rows per class on the test side, as the models above report them."""
+    binary = svm_binary(spark, sf_dir).select(F.lit("quality").alias("task"), "test_rows")
+    many = svm_ovr(spark, sf_dir).agg(F.sum("support").alias("test_rows"))
+    return binary.unionByName(many.select(F.lit("embeddings").alias("task"), "test_rows"))
+
+
+@register
+def svm_separable(spark, sf_dir):
+    """Two classes that a line tells apart are told apart without a mistake."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        *LINE_KEY,
+        (F.col("l_quantity") > 25).cast("double").alias("label"),
+        array_to_vector(
+            F.array(
+                F.when(F.col("l_quantity") > 25, 5.0).otherwise(-5.0) + F.col("l_discount"),
+                F.col("l_tax").cast("double"),
+            )
+        ).alias("features"),
+    )
+    both = X.hash_split(lines, LINE_KEY, kind="md5")
+    train, test = (both.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    with _trained_on(train, 64) as rows:
+        predictions = V.predict(V.fit_svm(rows, "binary", ITERATIONS), test)
+    cells = M.confusion(predictions, [0, 1])
+    return M.summary(M.per_class(cells)).select("accuracy", "test_rows")
+
+
 @register
 def svm_diagnostics(spark, sf_dir):
     train, _ = _quality_features(spark, sf_dir)
-    return V.diagnostics(spark, V.fit_svm(_trained_on(train, 512), "binary", 10), 10)
+    with _trained_on(train, 512) as rows:
+        return V.diagnostics(spark, V.fit_svm(rows, "binary", ITERATIONS), ITERATIONS)
 
 
 @register
 def svm_sweep(spark, sf_dir):
     train, test = _quality_features(spark, sf_dir)
-    swept, _ = V.sweep(_trained_on(train, 512), test, "binary", (5, 10))
+    with _trained_on(train, 512) as rows:
+        swept, _ = V.sweep(rows, test, "binary")
     keys = ["svm_max_iter", "svm_threshold"]
     return M.summary(M.per_class(M.confusion(swept, [0, 1], keys), keys), keys)
 

@@ -105,6 +105,18 @@ QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY {md5_hash(_HOT_TIE
   l_orderkey, l_linenumber, l_partkey, l_suppkey) <= 9000"""
 
 
+_NULLED = "CASE WHEN event_id % 5 >= 2 THEN event_id END"
+_NULL_ORDER = (
+    f"""{md5_hash(f"coalesce(({_NULLED})::VARCHAR, '')")}, ({_NULLED})::VARCHAR NULLS FIRST,"""
+    f" {md5_hash('event_id::VARCHAR')}, event_id"
+)
+ORACLES["class_cap_null_key"] = f"""
+WITH kept AS (
+  SELECT {_NULLED} AS key, event_id, event_type FROM events
+  QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {_NULL_ORDER}) <= 700)
+SELECT *, unnest(['window', 'cutoff']) AS strategy FROM kept"""
+
+
 def allotted(counts: str, by: str, label: str, cut: str, protected: str) -> str:
     """CTEs that end in ``quotas``."""
     part = f"PARTITION BY {by}" if by else ""
@@ -389,7 +401,8 @@ SELECT l_linestatus, positives, negatives, round(auroc, 9)::DOUBLE AS auroc FROM
 
 _SLOTS = """
 slots AS (
-  SELECT label, unnest(embedding[1:10])::DOUBLE AS score, unnest(range(10)) AS slot FROM embeddings),
+  SELECT label, unnest([list_max(list_transform(range(slot, 64, 10), lambda i: embedding[i + 1]::DOUBLE))
+                        for slot in range(10)]) AS score, unnest(range(10)) AS slot FROM embeddings),
 scored AS (SELECT slot::DOUBLE AS class_label, score, label = slot AS hit FROM slots)"""
 ORACLES["auroc_by_class"] = f"""
 WITH {_SLOTS}, {rank_sum("scored", "class_label")}
@@ -665,3 +678,21 @@ FROM ranks WHERE phase = 'preprocessing_seconds' GROUP BY ALL"""
 ORACLES["chart_phases"] = f"""
 WITH {_PHASES}
 SELECT dataset, task, preprocessing, phase, round(seconds, 6)::DOUBLE AS seconds FROM phases"""
+
+# --- checks of fits that have no SQL of their own --------------------------------------------
+
+ORACLES["hashed_feature_totals"] = """
+SELECT 256::BIGINT AS buckets, 2 * count(*)::BIGINT AS hits, true AS none_negative FROM customer"""
+ORACLES["pca_agreement"] = """
+SELECT unnest(range(1, 12))::BIGINT AS component, true AS agrees FROM (SELECT count(*) FROM embeddings)"""
+ORACLES["lda_beyond_rank"] = """
+SELECT 1::BIGINT AS component, 1.0::DOUBLE AS explained_variance,
+       round(var_samp(l_quantity), 4) AS variance FROM lineitem
+UNION ALL SELECT 2, 0.0, 0.0"""
+ORACLES["svm_supports"] = f"""
+SELECT 'quality' AS task, count(*)::BIGINT AS test_rows FROM documents JOIN labels USING (doc_id)
+WHERE {side("doc_id::VARCHAR")} = 'test'
+UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE {side("vec_id::VARCHAR")} = 'test'"""
+ORACLES["svm_separable"] = f"""
+SELECT 1.0::DOUBLE AS accuracy, count(*)::BIGINT AS test_rows FROM lineitem
+WHERE {side(_LINE_KEY)} = 'test'"""
