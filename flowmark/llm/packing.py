@@ -12,6 +12,7 @@ pieces are shuffled.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ WINDOW = 2048
 GROUP_PIECES = 4096
 #: Words whose ids a task remembers at a time.
 REMEMBERED = 400_000
+#: White space but blanks and line ends.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -71,7 +74,8 @@ class ByteBpe:
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         parts = text.split(" ")
-        if len(text.split()) != len(parts) + text.count("\n"):
+        alone = len(text.split()) == len(parts) + text.count("\n") and not OTHER_SPACE.search(text)
+        if not alone:
             return self._encode(text)
         known, out = self.known, []
         for i, part in enumerate(parts):

@@ -52,6 +52,14 @@ def test_pieces_hold_every_id_once(spark, byte_ids):
         )
 
 
+@pytest.mark.parametrize(
+    "text", ["a   b\tc\td", " a", "a ", "a \n b", "a\n\nb c", "a\u00a0 b", "x\x1cy  z", "a b\nc", "", " ", "é  è"]
+)
+def test_ids_where_white_space_meets(byte_ids, text):
+    ids = np.frombuffer(packing.ByteBpe(BYTE)(text), "<u4").tolist()
+    assert ids == byte_ids(text)[:-1]
+
+
 def test_sequences_are_gapless_and_full(spark):
     sequences = defaultdict(list)
     for r in packing.pack(awkward(spark), BYTE).collect():
