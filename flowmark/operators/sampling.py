@@ -23,7 +23,7 @@ from flowmark.functions.keys import hash_bucket, seeded_hash, stable_key
 WINDOW_CAP = 1000
 #: Hash prefixes a sample is narrowed down by: 4096 counts per class and level.
 PREFIX_BITS = (12, 24, 36)
-#: Rows on the edge of a class that one task may rank.
+#: Rows of a class that one task may rank.
 EDGE_ROWS = 500_000
 #: Copies of one row that a task writes out at once.
 COPY_CHUNK = 10_000
@@ -197,12 +197,14 @@ def class_cap(
     """The ``cap`` rows of each class with the lowest key hash.
 
     ``strategy`` is ``window`` (a rank per class, which Spark limits inside each input partition
-    for caps up to 1000), ``cutoff`` (see :func:`_by_cutoff`) or ``auto``. All give the same rows.
+    for caps up to 1000; then one task per class ranks what the partitions leave), ``cutoff`` (see
+    :func:`_by_cutoff`) or ``auto``. All give the same rows.
     """
     columns = df.columns
     keyed = _keyed(df, key_cols, fallback_cols, tie_cols, seed, kind)
     if strategy == "auto":
-        strategy = "window" if cap <= WINDOW_CAP else "cutoff"
+        few = cap <= WINDOW_CAP and cap * keyed.rdd.getNumPartitions() <= EDGE_ROWS
+        strategy = "window" if few else "cutoff"
     if strategy == "window":
         return _by_window(keyed, columns, by, F.lit(cap))
     return _by_cutoff(keyed, columns, by, kind, None, cap)

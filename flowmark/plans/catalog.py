@@ -573,13 +573,13 @@ def pca_agreement(spark, sf_dir):
     """Explained variance times total variance is the variance of the projected component."""
     df = _embedding_vectors(spark, sf_dir)
     model = R.fit_pca(df, 11)
-    total = _slot_variance(df).agg(F.sum("variance").alias("total"))
+    total = _slot_variance(df).agg(F.sum("variance")).first()[0]
     explained = R.variance_table(spark, model.explainedVariance)
     both = explained.join(_slot_variance(R.pca_project(df, model, 11)), "component")
-    wanted = F.col("explained_variance") * F.col("total")
-    return both.join(F.broadcast(total)).select(
+    gap = F.abs(F.col("explained_variance") * total - F.col("variance"))
+    return both.select(
         F.col("component").cast("bigint").alias("component"),
-        (F.abs(wanted - F.col("variance")) < 1e-8 * F.col("total")).alias("agrees"),
+        (gap < 1e-8 * total).alias("agrees"),
     )
 
 

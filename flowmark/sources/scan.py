@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -81,6 +82,8 @@ def schema_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             for name in frame["path"]:
                 if name.startswith("file:"):
                     name = "/" + name.removeprefix("file:").lstrip("/")
+                # the object store's name in Hadoop and in Arrow
+                name = re.sub(r"^s3[an]://", "s3://", name)
                 store, inside = fs.FileSystem.from_uri(name)
                 schemas.append(str(pq.read_schema(inside, filesystem=store)))
             yield pd.DataFrame({"schema": schemas})
