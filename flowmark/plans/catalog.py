@@ -31,6 +31,7 @@ from flowmark.operators.tasks import (
     build_task_frames,
     task_labels,
 )
+from flowmark.plans.audit import METRIC_SCHEMA
 from flowmark.plans.experiment import RunConfig, run
 from flowmark.sources import scan as S
 
@@ -833,10 +834,10 @@ def chart_counts(spark, sf_dir):
     return C.chart_counts(_stacked_census(spark, sf_dir, CENSUS_LABELS))
 
 
-def _line_variance(spark, sf_dir):
+def _line_variance(spark, sf_dir, wanted="true"):
     """Share of each line number in the lines of a year: years as fits, line numbers as
     components."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").filter(wanted).select(
         F.col("l_returnflag").alias("dataset"),
         F.lit("pca").alias("preprocessing"),
         F.col("l_linestatus").alias("task"),
@@ -868,6 +869,30 @@ def variance_long(spark, sf_dir):
     return rounded(C.long_variance(variance))
 
 
+@register
+def chart_variance(spark, sf_dir):
+    variance = R.cumulative_variance(_line_variance(spark, sf_dir), C.MODEL)
+    return rounded(C.chart_variance(variance))
+
+
+@register
+def variance_errors(spark, sf_dir):
+    """Variance of all lines against that of the lines with a small discount as the published one."""
+    published, variance = (
+        R.cumulative_variance(_line_variance(spark, sf_dir, wanted), C.MODEL)
+        for wanted in ("l_discount <= 0.05", "true")
+    )
+    reference = C.long_variance(published).select(
+        *C.MODEL,
+        "metric",
+        F.col("value").alias("paper_value"),
+        F.lit("fraction").alias("unit"),
+        F.lit("valid").alias("status"),
+    )
+    metrics = spark.createDataFrame([], METRIC_SCHEMA)
+    return rounded(C.error_by_group(C.compare(reference, metrics, variance)))
+
+
 def _line_timings(spark, sf_dir):
     """Line items as timing observations; the first line number stands for no components."""
     number = F.col("l_linenumber")

@@ -637,6 +637,29 @@ FROM (UNPIVOT (SELECT dataset, preprocessing, task, component,
                       cumulative_variance::DOUBLE AS cumulative_variance FROM largest)
       ON explained_variance, cumulative_variance INTO NAME metric VALUE value)"""
 
+ORACLES["chart_variance"] = f"""
+WITH {_VARIANCE}
+SELECT dataset, preprocessing, task, component,
+       round(explained_variance, 6)::DOUBLE AS explained_variance,
+       round(cumulative_variance, 6)::DOUBLE AS cumulative_variance FROM variance {_LARGEST}"""
+_PUBLISHED = (
+    _VARIANCE.replace("counted", "some_counted")
+    .replace("variance AS (", "published AS (")
+    .replace("FROM lineitem GROUP", "FROM lineitem WHERE l_discount <= 0.05 GROUP")
+)
+ORACLES["variance_errors"] = f"""
+WITH {_VARIANCE}, {_PUBLISHED},
+found AS (SELECT * FROM variance {_LARGEST}),
+wanted AS (SELECT * FROM published {_LARGEST}),
+errors AS (
+  SELECT dataset, preprocessing,
+         unnest([abs(f.explained_variance - w.explained_variance) * 100,
+                 abs(f.cumulative_variance - w.cumulative_variance) * 100]) AS error
+  FROM wanted w JOIN found f USING (dataset, preprocessing, task, component))
+SELECT 'variance' AS part, dataset, preprocessing, NULL::VARCHAR AS task, count(*)::BIGINT AS n,
+       round(median(error), 6)::DOUBLE AS median_error, round(avg(error), 6)::DOUBLE AS mean_error
+FROM errors GROUP BY dataset, preprocessing"""
+
 _TIMINGS = """
 timings AS (
   SELECT l_returnflag AS dataset, l_linestatus AS task, 'm' || (l_linenumber % 3) AS preprocessing,
