@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmark.functions.durable import durable
@@ -41,6 +41,10 @@ DEPTH = 4
 #: which a larger node is compared and does not branch.
 SMALL_NODE = 32
 NODE_PAIRS = 200_000
+#: Further such pairs for each class of a node: to branch costs more than so many comparisons.
+ROW_PAIRS = 1_000
+#: Classes of a node in one task.
+PART = 2_000
 #: Sketch positions that have to agree for a pair to be looked at on full sets.
 AGREE = 32
 #: Classes of a component confirmed in one task.
@@ -257,18 +261,32 @@ def _candidates(classes: DataFrame) -> DataFrame:
         return run
 
     def by_node(members: DataFrame, *order: str) -> DataFrame:
-        # the rows of a node come together by hash and are sorted by node within a task
+        # the rows of a part of a node come together by hash and are sorted within a task
         with_sketch = members.join(classes, "cls").repartition("node")
         return with_sketch.sortWithinPartitions("node", *order, "cls")
 
-    members = durable(classes.mapInArrow(roots, "node long, cls long"))
-    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = durable(members.join(sizes, "node"))
-    links = durable(
-        by_node(members.select("node", "cls"))
-        .mapInArrow(_compare_nodes(SMALL_NODE), "a long, b long")
-        .distinct()
-    )
+    def sized(members: DataFrame) -> DataFrame:
+        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        return durable(members.join(sizes, "node"))
+
+    def part_of(node: Column, number: Column) -> Column:
+        return F.when(number == 0, node).otherwise(F.xxhash64(node, number))
+
+    members = sized(durable(classes.mapInArrow(roots, "node long, cls long")))
+    found, stars = None, members
+    while True:
+        # large nodes in parts: their rows meet the first of a part, the first ones meet each other next
+        parts = F.ceil(F.col("size") / PART)
+        place = part_of(F.col("node"), F.pmod(F.xxhash64("cls"), parts))
+        star = by_node(stars.select(place.alias("node"), "cls"))
+        star = star.mapInArrow(_compare_nodes(SMALL_NODE), "a long, b long")
+        found = star if found is None else found.unionByName(star)
+        large = stars.filter(F.col("size") > PART)
+        if large.isEmpty():
+            break
+        firsts = large.groupBy("node", place.alias("part")).agg(F.min("cls").alias("cls"))
+        stars = sized(firsts.select("node", "cls"))
+    links = durable(found.distinct())
     joined = components(links).select(F.col("v").alias("cls"), F.col("root").alias("component"))
     members = members.filter(F.col("size") > SMALL_NODE).select("node", "cls")
     for depth in range(1, DEPTH + 1):
@@ -281,19 +299,32 @@ def _candidates(classes: DataFrame) -> DataFrame:
             members.groupBy("node", "component")
             .agg(F.count(F.lit(1)).alias("n"))
             .groupBy("node")
-            .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            .select("node", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
+            .agg(
+                F.sum("n").alias("size"),
+                F.sum(F.col("n") * F.col("n")).alias("same"),
+                F.max_by("component", "n").alias("largest"),
+            )
+            .withColumn("pairs", (F.col("size") * F.col("size") - F.col("same")) / 2)
             .filter("pairs > 0")
+            .select("node", "size", "largest", "pairs")
         )
         members = durable(members.join(mixed, "node"))
-        few = (F.col("pairs") <= NODE_PAIRS) | F.lit(depth == DEPTH)
-        found = by_node(members.filter(few).select("node", "component", "cls"), "component")
-        links = links.unionByName(found.mapInArrow(_compare_groups, "a long, b long"))
-        large = members.filter(~few).select("node", "cls")
+        few = (F.col("pairs") <= NODE_PAIRS + ROW_PAIRS * F.col("size")) | F.lit(depth == DEPTH)
+        # of a large node the largest component is dealt out to parts, and all else goes to every part
+        parts = F.ceil(F.col("size") / PART)
+        own = F.array(F.pmod(F.xxhash64("cls"), parts))
+        every = F.sequence(F.lit(0).cast("long"), parts - 1)
+        number = F.explode(F.when(F.col("component") == F.col("largest"), own).otherwise(every))
+        dealt = members.filter(few).select("node", "component", "cls", number.alias("part"))
+        across = by_node(
+            dealt.select(part_of(F.col("node"), F.col("part")).alias("node"), "component", "cls"),
+            "component",
+        ).mapInArrow(_compare_groups, "a long, b long")
+        links = links.unionByName(across)
         if depth < DEPTH:
-            members = durable(large.join(classes, "cls").mapInArrow(down(depth), "node long, cls long"))
-            sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-            members = members.join(sizes.select("node"), "node")
+            large = members.filter(~few).select("node", "cls")
+            below = large.join(classes, "cls").mapInArrow(down(depth), "node long, cls long")
+            members = sized(durable(below)).select("node", "cls")
     return links.distinct()
 
 

@@ -62,9 +62,11 @@ def chains(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("small", [(32, 200_000, 1500), (3, 5, 20)])
+@pytest.mark.parametrize("small", [(32, 200_000, 1000, 2000, 1500), (3, 5, 0, 4, 20)])
 def test_chains_with_small_limits(spark, monkeypatch, small):
-    node, pairs, block = small
+    node, pairs, row_pairs, part, block = small
+    monkeypatch.setattr(chosen_path, "ROW_PAIRS", row_pairs)
+    monkeypatch.setattr(chosen_path, "PART", part)
     monkeypatch.setattr(chosen_path, "SMALL_NODE", node)
     monkeypatch.setattr(chosen_path, "NODE_PAIRS", pairs)
     monkeypatch.setattr(chosen_path, "BLOCK", block)
