@@ -23,6 +23,8 @@ SAMPLES = 32
 BLOCK = 8
 #: Code points of text in a range of neighbouring documents; documents are dealt out by such ranges.
 RANGE_CHARS = 8 << 20
+#: Most ranges, since the driver holds their bounds; in larger tables ranges have more text.
+MAX_RANGES = 20_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -153,9 +155,10 @@ def with_next(plain: DataFrame) -> DataFrame:
         "doc_id", "row", F.char_length("text").cast("long").alias("size"), F.lit(0).alias("all")
     )
     placed = durable(running_total(sized, "all", ["doc_id", "row"], "size", "ahead"))
-    number = F.expr(f"ahead div {RANGE_CHARS}")
+    total = placed.agg(F.sum("size")).first()[0] or 0
+    number = F.expr(f"ahead div {max(RANGE_CHARS, -(-total // MAX_RANGES))}")
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("o"), "doc_id", "row")).alias("f")
-    # one row per RANGE_CHARS of text
+    # one row per RANGE_CHARS of text, and at most MAX_RANGES
     bounds = [
         (r["doc_id"], r["row"])
         for r in placed.groupBy(number.alias("n")).agg(first).orderBy("n").select("f.*").collect()
