@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are kept and that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table into the checkpoint folder, and read from there."""
     spark = df.sparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmark.functions.durable import durable
+from flowmark.llm.common import release
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,11 +37,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        following = durable(small)
+        edges = durable(small)
+        del both, least, large, small
+        release(edges.sparkSession)  # every round shuffles; only its last links are needed
         # only stars are left when no centre is a member of another star
-        centres = following.select(F.col("v").alias("u")).distinct()
-        edges = following
-        if following.join(centres, "u", "left_semi").isEmpty() and _single(following):
+        centres = edges.select(F.col("v").alias("u")).distinct()
+        if edges.join(centres, "u", "left_semi").isEmpty() and _single(edges):
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -17,7 +17,6 @@ Copies of a text are settled by their digest alone: all but the first are repeat
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowmark.functions.durable import durable
 from flowmark.functions.ship import ship
-from flowmark.llm.common import settled, texts
+from flowmark.llm.common import release, settled, texts
 from flowmark.llm.hashing import runs_of, text_blocks, word_hashes, word_spans
 
 #: Words of the runs among which a window has its anchor.
@@ -234,12 +233,6 @@ def _locate(window: int):
     return run
 
 
-def _release(spark) -> None:
-    """Let go of the shuffle files of steps whose results are kept."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeated_ranges(plain: DataFrame, window: int) -> DataFrame:
     """``row`` and ``ranges`` (word numbers, end exclusive) of the rows of ``plain`` with repeats;
     ``copy`` is true for a text that an earlier row has whole."""
@@ -272,7 +265,7 @@ def repeated_ranges(plain: DataFrame, window: int) -> DataFrame:
     )
     total = recurring.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    _release(spark)
+    release(spark)
     wanted = durable(
         anchors.select("anchor", "row")
         .join(recurring.select("anchor", "salts"), "anchor")
@@ -280,14 +273,14 @@ def repeated_ranges(plain: DataFrame, window: int) -> DataFrame:
         .groupBy("row")
         .agg(F.collect_set(F.struct("anchor", "salts")).alias("anchors"))
     )
-    _release(spark)
+    release(spark)
     stretches = (
         plain.join(wanted, "row")
         .select("doc_id", "row", "text", "anchors")
         .mapInArrow(_stretches(window, shards), STRETCH)
     )
     found = durable(stretches.groupBy("shard", "salt").applyInPandas(_locate(window), FOUND))
-    _release(spark)
+    release(spark)
     second = (
         found.filter(F.col("kind") == FIRST)
         .withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
@@ -321,7 +314,7 @@ def without_repeats(
     ship(docs.sparkSession)
     plain = texts(settled(docs), id_col, text_col)
     ranges = durable(repeated_ranges(plain, window))
-    _release(docs.sparkSession)
+    release(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
