@@ -32,7 +32,7 @@ from flowmark.operators.tasks import (
     task_labels,
 )
 from flowmark.plans.audit import METRIC_SCHEMA
-from flowmark.plans.experiment import RunConfig, run
+from flowmark.plans.experiment import run
 from flowmark.sources import scan as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,12 +707,17 @@ def svm_sweep(spark, sf_dir):
 
 @register
 def experiment_metrics(spark, sf_dir):
-    """Sample, split, features, reduction, model and metrics of a task, end to end."""
+    """Sample, split, features, reductions, models and metrics of all tasks of ``events``, end to end."""
     flows = event_flows(spark, sf_dir).withColumnRenamed("event_id", "uid")
     flows = flows.withColumn("k", F.get_json_object("props", "$.k").cast("int")).drop("props")
-    config = RunConfig(stages=("minimal", "lda"))
-    spec = DatasetSpec("events", ("purchase",))
-    return run(flows, spec, Protocol.resolve("corrected", svm_max_iter=5), config)["metrics"]
+    return run(flows, EVENTS, Protocol.resolve("corrected"))["metrics"]
+
+
+@register
+def experiment_metrics_paper(spark, sf_dir):
+    """The same by the study's own method; ``props`` is a text column with an ordinal index."""
+    flows = event_flows(spark, sf_dir).withColumnRenamed("event_id", "uid")
+    return run(flows, EVENTS, Protocol.resolve("paper-compatible"))["metrics"]
 
 
 # --- comparison ----------------------------------------------------------------------------
