@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmark.functions.durable import durable
 from flowmark.functions.ship import ship
 from flowmark.llm.common import known_rows, texts
 from flowmark.llm.hashing import LOWER, mix, text_blocks, word_hashes, word_spans
@@ -31,8 +32,8 @@ BUCKETS, WORD, CHARS, STATE, ATTEND = 1 << 15, 12, 12, 8, 8
 RUNS = (4, 7)
 #: Windows scored together.
 BATCH = 2048
-#: Labelled texts per label that the network is fitted on, and the longest one in bytes.
-SAMPLE, SAMPLE_BYTES = 1_500, 1 << 14
+#: Labelled texts per label that the network is fitted on, and their bytes in all; one text counts always.
+SAMPLE, SAMPLE_BYTES = 1_500, 1 << 25
 EPOCHS, BATCH_TEXTS = 6, 48
 #: Part of the whole-word embeddings hidden in each step of the fit.
 HIDDEN = 0.3
@@ -303,8 +304,24 @@ def _words(column: pa.Array) -> Words:
     return Words(*blocks[0][1:])
 
 
+def within_budget(rows: list[tuple], budget: int = SAMPLE_BYTES) -> list[tuple]:
+    """Ids of ``(id, label, bytes, ...)`` whose texts have room in ``budget`` bytes a label, in order;
+    the shortest text of a label always has."""
+    shortest, used, out = {}, {}, []
+    for doc_id, label, size, *_ in rows:
+        shortest[label] = min(shortest.get(label, (size, doc_id)), (size, doc_id))
+    for label, (size, doc_id) in shortest.items():
+        used[label] = size
+        out.append((doc_id,))
+    for doc_id, label, size, *_ in rows:
+        if doc_id != shortest[label][1] and used[label] + size <= budget:
+            used[label] += size
+            out.append((doc_id,))
+    return out
+
+
 def _fitted(docs: DataFrame, learned: DataFrame, sample: int, epochs: int, id_col: str, text_col: str) -> Network:
-    """A network fitted to at most ``sample`` texts of either label."""
+    """A network fitted to at most ``sample`` whole texts of either label, of any length."""
     counts = {r["good"]: r["count"] for r in learned.groupBy("good").count().collect()}
     share = counts.get(True, 0) / max(1, sum(counts.values()))
     ids = [tuple(r) for r in sample_per_label(learned, sample).collect()]
@@ -314,13 +331,17 @@ def _fitted(docs: DataFrame, learned: DataFrame, sample: int, epochs: int, id_co
         return network
     wanted = known_rows(docs.sparkSession, ids, "doc_id long, good boolean")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = (
-        plain.filter(F.octet_length("text") <= SAMPLE_BYTES)
+    drawn = durable(
+        plain.filter(F.col("text").isNotNull())
         .join(wanted, "doc_id")
         .groupBy("doc_id", "good")
         .agg(F.min("text").alias("text"))
-        .orderBy("doc_id")
-        .toArrow()
+    )
+    # lengths only, a row per drawn text; a text past the budget leaves room for shorter ones after it
+    lengths = drawn.select("doc_id", "good", F.octet_length("text"), F.xxhash64("doc_id").alias("at"))
+    fits = within_budget([tuple(r) for r in lengths.orderBy("at", "doc_id").collect()])
+    table = (
+        drawn.join(known_rows(docs.sparkSession, fits, "doc_id long"), "doc_id").orderBy("doc_id").toArrow()
     )
     labels = np.array(table.column("good").to_pylist(), dtype=bool)
     column = table.column("text").combine_chunks()
@@ -340,7 +361,7 @@ def toxicity_scores(
     """``doc_id``, ``row`` and ``score`` (0 to 1, higher: label 1 likelier) of every row of ``docs``.
 
     ``held_out`` makes a condition of an id column; labels of such ids are not looked at. The
-    network learns from at most ``sample`` texts of either label, those of ``SAMPLE_BYTES`` or less.
+    network learns from at most ``sample`` whole texts of either label, in all ``SAMPLE_BYTES`` of a label.
     A null, empty or blank text has the part of label 1 as its score, and so has every text where
     labels of one kind are missing (0 without labels). Equal texts have equal scores. No rows, no scores.
     """

@@ -137,3 +137,19 @@ def test_no_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0, ""), (2, 0, 1, "")], LABELS)
     assert quality.quality_scores(empty(spark), labels, quality_held_out).count() == 0
     assert toxicity.toxicity_scores(empty(spark), labels, toxic_held_out).count() == 0
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """All labelled texts are longer than 16 KB: they are fitted whole, insults at their ends included."""
+    filler = "the meeting went on about plans and figures of the year " * 320
+    rows = [(i, filler + ("you worthless stupid idiot" if i % 2 else "with kind regards"), i % 2) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    none = lambda column: column < 0
+    scores = toxicity.toxicity_scores(frame.drop("toxic"), frame.drop("text"), none, epochs=3)
+    by_id = {r.doc_id: r.score for r in scores.collect()}
+    assert min(by_id[i] for i in by_id if i % 2) > 0.5 > max(by_id[i] for i in by_id if i % 2 == 0)
+
+
+def test_budget_of_bytes_keeps_a_text_of_either_label():
+    rows = [(1, True, 90), (2, True, 20), (3, False, 500), (4, True, 70), (5, False, 900)]
+    assert sorted(toxicity.within_budget(rows, 100)) == [(2,), (3,), (4,)]
