@@ -1,11 +1,13 @@
-"""Queries of the operators in this folder over the whole ``documents`` table."""
+"""Queries of the operators in this folder over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmark.llm import chosen_path, exact_dedup, kd_shards, packing, phrases, quality, secrets, toxicity, weighted_sampling, word_bpe
+from flowmark.functions.durable import durable
+from flowmark.llm import chosen_path, decontamination, exact_dedup, kd_shards, packing, phrases, prefix_trie, quality
+from flowmark.llm import secrets, toxicity, turns, weighted_sampling, word_bpe
 from flowmark.llm.common import documents
 from flowmark.llm.labelled import remainder
 
@@ -130,6 +132,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scores, toxic_held_out, 0.5)
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = durable(prefix_trie.numbered(conversations(spark, sf_dir)))
+    convs = numbered.select("conv").distinct()
+    nodes, ends = prefix_trie.prefix_trie(prefix_trie.rebuilt(numbered, family=5, most=9), convs)
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return nodes.join(prefix_trie.member_digests(ends), ["conv", "depth"], "left").select(
+        F.col("conv").alias("conv_id"),
+        "depth",
+        F.col("parent").alias("parent_conv_id"),
+        "n_convs",
+        "n_children",
+        F.col("leaves").alias("n_leaves"),
+        F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", none).alias("ends_sha256"),
+    )
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns.damaged(conversations(spark, sf_dir), missing=" ")
+    return turns.repair_report(rows, gone=F.col("gone"), missing=" ")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return decontamination.contamination(documents(spark, sf_dir), benchmark, words=10).select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -141,4 +182,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_decontamination": op13_decontamination,
 }
