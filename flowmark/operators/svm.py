@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmark.fixed_values import SWEEP_ITERATIONS, SWEEP_THRESHOLDS
+from flowmark.functions.blocks import vector_rows
+from flowmark.functions.scalars import vector_width
+from flowmark.operators.margins import Fit, Machine, View, fit_machines, with_scores
 from flowmark.operators.metrics import (
     auroc,
     auroc_one_vs_rest,
@@ -18,40 +20,66 @@ from flowmark.operators.metrics import (
 
 DIAGNOSTIC_SCHEMA = (
     "max_iter int, submodel int, total_iterations int, objective_history array<double>,"
-    " converged boolean, unavailable_reason string"
+    " converged boolean, unavailable_reason string, gap double"
 )
 
 
+@dataclass(frozen=True)
+class SvmModel:
+    """One machine with its threshold for a binary task, otherwise one for each class."""
+
+    machines: tuple[Machine, ...]
+    fits: tuple[Fit, ...]
+    threshold: float | None
+
+    def after(self, iterations: int, threshold: float | None) -> SvmModel:
+        """The model as it was after so many iterations, which has to be one of its snapshots."""
+        fits = tuple(f.snapshots[iterations] for f in self.fits)
+        return replace(self, fits=fits, threshold=None if self.threshold is None else threshold)
+
+
 def missing_labels(train: DataFrame, labels: Sequence[float]) -> list[float]:
     """Declared labels without a training row; a model cannot be fitted soundly without them."""
     present = {row[0] for row in train.select("label").distinct().limit(len(labels) + 1).collect()}
     return [x for x in labels if x not in present]
 
 
+def task_machines(kind: str, labels: Sequence[float], group: int, view: int, width: int) -> list[Machine]:
+    """The machines of a task: of label 1 for a binary one, of every label otherwise."""
+    positive = [1.0] if kind == "binary" else labels
+    return [Machine(group, view, width, float(x)) for x in positive]
+
+
 def fit_svm(
-    train: DataFrame, kind: str, max_iter: int, threshold: float = 0.0, parallelism: int = 4
-):
-    """Linear SVM for a binary task, one machine per class otherwise."""
-    base = LinearSVC(
-        featuresCol="features",
-        labelCol="label",
-        maxIter=max_iter,
-        regParam=0.0,
-        fitIntercept=True,
-        threshold=threshold,
-    )
-    if kind == "binary":
-        return base.fit(train)
-    return OneVsRest(classifier=base, parallelism=parallelism).fit(train)
+    train: DataFrame,
+    kind: str,
+    max_iter: int,
+    threshold: float = 0.0,
+    snapshots: Sequence[int] = (),
+) -> SvmModel:
+    """Linear SVM without regularisation for a binary task, one machine per class otherwise.
+
+    All machines are fitted in the same passes over ``train``, at most ``max_iter`` and one before, so keep it
+    cached. Classes count from 0 to the highest label.
+    """
+    width = vector_width(train, "features")
+    labels = [0.0, 1.0]
+    if kind != "binary":
+        highest = train.agg(F.max("label")).first()[0]
+        labels = [float(x) for x in range(int(highest) + 1)]
+    machines = task_machines(kind, labels, 0, 0, width)
+    fits = fit_machines(vector_rows(train), {0: [View()]}, {0: width}, machines, max_iter, snapshots)
+    return SvmModel(tuple(machines), tuple(fits), threshold if kind == "binary" else None)
 
 
-def predict(model, df: DataFrame) -> DataFrame:
+def predict(model: SvmModel, df: DataFrame) -> DataFrame:
     """Label, prediction and raw scores; other columns of ``df`` but the features are kept."""
-    scored = model.transform(df)
-    kept = [c for c in df.columns if c != "features"]
-    return scored.select(
-        *kept, "prediction", vector_to_array("rawPrediction").alias("scores")
-    )
+    scored = with_scores(df, model.machines, model.fits).drop("features")
+    if model.threshold is not None:
+        both = F.array(-F.col("scores")[0], F.col("scores")[0])
+        return at_threshold(scored.withColumn("scores", both), model.threshold)
+    highest = F.array_position("scores", F.array_max("scores")) - 1
+    return scored.withColumn("prediction", highest.cast("double"))
 
 
 def evaluate_auroc(
@@ -66,23 +94,16 @@ def evaluate_auroc(
     return weighted_auroc(per_class, labels, by)
 
 
-def diagnostic_rows(model, max_iter: int) -> list[tuple]:
-    """Convergence of each fitted machine, in the order of :data:`DIAGNOSTIC_SCHEMA`."""
-    rows = []
-    for number, fitted in enumerate(getattr(model, "models", [model])):
-        try:
-            training = fitted.summary()
-            total = int(training.totalIterations)
-            history = [float(x) for x in training.objectiveHistory]
-            rows.append((max_iter, number, total, history, total < max_iter, ""))
-        except Exception as problem:  # a loaded model has no training summary
-            reason = f"training summary unavailable: {type(problem).__name__}"
-            rows.append((max_iter, number, None, [], None, reason))
-    return rows
+def diagnostic_rows(model: SvmModel, max_iter: int) -> list[tuple]:
+    """How each machine got to its weights, in the order of :data:`DIAGNOSTIC_SCHEMA`."""
+    return [
+        (max_iter, number, fit.iterations, fit.history, fit.iterations < max_iter, "", fit.gap)
+        for number, fit in enumerate(model.fits)
+    ]
 
 
-def diagnostics(spark: SparkSession, model, max_iter: int) -> DataFrame:
-    """Convergence of each fitted machine as a table."""
+def diagnostics(spark: SparkSession, model: SvmModel, max_iter: int) -> DataFrame:
+    """Convergence of each fitted machine as a table; its loss is at most ``gap`` above the least."""
     return spark.createDataFrame(diagnostic_rows(model, max_iter), DIAGNOSTIC_SCHEMA)
 
 
@@ -99,16 +120,16 @@ def sweep(
     kind: str,
     iterations: Sequence[int] = SWEEP_ITERATIONS,
     thresholds: Sequence[float] = SWEEP_THRESHOLDS,
-    parallelism: int = 4,
 ) -> tuple[DataFrame, list[tuple]]:
     """Predictions and diagnostic rows over a grid of iterations and thresholds.
 
-    One fit per iteration count: thresholds only move the cut on the raw score, and have no
-    effect on the class with the highest score.
+    One fit at the largest number of iterations; smaller ones are its snapshots. Thresholds only move the cut
+    on the raw score, and have no effect on the class with the highest score.
     """
+    longest = fit_svm(train, kind, max(iterations), 0.0, iterations)
     predicted, diagnosed = None, []
     for max_iter in iterations:
-        model = fit_svm(train, kind, max_iter, 0.0, parallelism)
+        model = longest.after(max_iter, 0.0)
         scored = predict(model, test)
         diagnosed += diagnostic_rows(model, max_iter)
         for threshold in thresholds:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from time import perf_counter
 
 import pyarrow as pa
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, StructField, StructType
 
 from flowmark.fixed_values import CLASS_CAP, PCA_GRID, SWEEP_ITERATIONS, SWEEP_THRESHOLDS
-from flowmark.functions.durable import bounded_table, compact, durable, null_safe_join
+from flowmark.functions.blocks import vector_rows
+from flowmark.functions.durable import bounded_table, compact, durable, local_table, null_safe_join
 from flowmark.operators import metrics as M
 from flowmark.operators.compare import timing_rows
 from flowmark.operators.features import (
@@ -26,13 +27,8 @@ from flowmark.operators.features import (
     policy,
 )
 from flowmark.operators.profile import hash_load, unseen_categories
-from flowmark.operators.reduction import (
-    cumulative_variance,
-    fit_lda,
-    fit_pca,
-    lda_project,
-    pca_project,
-)
+from flowmark.operators.margins import Variant, View, fit_machines, scores
+from flowmark.operators.reduction import cumulative_variance, fit_lda, fit_pca
 from flowmark.operators.sampling import (
     class_counts,
     sample_for_run,
@@ -40,14 +36,7 @@ from flowmark.operators.sampling import (
     split_for_run,
     union_all,
 )
-from flowmark.operators.svm import (
-    DIAGNOSTIC_SCHEMA,
-    diagnostic_rows,
-    evaluate_auroc,
-    fit_svm,
-    predict,
-    sweep,
-)
+from flowmark.operators.svm import DIAGNOSTIC_SCHEMA, SvmModel, diagnostic_rows, evaluate_auroc, task_machines
 from flowmark.operators.tasks import DatasetSpec, Protocol, build_task_frame, variants
 from flowmark.plans.audit import IDENTITY_SCHEMA
 from flowmark.sources.scan import require_valid
@@ -81,13 +70,27 @@ class RunConfig:
     sweep_iterations: tuple[int, ...] = SWEEP_ITERATIONS
     sweep_thresholds: tuple[float, ...] = SWEEP_THRESHOLDS
     lda_normalise: str = "unit"
-    parallelism: int = 4
     key_cols: tuple[str, ...] = ("uid",)
     fallback_cols: tuple[str, ...] | None = None
     label_col: str = "label_tactic"
     policy: FeaturePolicy | None = None  # instead of the protocol's policy by name
 
 
+@dataclass
+class _Group:
+    """Rows of the stages of a task that share their features, and the models to be fitted on them."""
+
+    number: int
+    ready: DataFrame  # label, split, features
+    width: int
+    kind: str
+    labels: list[float]
+    base_seconds: float
+    views: list[View] = field(default_factory=list)
+    #: identity, view, columns and seconds of the reduction of every model
+    models: list[tuple[dict, int, int, float]] = field(default_factory=list)
+
+
 #: Columns that hold labels in one form or another.
 TARGETS = ("label", "label_binary", "label_technique")
 
@@ -157,30 +160,43 @@ def run(
 ) -> dict[str, DataFrame]:
     """Run all tasks and stages on one labelled table and return the result tables.
 
-    The driver loops over model fits only; each step inside works on whole tables. A ``full``
-    run is refused if ``problems`` of the inventory is not empty.
+    The features of every task are fitted first and stay cached; then the models of all tasks, stages and
+    classes are fitted in the same passes, and judged in one. A ``full`` run is refused if ``problems`` of the
+    inventory is not empty.
     """
     if config.profile == "full" and problems is not None:
         require_valid(problems)
     results = _Results(flows.sparkSession)
-    for task, kind, _ in spec.tasks():
-        mapping = spec.label_mapping(task)
-        frame = build_task_frame(flows, mapping, config.label_col)
-        # stages that see the same sample and scaling share the features fitted on it
-        shared: dict[tuple, list[str]] = {}
-        for stage in config.stages:
-            how = sample_policy(
-                dataset=spec.name,
-                stage=stage,
-                task=task,
-                profile=config.profile,
-                method=protocol.method,
-                cap=config.cap,
-            )
-            key = (*how.values(), protocol.scales(stage))
-            shared.setdefault(key, []).append(stage)
-        for stages in shared.values():
-            _run_stages(results, frame, spec, protocol, config, task, kind, mapping, stages)
+    groups: list[_Group] = []
+    held: list[DataFrame] = []
+    try:
+        for task, kind, _ in spec.tasks():
+            mapping = spec.label_mapping(task)
+            frame = build_task_frame(flows, mapping, config.label_col)
+            # stages that see the same sample and scaling share the features fitted on it
+            shared: dict[tuple, list[str]] = {}
+            for stage in config.stages:
+                how = sample_policy(
+                    dataset=spec.name,
+                    stage=stage,
+                    task=task,
+                    profile=config.profile,
+                    method=protocol.method,
+                    cap=config.cap,
+                )
+                key = (*how.values(), protocol.scales(stage))
+                shared.setdefault(key, []).append(stage)
+            for stages in shared.values():
+                group = _prepare(
+                    results, held, len(groups), frame, spec, protocol, config, task, kind, mapping, stages
+                )
+                if group is not None:
+                    groups.append(group)
+        if any(g.models for g in groups):
+            _fit_and_measure(results, [g for g in groups if g.models], protocol, config)
+    finally:
+        for table in held:
+            table.unpersist()
     tables = results.tables()
     confusions = tables.pop("confusion")
     classes = M.per_class(confusions, IDENTITY)
@@ -205,8 +221,10 @@ def run(
     return tables
 
 
-def _run_stages(
+def _prepare(
     results: _Results,
+    held: list[DataFrame],
+    number: int,
     frame: DataFrame,
     spec: DatasetSpec,
     protocol: Protocol,
@@ -215,7 +233,11 @@ def _run_stages(
     kind: str,
     mapping: dict[str, float],
     stages: Sequence[str],
-) -> None:
+) -> _Group | None:
+    """Sample, split, features and reductions of the stages of a task; ``None`` if a label has no training rows.
+
+    What is cached is added to ``held``.
+    """
     spark = frame.sparkSession
     labels = sorted(mapping.values())
     keys = {"key_cols": config.key_cols, "fallback_cols": _fallback(frame, config)}
@@ -248,69 +270,58 @@ def _run_stages(
         label=config.label_col,
         **keys,
     )
-    held = []
-    try:
-        if config.profile == "development":  # at most ``cap`` rows per class, read many times
-            held.append(sample.persist(StorageLevel.MEMORY_AND_DISK))
-        elif "target_rows" in sampling and protocol.method != "corrected":
-            # a random split is only sound on partitions that stay as they are
-            sample = durable(sample)
-        sides = split_for_run(
-            sample,
-            dataset=spec.name,
-            task=task,
-            method=protocol.method,
-            seed=protocol.seed,
-            **keys,
-        )
-        train, test = (
-            sides.filter(F.col("split") == side).drop("split") for side in ("train", "test")
-        )
-        # two rows per declared class
-        counts = class_counts(sides, ["split", config.label_col, "label"]).collect()
-        for place in places:
-            rows = [(r["split"], r[config.label_col], r["n"]) for r in counts]
-            results.add_rows("class_counts", rows, place)
-        present = {r["label"] for r in counts if r["split"] == "train"}
-        absent = [x for x in labels if x not in present]
-        if absent:
-            # without a model nothing is predicted: an empty matrix, reported as not valid
-            nothing = spark.createDataFrame([], "label double, prediction double")
-            for stage, place in zip(stages, places):
-                results.add_rows("not_fitted", [(x,) for x in absent], place)
-                results.add("confusion", M.confusion(nothing, labels), identities[stage])
-            return
-        how = config.policy or policy(
-            protocol.feature_policy,
-            labels=(*config.key_cols, "uid", config.label_col, *TARGETS),
-        )
-        started = perf_counter()
-        fit_frame = sample if protocol.fit_on_all else train
-        model = fit_features(
-            fit_frame, how, protocol.scales(stages[0]), protocol.preprocessing_fit_scope
-        )
-        # both sides come from one scan and stay in one cached table
-        ready = model.transform(sides, ("label", "split")).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(ready)
-        # computed in the partitions of the source, before its blocks are merged for the fits; so the
-        # timing covers the transform
-        ready.count()
-        ready = compact(ready, sum(r["n"] for r in counts), 8 * model.dimension + 64)
-        base_seconds = perf_counter() - started
-        _describe(results, model, how, train, test, fit_frame, sampling, protocol, places)
-        for stage in stages:
-            reduced = _reduce(stage, ready, len(mapping), model.dimension, protocol, config)
-            for k, table, ratios, seconds in reduced:
-                own = {**identities[stage], "k": k}
-                results.add_rows(
-                    "variance", [(i, float(x)) for i, x in enumerate(ratios, 1)], own
-                )
-                _fit_and_measure(
-                    results, table, kind, labels, protocol, config, own, base_seconds, seconds
-                )
-    finally:
-        for table in held:
-            table.unpersist()
+    if config.profile == "development":  # at most ``cap`` rows per class, read many times
+        held.append(sample.persist(StorageLevel.MEMORY_AND_DISK))
+    elif "target_rows" in sampling and protocol.method != "corrected":
+        # a random split is only sound on partitions that stay as they are
+        sample = durable(sample)
+    sides = split_for_run(
+        sample,
+        dataset=spec.name,
+        task=task,
+        method=protocol.method,
+        seed=protocol.seed,
+        **keys,
+    )
+    train, test = (
+        sides.filter(F.col("split") == side).drop("split") for side in ("train", "test")
+    )
+    # two rows per declared class
+    counts = class_counts(sides, ["split", config.label_col, "label"]).collect()
+    for place in places:
+        rows = [(r["split"], r[config.label_col], r["n"]) for r in counts]
+        results.add_rows("class_counts", rows, place)
+    present = {r["label"] for r in counts if r["split"] == "train"}
+    absent = [x for x in labels if x not in present]
+    if absent:
+        # without a model nothing is predicted: an empty matrix, reported as not valid
+        nothing = spark.createDataFrame([], "label double, prediction double")
+        for stage, place in zip(stages, places):
+            results.add_rows("not_fitted", [(x,) for x in absent], place)
+            results.add("confusion", M.confusion(nothing, labels), identities[stage])
+        return None
+    how = config.policy or policy(
+        protocol.feature_policy,
+        labels=(*config.key_cols, "uid", config.label_col, *TARGETS),
+    )
+    started = perf_counter()
+    fit_frame = sample if protocol.fit_on_all else train
+    model = fit_features(
+        fit_frame, how, protocol.scales(stages[0]), protocol.preprocessing_fit_scope
+    )
+    # both sides come from one scan and stay in one cached table
+    ready = model.transform(sides, ("label", "split")).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(ready)
+    # computed in the partitions of the source, before its blocks are merged for the fits; so the
+    # timing covers the transform
+    ready.count()
+    ready = compact(ready, sum(r["n"] for r in counts), 8 * model.dimension + 64)
+    base_seconds = perf_counter() - started
+    _describe(results, model, how, train, test, fit_frame, sampling, protocol, places)
+    group = _Group(number, ready, model.dimension, kind, labels, base_seconds)
+    for stage in stages:
+        _reduce(results, group, stage, identities[stage], len(mapping), protocol, config)
+    return group
 
 
 def _describe(
@@ -346,106 +357,169 @@ def _describe(
 
 
 def _reduce(
+    results: _Results,
+    group: _Group,
     stage: str,
-    ready: DataFrame,
+    identity: dict,
     classes: int,
-    dimension: int,
     protocol: Protocol,
     config: RunConfig,
-):
-    """Variants of a stage: one reduction is fitted, every component count is a prefix of it."""
-    counts = variants(stage, classes, dimension, config.pca_grid)
-    if stage == "minimal":
-        yield None, ready, [], 0.0
-        return
+) -> None:
+    """Models of a stage: one reduction is fitted, and every component count uses its first columns.
+
+    Projections are made while training rows are read, so no projected table is kept.
+    """
+    counts = variants(stage, classes, group.width, config.pca_grid)
     if not counts:
         return
     started = perf_counter()
-    fit_frame = ready if protocol.fit_on_all else ready.filter(F.col("split") == "train")
-    if stage == "pca":
+    fit_frame = group.ready if protocol.fit_on_all else group.ready.filter(F.col("split") == "train")
+    ratios: Sequence[float] = []
+    if stage == "minimal":
+        group.views.append(View())
+    elif stage == "pca":
         model = fit_pca(fit_frame, max(counts))
         ratios = [float(x) for x in model.explainedVariance]
-        project = pca_project
+        group.views.append(View(model.pc.toArray()))
     else:
         model = fit_lda(fit_frame, max(counts), config.lda_normalise)
         ratios = list(model.ratios)
-        project = lda_project
-    fit_seconds = perf_counter() - started
+        group.views.append(View(model.projection, model.mean))
+    seconds = 0.0 if stage == "minimal" else perf_counter() - started
     for k in counts:
-        started = perf_counter()
-        table = project(ready, model, k).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            table.count()  # so that the timing covers the projection
-            yield k, table, ratios[:k], fit_seconds + perf_counter() - started
-        finally:
-            table.unpersist()
+        own = {**identity, "k": k}
+        results.add_rows("variance", [(i, float(x)) for i, x in enumerate(ratios[:k] if k else [], 1)], own)
+        group.models.append((own, len(group.views) - 1, k or group.width, seconds))
+
+
+def _side(groups: Sequence[_Group], side: str) -> DataFrame:
+    return union_all([vector_rows(g.ready.filter(F.col("split") == side), g.number) for g in groups])
 
 
 def _fit_and_measure(
-    results: _Results,
-    table: DataFrame,
-    kind: str,
-    labels: Sequence[float],
-    protocol: Protocol,
-    config: RunConfig,
-    identity: dict,
-    base_seconds: float,
-    reduction_seconds: float,
+    results: _Results, groups: Sequence[_Group], protocol: Protocol, config: RunConfig
 ) -> None:
-    # the table is cached by the caller, and the fits cache their own blocks of it
-    train, test = (
-        table.filter(F.col("split") == side).select("label", "features")
-        for side in ("train", "test")
-    )
-    timings = []
-    rounds = range(0 if config.warmup else 1, config.repetitions + 1)
-    for repetition in rounds:
+    """Fit the models of all groups together and measure each on the test rows of its group.
+
+    Time spent on all models together is divided among them, training by their numbers of weights.
+    """
+    train, test = (_side(groups, side) for side in ("train", "test"))
+    views = {g.number: g.views for g in groups}
+    widths = {g.number: g.width for g in groups}
+    machines, judged, models = [], [], []
+    for g in groups:
+        for identity, view, width, seconds in g.models:
+            own = task_machines(g.kind, g.labels, g.number, view, width)
+            threshold = protocol.svm_threshold if g.kind == "binary" else None
+            judged.append(Variant(g.number, tuple(range(len(machines), len(machines) + len(own))), threshold))
+            models.append((identity, g, seconds))
+            machines += own
+    weights = [sum(machines[m].width + 1 for m in v.machines) for v in judged]
+    for repetition in range(0 if config.warmup else 1, config.repetitions + 1):
         started = perf_counter()
-        model = fit_svm(
-            train, kind, protocol.svm_max_iter, protocol.svm_threshold, config.parallelism
-        )
+        fits = fit_machines(train, views, widths, machines, protocol.svm_max_iter)
         fitted = perf_counter()
-        predictions = predict(model, test).persist(StorageLevel.MEMORY_AND_DISK)
+        predictions = scores(test, views, machines, fits, judged).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             predictions.count()
             predicted = perf_counter()
             if repetition == config.repetitions:
-                counted = M.confusion(predictions, labels)
-                results.add("confusion", counted, identity)
-                if config.diagnostic_sweep:
-                    collapsed = M.summary(M.per_class(counted)).first()["collapse_flag"]
-                results.add("auroc", evaluate_auroc(predictions, labels), identity)
+                names = _identities(results.spark, [identity for identity, _, _ in models])
+                groups_of = [g for _, g, _ in models]
+                collapsed = _measure(results, predictions, groups_of, names, "confusion", "auroc", IDENTITY)
         finally:
             predictions.unpersist()
-        if repetition > 0:
-            parts = (fitted - started, predicted - fitted, perf_counter() - predicted)
-            timings.append((repetition, base_seconds, reduction_seconds, *parts))
-    results.add_rows("timings", timings, identity)
-    report = diagnostic_rows(model, protocol.svm_max_iter)
-    results.add_rows("model_diagnostics", report, identity)
+        measured = perf_counter()
+        if repetition == 0:
+            continue
+        for (identity, g, seconds), own in zip(models, weights):
+            parts = (
+                (fitted - started) * own / sum(weights),
+                (predicted - fitted) / len(models),
+                (measured - predicted) / len(models),
+            )
+            results.add_rows("timings", [(repetition, g.base_seconds, seconds, *parts)], identity)
+    for (identity, _, _), v in zip(models, judged):
+        model = SvmModel(tuple(machines[m] for m in v.machines), tuple(fits[m] for m in v.machines), v.threshold)
+        results.add_rows("model_diagnostics", diagnostic_rows(model, protocol.svm_max_iter), identity)
     if config.diagnostic_sweep and collapsed:
-        _sweep(results, train, test, kind, labels, config, identity)
+        chosen = [(models[i][0], models[i][1], [machines[m] for m in judged[i].machines]) for i in collapsed]
+        _sweep(results, train, test, views, widths, chosen, config)
+
+
+def _identities(spark: SparkSession, identities: Sequence[dict], more: str = "", values: Sequence[tuple] = ()) -> DataFrame:
+    """Identity of every variant by its number, with further columns if wanted."""
+    rows = [(i, *own.values(), *(values[i] if values else ())) for i, own in enumerate(identities)]
+    return local_table(spark, rows, f"variant int, {IDENTITY_SCHEMA}{more}")
+
+
+def _measure(
+    results: _Results,
+    predictions: DataFrame,
+    groups: Sequence[_Group],
+    names: DataFrame,
+    confusion: str,
+    auroc: str,
+    keys: Sequence[str],
+) -> list[int]:
+    """Confusion and AUROC of all variants, which belong to ``groups``; returns the collapsed ones."""
+    spark = results.spark
+    labels = local_table(spark, [(i, g.labels) for i, g in enumerate(groups)], "variant int, labels array<double>")
+    # a variant without test rows has its zeros too
+    zeros = [(i, a, b, 0) for i, g in enumerate(groups) for a in g.labels for b in g.labels]
+    cells = M.confusion(predictions, labels, ["variant"]).unionByName(
+        local_table(spark, zeros, "variant int, label double, prediction double, n bigint")
+    )
+    cells = cells.groupBy("variant", "label", "prediction").agg(F.sum("n").alias("n"))
+    cells = durable(cells)  # a row for every variant and pair of labels
+    flags = M.summary(M.per_class(cells, ["variant"]), ["variant"]).filter("collapse_flag").select("variant")
+    collapsed = [r["variant"] for r in flags.collect()]
+    results.add(confusion, cells.join(F.broadcast(names), "variant").select(*keys, "label", "prediction", "n"), {})
+    for wanted in sorted({tuple(g.labels) for g in groups}):
+        own = [i for i, g in enumerate(groups) if tuple(g.labels) == wanted]
+        found = evaluate_auroc(predictions.filter(F.col("variant").isin(own)), wanted, ["variant"])
+        results.add(auroc, found.join(F.broadcast(names), "variant").select(*keys, "auroc"), {})
+    return sorted(collapsed)
 
 
 def _sweep(
     results: _Results,
     train: DataFrame,
     test: DataFrame,
-    kind: str,
-    labels: Sequence[float],
+    views: dict[int, list[View]],
+    widths: dict[int, int],
+    chosen: Sequence[tuple],
     config: RunConfig,
-    identity: dict,
 ) -> None:
-    """Settings sweep of a collapsed model; the faithful result stays as it is."""
-    swept, report = sweep(
-        train, test, kind, config.sweep_iterations, config.sweep_thresholds, config.parallelism
+    """Settings sweep of collapsed models in one fit; the faithful results stay as they are."""
+    machines = [m for _, _, own in chosen for m in own]
+    fits = fit_machines(
+        train, views, widths, machines, max(config.sweep_iterations), config.sweep_iterations
     )
-    keys = ["svm_max_iter", "svm_threshold"]
-    swept = swept.persist(StorageLevel.MEMORY_AND_DISK)
+    known, snapshots, judged, settings, groups, first = [], [], [], [], [], 0
+    for identity, g, own in chosen:
+        for max_iter in config.sweep_iterations:
+            mine = tuple(f.snapshots[max_iter] for f in fits[first : first + len(own)])
+            model = SvmModel(tuple(own), mine, 0.0 if g.kind == "binary" else None)
+            results.add_rows("sweep_diagnostics", diagnostic_rows(model, max_iter), identity)
+            at = tuple(range(len(known), len(known) + len(own)))
+            known += own
+            snapshots += mine
+            for threshold in config.sweep_thresholds:
+                judged.append(Variant(g.number, at, threshold if g.kind == "binary" else None))
+                settings.append((identity, (max_iter, threshold)))
+                groups.append(g)
+        first += len(own)
+    swept = scores(test, views, known, snapshots, judged).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        results.add("sweep_confusion", M.confusion(swept, labels, keys), identity)
-        results.add("sweep_auroc", evaluate_auroc(swept, labels, keys), identity)
-        results.add_rows("sweep_diagnostics", report, identity)
+        names = _identities(
+            results.spark,
+            [identity for identity, _ in settings],
+            ", svm_max_iter int, svm_threshold double",
+            [own for _, own in settings],
+        )
+        keys = [*IDENTITY, "svm_max_iter", "svm_threshold"]
+        _measure(results, swept, groups, names, "sweep_confusion", "sweep_auroc", keys)
     finally:
         swept.unpersist()
 
