@@ -119,3 +119,34 @@ def test_words_in_lines_have_the_ids_they_have_alone():
     for w, n in zip(words, counts):
         assert ids[at : at + n].tolist() == t.encode(w, add_special_tokens=False).ids, w
         at += n
+
+
+def test_words_are_joined_back_across_parts_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(word_bpe, "PART_BYTES", 300)
+    monkeypatch.setattr(word_bpe, "BUCKET_BYTES", 500)
+    rng = np.random.default_rng(5)
+    words = [f"{'abcdefghij'[i % 10] * (1 + i % 4)}{i}" for i in range(60)] + ["The", "é.", "<|endoftext|>"]
+    rows = [(i, rng.choice([" ", "\t", "\n"]).join(rng.choice(words, rng.integers(0, 40)))) for i in range(150)]
+    rows += [(150, None), (151, "z" * 100_000), (152, "the " * 30_000)]
+    t = Tokenizer.from_file(WORD)
+    got = word_bpe.encode_and_decode(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORD).collect()
+    found = {r.doc_id: (r.ids, r.decoded) for r in got}
+    for doc_id, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert found[doc_id] == (ids, t.decode(ids, skip_special_tokens=False)), doc_id
+
+
+def test_each_distinct_word_is_asked_for_once_per_part_and_encoded_once():
+    import pyarrow as pa
+
+    text = pa.array(["a b a", "b c", "a"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 7]), text], names=["part", "text"])
+    asked = pa.Table.from_batches(list(word_bpe._requests(4)(iter([batch]))))
+    words = [
+        (p, w)
+        for p, n, d in zip(*(asked[c].to_pylist() for c in ("part", "size", "words")))
+        for w in bytes(word_bpe._unpacked(d, n)).decode().split("\n")
+    ]
+    assert sorted(words) == [(0, "a"), (0, "b"), (0, "c"), (7, "a")]
+    bucket_of = {w: b for b, p, n, d in asked.to_pandas().itertuples(index=False) for w in bytes(word_bpe._unpacked(d, n)).decode().split("\n")}
+    assert len({(w, b) for w, b in bucket_of.items()}) == 3
