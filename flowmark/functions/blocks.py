@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ BLOCK = 1 << 20
 SPARSE_BLOCK = 1 << 13
 #: Bytes of task results that are collected without adding them up on the executors first.
 COLLECT_BYTES = 64 << 20
+#: Rows of a state on its way between tasks: matrices by key.
+SCHEMA = "key string, columns int, sums binary"
 
 
 def vector_rows(df: DataFrame, group: int = 0, features: str = "features", label: str | None = "label") -> DataFrame:
@@ -62,6 +64,24 @@ def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
             first = last
 
 
+def state_batch(items: Iterable[tuple]) -> pa.RecordBatch:
+    """Matrices by key as a record batch of ``SCHEMA``."""
+    items = list(items)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([str(key) for key, _ in items], pa.string()),
+            pa.array([m.shape[1] for _, m in items], pa.int32()),
+            pa.array([m.tobytes() for _, m in items], pa.binary()),
+        ],
+        names=["key", "columns", "sums"],
+    )
+
+
+def state_items(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    for key, columns, sums in zip(*(c.to_pylist() for c in batch.columns)):
+        yield key, np.frombuffer(sums).reshape(-1, columns)
+
+
 class Sums:
     """Matrices to be added up, by a key."""
 
@@ -74,50 +94,45 @@ class Sums:
         self.of[key][rows] += value
 
     def batch(self) -> pa.RecordBatch:
-        items = list(self.of.items())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([str(key) for key, _ in items], pa.string()),
-                pa.array([m.shape[1] for _, m in items], pa.int32()),
-                pa.array([m.tobytes() for _, m in items], pa.binary()),
-            ],
-            names=["key", "columns", "sums"],
-        )
+        return state_batch(self.of.items())
 
     def take(self, batch: pa.RecordBatch) -> None:
-        for key, columns, sums in zip(*(c.to_pylist() for c in batch.columns)):
-            matrix = np.frombuffer(sums).reshape(-1, columns)
+        for key, matrix in state_items(batch):
             self.add(key, slice(None), matrix, matrix.shape)
 
 
-_SCHEMA = "key string, columns int, sums binary"
 
+def merged(rows: DataFrame, tasks: int, make: Callable, per_block: Callable, result_bytes: int):
+    """The state that ``make()`` begins and ``per_block(state, group, labels, block, columns)`` takes all blocks of
+    ``rows`` into. States have ``batch()``, a record batch of ``SCHEMA``, and ``take(batch)``, which merges one.
 
-def added(rows: DataFrame, tasks: int, per_block: Callable, result_bytes: int) -> dict[str, np.ndarray]:
-    """The sums that ``per_block(sums, group, labels, block, columns)`` makes of all blocks of ``rows``.
-
-    Results of many ``tasks``, or large ones, meet in groups of tasks first.
+    States of many ``tasks``, or large ones, meet in groups of tasks first.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
+        state = make()
         for batch in batches:
             for found in blocks(batch):
-                per_block(sums, *found)
-        yield sums.batch()
+                per_block(state, *found)
+        yield state.batch()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
+        state = make()
         for batch in batches:
-            sums.take(batch)
-        yield sums.batch()
+            state.take(batch)
+        yield state.batch()
 
     ship(rows.sparkSession)
-    parts = rows.mapInArrow(scan, _SCHEMA)
+    parts = rows.mapInArrow(scan, SCHEMA)
     while tasks > 1 and tasks * result_bytes > COLLECT_BYTES:
         tasks = max(1, min(tasks - 1, round(tasks**0.5)))
-        parts = parts.repartition(tasks, F.spark_partition_id()).mapInArrow(merge, _SCHEMA)
-    total = Sums()
+        parts = parts.repartition(tasks, F.spark_partition_id()).mapInArrow(merge, SCHEMA)
+    total = make()
     for batch in parts.toArrow().to_batches():
         total.take(batch)
-    return total.of
+    return total
+
+
+def added(rows: DataFrame, tasks: int, per_block: Callable, result_bytes: int) -> dict[str, np.ndarray]:
+    """The sums, by key as text, of the matrices that ``per_block`` adds to a :class:`Sums`."""
+    return merged(rows, tasks, Sums, per_block, result_bytes).of

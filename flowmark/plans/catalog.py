@@ -504,8 +504,7 @@ def class_moments(spark, sf_dir):
 @register
 def class_scatter(spark, sf_dir):
     df = _line_vectors(spark, sf_dir, "l_quantity", "l_discount", "l_tax")
-    means = {r["label"]: r["mean"].toArray() for r in R.class_moments(df).collect()}
-    lines = R.scatter_rows(df, means, 3)
+    lines = R.scatter_table(spark, R.fit_scatter(df))
     return lines.select("line", *[F.round(F.col("values")[i], 4).alias(f"c{i}") for i in range(3)])
 
 

@@ -379,8 +379,8 @@ def _reduce(
         group.views.append(View())
     elif stage == "pca":
         model = fit_pca(fit_frame, max(counts))
-        ratios = [float(x) for x in model.explainedVariance]
-        group.views.append(View(model.pc.toArray()))
+        ratios = list(model.ratios)
+        group.views.append(View(model.components))
     else:
         model = fit_lda(fit_frame, max(counts), config.lda_normalise)
         ratios = list(model.ratios)

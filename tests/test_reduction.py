@@ -1,10 +1,14 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
+from flowmark.operators import reduction
 from flowmark.operators.reduction import (
+    ClassState,
     fit_lda,
+    fit_lda_wide,
     fit_pca,
     fit_scatter,
     lda_project,
@@ -144,3 +148,99 @@ def test_other_columns_stay(spark, clusters):
     df = clusters.withColumn("tag", F.lit("x"))
     assert lda_project(df, fit_lda(df, 1), 1).columns == ["uid", "label", "tag", "features"]
     assert pca_project(df, fit_pca(df, 1), 1).columns == ["uid", "label", "tag", "features"]
+
+
+def test_components_equal_those_of_the_covariance(spark):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(400, 60)) @ np.diag(np.linspace(1, 3, 60)) @ rng.normal(size=(60, 60)) + 1e4
+    model = fit_pca(table(spark, points, np.zeros(400), parts=5), 4)
+    values, vectors = np.linalg.eigh(np.cov(points.T))
+    assert np.allclose(model.ratios, values[::-1][:4] / values.sum(), rtol=1e-9)
+    assert np.allclose(np.abs(np.sum(model.components * vectors[:, ::-1][:, :4], axis=0)), 1, atol=1e-6)
+    assert model.residual < 1e-8
+
+
+def sparse_table(spark, n, width, per_row, seed, classes=3):
+    """Rows of a few entries each; some columns go with the class."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        label = i % classes
+        at = np.unique(np.append(rng.integers(0, width, per_row), label * 7))
+        rows.append((i, float(label), SparseVector(width, at.tolist(), (rng.normal(size=len(at)) + 2).tolist())))
+    return spark.createDataFrame(rows, ["uid", "label", "features"]).repartition(3)
+
+
+def test_wide_sparse_components(spark):
+    df = sparse_table(spark, 200, 50_000, 6, 1).cache()
+    model = fit_pca(df, 2, driver_bytes=200 << 20)
+    x = np.zeros((200, 50_000))
+    for i, row in enumerate(df.collect()):
+        x[i, row.features.indices] = row.features.values
+    x -= x.mean(axis=0)
+    sizes = np.square(np.linalg.svd(x, compute_uv=False))
+    assert np.allclose(model.ratios, sizes[:2] / sizes.sum(), rtol=1e-6)
+    with pytest.raises(ValueError, match="driver_bytes"):
+        fit_pca(df, 2, driver_bytes=1 << 20)
+
+
+@pytest.mark.parametrize("normalise", ["unit", "whiten"])
+def test_wide_lda_equals_the_one_with_matrices(spark, normalise):
+    rng = np.random.default_rng(9)
+    labels = rng.integers(0, 4, 400)
+    points = rng.normal(size=(400, 12)) * np.linspace(0.5, 2, 12) + labels[:, None] * np.linspace(-1, 1, 12) + 50
+    df = table(spark, points, labels).cache()
+    dense, wide = fit_lda(df, 3, normalise), fit_lda_wide(df, 3, normalise)
+    assert np.allclose(dense.ratios, wide.ratios, atol=1e-6)
+    assert np.allclose(dense.projection, wide.projection, atol=1e-6 * np.abs(dense.projection).max())
+
+
+def test_wide_lda_leaves_out_what_has_no_spread(spark):
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 3, 200)
+    base = rng.normal(size=(200, 3)) + labels[:, None] * [1, 0, -1]
+    points = np.column_stack([base, base[:, 0] - base[:, 1], labels, np.ones(200)])
+    df = table(spark, points, labels)
+    dense, wide = fit_lda(df, 2), fit_lda_wide(df, 2)
+    assert np.allclose(dense.ratios, wide.ratios, atol=1e-6)
+    assert np.allclose(dense.projection, wide.projection, atol=1e-5)
+
+
+def test_fifty_thousand_columns_need_no_matrix(spark):
+    df = sparse_table(spark, 300, 50_000, 4, 2).cache()
+    model = fit_lda(df, 2, driver_bytes=64 << 20)
+    assert model.projection.shape == (50_000, 2) and model.rank is None
+    scores = collect(lda_project(df, model, 2))
+    assert np.isfinite(scores).all() and sum(model.ratios) == pytest.approx(1)
+
+
+def test_scatter_takes_one_pass_and_keeps_its_digits(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    labels = rng.integers(0, 3, 300)
+    points = rng.normal(size=(300, 4)) + labels[:, None]
+    wanted = textbook(points, labels)[1]
+    passes = []
+    real = reduction.merged
+    monkeypatch.setattr(reduction, "merged", lambda *a: passes.append(1) or real(*a))
+    for tasks in (1, 7):
+        got = fit_scatter(table(spark, points + 1e8, labels, tasks)).within
+        assert np.allclose(got, wanted, rtol=1e-6)
+    assert len(passes) == 2
+
+
+def test_states_merge_in_any_order():
+    rng = np.random.default_rng(11)
+    points, labels = rng.normal(size=(90, 3)) + 1e6, rng.integers(0, 3, 90).astype(float)
+    whole = ClassState(3, 10)
+    whole.add(labels, points, slice(None))
+    parts = []
+    for cut in np.array_split(rng.permutation(90), 4):
+        parts.append(ClassState(3, 10))
+        parts[-1].add(labels[cut], points[cut], slice(None))
+    for order in ([0, 1, 2, 3], [3, 1, 0, 2]):
+        state = ClassState(3, 10)
+        for i in order:
+            state.take(parts[i].batch())
+        assert state.rows == whole.rows
+        assert np.allclose(state.within, whole.within)
+        assert all(np.allclose(state.means[x], whole.means[x], rtol=1e-14) for x in whole.means)
