@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmark.fixed_values import HASH_BUCKETS
@@ -126,3 +126,92 @@ def hash_load(df: DataFrame, columns: Sequence[str], buckets: int = HASH_BUCKETS
         .withColumn("load_factor", F.col("total_distinct") / F.lit(float(buckets)))
     )
 
+
+_MASK = (1 << 32) - 1
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _times(a: Column, factor: int) -> Column:
+    """Product of two 32-bit numbers modulo 2**32; the parts stay within 64 bits."""
+
+    def product(x: Column) -> Column:
+        high = (x * F.lit(factor >> 16)).bitwiseAND(F.lit(0xFFFF)) * F.lit(1 << 16)
+        return (x * F.lit(factor & 0xFFFF) + high).bitwiseAND(F.lit(_MASK))
+
+    return _bound(a, product)
+
+
+def _turned(a: Column, bits: int) -> Column:
+    """``a`` rotated to the left in 32 bits."""
+    return _bound(
+        a, lambda x: F.shiftleft(x, bits).bitwiseAND(F.lit(_MASK)).bitwiseOR(F.shiftright(x, 32 - bits))
+    )
+
+
+def _folded(a: Column, bits: int) -> Column:
+    """``a`` with its upper bits laid over the lower."""
+    return _bound(a, lambda x: x.bitwiseXOR(F.shiftright(x, bits)))
+
+
+def hashed_slot(text: Column, buckets: int = HASH_BUCKETS) -> Column:
+    """The slot in which Spark's ``FeatureHasher`` counts the text ``column=value``: Murmur3 of its UTF-8 bytes with
+    seed 42, as a signed number, modulo ``buckets``.
+
+    The built-in ``hash`` treats the last bytes otherwise, so it cannot stand in for it.
+    """
+    digits = F.hex(F.encode(text, "UTF-8"))
+    length = F.octet_length(text)
+
+    def word(i: Column) -> Column:
+        # four bytes from the lowest, zeros behind the last
+        own = F.rpad(F.substring(digits, i * 8 + 1, F.lit(8)), 8, "0")
+        turned = F.concat(*[F.substring(own, at, 2) for at in (7, 5, 3, 1)])
+        return F.conv(turned, 16, 10).cast("bigint")
+
+    def mixed(k: Column) -> Column:
+        return _times(_turned(_times(k, 0xCC9E2D51), 15), 0x1B873593)
+
+    def hashed(words: Column) -> Column:
+        whole = F.slice(words, 1, F.floor(length / F.lit(4)).cast("int"))
+        state = F.aggregate(
+            whole,
+            F.lit(42).cast("bigint"),
+            lambda h, k: (_times(_turned(h.bitwiseXOR(mixed(k)), 13), 5) + F.lit(0xE6546B64)).bitwiseAND(F.lit(_MASK)),
+        )
+        # the last word, if it is short; without one it counts as zero
+        state = state.bitwiseXOR(F.when(length % 4 > 0, mixed(F.element_at(words, -1))).otherwise(F.lit(0)))
+        state = _times(_folded(state.bitwiseXOR(length.cast("bigint")), 16), 0x85EBCA6B)
+        state = _folded(_times(_folded(state, 13), 0xC2B2AE35), 16)
+        return _bound(state, lambda x: F.when(x >= 1 << 31, x - F.lit(1 << 32)).otherwise(x))
+
+    count = F.ceil(length / F.lit(4)).cast("int")
+    places = F.when(length > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.pmod(_bound(F.transform(places, word), hashed), F.lit(buckets)).cast("int")
+
+
+def hash_collisions(
+    df: DataFrame, columns: Sequence[str], buckets: int = HASH_BUCKETS, prefix: str = ""
+) -> DataFrame:
+    """Every value of the hashed columns that shares its slot with another: ``slot``, ``column``, ``value``, its
+    ``rows``, and the ``slot_values`` and ``slot_rows`` of the slot. Null values are not hashed.
+
+    ``prefix`` stands before the names of the columns in the hasher. Values are counted first, so a slot is worked out
+    once for each; what is brought together is one row per slot and its size, not the values of a slot.
+    """
+    counted = value_counts(df, columns).filter(F.col("value").isNotNull())
+    slotted = counted.select(
+        hashed_slot(F.concat(F.lit(prefix), "column", F.lit("="), "value"), buckets).alias("slot"),
+        "column",
+        "value",
+        F.col("n").alias("rows"),
+    )
+    full = slotted.groupBy("slot").agg(
+        F.count(F.lit(1)).alias("slot_values"), F.sum("rows").alias("slot_rows")
+    ).filter("slot_values > 1")
+    return slotted.join(side_table(full), "slot").select(
+        "slot", "column", "value", "rows", "slot_values", "slot_rows"
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,6 +116,47 @@ def _by_cutoff(
     Rows below an edge are kept by a filter on the source; they are never moved.
     """
     by = list(by)
+    narrowed = _narrowed(keyed, by, kind, quotas, cap)
+    rest = None
+    if narrowed.undecided is not None:
+        if narrowed.few:
+            rest = _by_window(narrowed.undecided, columns, by, F.col(_LEFT))
+        else:
+            rest = _copies(narrowed.undecided, columns, by)
+    kept = null_safe_join(keyed, narrowed.edges, by).filter(narrowed.below()).select(*columns)
+    return kept if rest is None else kept.unionByName(rest)
+
+
+@dataclass
+class _Narrowed:
+    """Edges per class, from the coarsest level on, and the rows that share even the last one."""
+
+    edges: DataFrame
+    levels: list[tuple[Column, Column]]  # level and its edge
+    undecided: DataFrame | None = None  # with the places left for their class
+    few: bool = False
+    open_classes: DataFrame | None = None  # the classes of ``undecided``
+
+    def below(self) -> Column:
+        """Whether a row comes before the edges of its class."""
+        # a deeper edge is missing where no place was left above it
+        below = F.lit(False)
+        for level, edge in reversed(self.levels):
+            below = F.coalesce(level < edge, F.lit(False)) | (F.coalesce(level == edge, F.lit(False)) & below)
+        return F.col("__edge0").isNull() | below
+
+    def on_edge(self) -> Column:
+        """Whether a row lies on every edge that was found."""
+        on = F.lit(True)
+        for level, edge in self.levels:
+            on = on & F.coalesce(level == edge, F.lit(False))
+        return on
+
+
+def _narrowed(
+    keyed: DataFrame, by: list[str], kind: str, quotas: DataFrame | None, cap: int | None
+) -> _Narrowed:
+    """Find the edges of the rows that :func:`_by_cutoff` keeps."""
     levels = [
         *[hash_bucket(F.col(_HASH), bits, kind) for bits in PREFIX_BITS],
         F.struct(_HASH, _KEY),
@@ -126,43 +168,36 @@ def _by_cutoff(
         wanted = quotas.select(*by, F.col("quota").cast("bigint").alias(_LEFT))
         undecided = null_safe_join(keyed, side_table(wanted), by)
 
-    edges = None  # per class, the edge of every level that was needed
-    rest = None
-    keep = []
+    found = None
     for depth, level in enumerate(levels):
         cut = side_table(_edges(undecided, by, level))
         edge = f"__edge{depth}"
         own = cut.select(*by, F.col("__edge").alias(edge))
-        edges = own if edges is None else null_safe_join(edges, own, by, "left")
-        keep.append((level, F.col(edge)))
+        if found is None:
+            found = _Narrowed(own, [])
+        else:
+            found.edges = null_safe_join(found.edges, own, by, "left")
+        found.levels.append((level, F.col(edge)))
         narrow = cut.filter(F.col("__edge").isNotNull() & (F.col(_LEFT) > 0))
         most = narrow.agg(F.max("__rows")).first()[0]
         if most is None:
-            break
+            return found
         undecided = (
             null_safe_join(undecided.drop(_LEFT), narrow, by)
             .filter(level == F.col("__edge"))
             .drop("__edge", "__rows")
         )
         if most <= EDGE_ROWS:
-            rest = _by_window(undecided, columns, by, F.col(_LEFT))
+            found.few = True
             break
-    else:
-        rest = _copies(undecided, columns, by)
-
-    # a deeper edge is missing where no place was left above it
-    below = F.lit(False)
-    for level, edge in reversed(keep):
-        below = F.coalesce(level < edge, F.lit(False)) | (
-            F.coalesce(level == edge, F.lit(False)) & below
-        )
-    below = F.col("__edge0").isNull() | below
-    kept = null_safe_join(keyed, edges, by).filter(below).select(*columns)
-    return kept if rest is None else kept.unionByName(rest)
+    found.undecided, found.open_classes = undecided, narrow.select(*by)
+    return found
 
 
-def _copies(rows: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """First ``__left`` rows per class of rows on one edge, counted by content."""
+def _copies(
+    rows: DataFrame, columns: Sequence[str], by: Sequence[str], others: bool = False
+) -> DataFrame:
+    """First ``__left`` rows per class of rows on one edge, or all the others, counted by content."""
     order = [_TIE, *_orderable(rows, columns)]
     running = Window.partitionBy(*by).orderBy(*order)
     return (
@@ -172,7 +207,8 @@ def _copies(rows: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataF
             "__upto",
             F.sum("__n").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         )
-        .withColumn("__take", F.expr("least(__n, __left - (__upto - __n))"))
+        .withColumn("__take", F.expr("greatest(0, least(__n, __left - (__upto - __n)))"))
+        .withColumn("__take", F.expr("__n - __take") if others else F.col("__take"))
         .filter("__take > 0")
         .withColumn("__chunk", F.expr(f"explode(sequence(0, (__take - 1) div {COPY_CHUNK}))"))
         .repartition(F.col("__chunk"))
@@ -378,12 +414,95 @@ def hash_split(
     *,
     kind: str = "xxhash64",
     fallback_cols: Sequence[str] | None = None,
+    per_class: Sequence[str] = (),
+    tie_cols: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add ``split``; both sides come from one scan. The share is approximate per class."""
+    """Add ``split``; both sides come from one scan. The share is approximate per class, unless ``per_class``
+    names the columns of the class (see :func:`stratified_split`)."""
+    if per_class:
+        return stratified_split(
+            df, per_class, key_cols, seed, train_fraction, kind=kind, fallback_cols=fallback_cols, tie_cols=tie_cols
+        )
     key = stable_key(key_cols, fallback_cols)
     return df.withColumn("split", split_column(key, seed, train_fraction, kind))
 
 
+def stratified_split(
+    df: DataFrame,
+    by: Sequence[str],
+    key_cols: Sequence[str],
+    seed: int = SEED,
+    train_fraction: float = TRAIN_FRACTION,
+    *,
+    kind: str = "xxhash64",
+    fallback_cols: Sequence[str] | None = None,
+    tie_cols: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add ``split`` so that the train side has the exact share of every class, rounded down: its rows with the
+    lowest key hashes.
+
+    The hash up to which a class goes to the train side is found by counts, as in :func:`class_cap`; rows
+    before and behind it get their side where they are, and only those on the edge are ranked. Of rows
+    with the key on the edge of a class, some may go to either side. A null class is a class.
+    """
+    columns, by = df.columns, list(by)
+    keyed = _keyed(df, key_cols, fallback_cols, tie_cols, seed, kind)
+    # in millionths, since 0.7 of 90 rows is less than 63 as a double
+    millionths = round(train_fraction * 1_000_000)
+    shares = df.groupBy(*by).agg(F.expr(f"count(1) * {millionths} div 1000000").alias("quota"))
+    narrowed = _narrowed(keyed, by, kind, shares, None)
+    rows = null_safe_join(keyed, narrowed.edges, by)
+    sided = F.when(narrowed.below(), F.lit("train")).otherwise(F.lit("test")).alias("split")
+    if narrowed.undecided is None:
+        return rows.select(*columns, sided)
+    still = narrowed.open_classes.withColumn("__open", F.lit(True))
+    rows = null_safe_join(rows, still, by, "left")
+    decided = rows.filter(~(narrowed.on_edge() & F.col("__open").isNotNull())).select(*columns, sided)
+    if narrowed.few:
+        order = [_HASH, _KEY, _TIE, *_orderable(keyed, columns)]
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        sided = F.when(F.col("__rank") <= F.col(_LEFT), F.lit("train")).otherwise(F.lit("test")).alias("split")
+        return decided.unionByName(narrowed.undecided.withColumn("__rank", rank).select(*columns, sided))
+    for side, others in (("train", False), ("test", True)):
+        edge = _copies(narrowed.undecided, columns, by, others)
+        decided = decided.unionByName(edge.withColumn("split", F.lit(side)))
+    return decided
+
+
+def content_split(
+    df: DataFrame,
+    seed: int = SEED,
+    train_fraction: float = TRAIN_FRACTION,
+    *,
+    kind: str = "xxhash64",
+) -> DataFrame:
+    """Add ``split``: a seeded draw for every row that depends on its content only, not on files or partitions.
+
+    Equal rows are counted, so that a row held by a third of the table is one row here, and numbered among
+    themselves; the draw is a hash of content and number. Copies are dealt out again in bounded chunks.
+    """
+    columns = df.columns
+    nested = [c for c in columns if c not in _orderable(df, columns)]
+    if nested:
+        raise ValueError(f"rows cannot be compared by the columns {nested}")
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    chunks = (
+        counted.withColumn("__chunk", F.expr(f"explode(sequence(0, (__n - 1) div {COPY_CHUNK}))"))
+        .repartition(*columns, "__chunk")
+        .withColumn("__copy", F.expr(
+            f"explode(sequence(__chunk * {COPY_CHUNK} + 1, least(__n, (__chunk + 1) * {COPY_CHUNK})))"
+        ))
+    )
+    if kind == "xxhash64":
+        draw = F.xxhash64(*columns, "__copy", F.lit(seed))
+    else:
+        # a null differs from an empty text
+        parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (*columns, "__copy")]
+        draw = seeded_hash(F.concat_ws("|", *parts), seed, kind)
+    train = F.pmod(draw, F.lit(10_000)) < int(train_fraction * 10_000)
+    return chunks.select(*columns, F.when(train, F.lit("train")).otherwise(F.lit("test")).alias("split"))
+
+
 def random_split(df: DataFrame, seed: int = SEED, train_fraction: float = TRAIN_FRACTION):
     """Seeded random split; the rows of a side depend on how ``df`` is partitioned."""
     return tuple(df.randomSplit([train_fraction, 1 - train_fraction], seed=seed))

@@ -139,6 +139,18 @@ def inventory_validation(spark, sf_dir):
     )
 
 
+@register
+def inventory(spark, sf_dir):
+    """The inventory of two datasets from their files: totals, classes and problems in one table."""
+    roots = {spec.name: f"{sf_dir}/{spec.name}.parquet" for spec in EXPECTED}
+    found = S.inventory(spark, roots, EXPECTED, CENSUS_LABELS)
+    sizes = [F.struct(F.lit(x).alias("item"), F.col(x).cast("bigint").alias("n")) for x in ("files", "rows", "schemas")]
+    totals = found["totals"].select("dataset", F.explode(F.array(*sizes)).alias("x")).select("dataset", "x.item", "x.n")
+    classes = found["classes"].select("dataset", F.concat(F.lit("class "), "label_tactic").alias("item"), "n")
+    problems = found["problems"].select("dataset", F.col("message").alias("item"), F.lit(None).cast("bigint").alias("n"))
+    return totals.unionByName(classes).unionByName(problems)
+
+
 # --- tasks, samples, splits ----------------------------------------------------------------
 
 
@@ -233,6 +245,30 @@ def hash_split(spark, sf_dir):
     return X.hash_split(lines, LINE_KEY, kind="md5")
 
 
+@register
+def stratified_split(spark, sf_dir):
+    """The exact share of every class on the train side."""
+    return X.hash_split(
+        _line_flows(spark, sf_dir), LINE_KEY, kind="md5", per_class=["l_returnflag"], tie_cols=LINE_TIES
+    )
+
+
+@register
+def stratified_split_hot_key(spark, sf_dir):
+    """One key for each class: the edge falls between rows of one key."""
+    return X.stratified_split(
+        _line_flows(spark, sf_dir), ["l_returnflag"], ["l_returnflag"],
+        kind="md5", tie_cols=[*LINE_KEY, *LINE_TIES],
+    )
+
+
+@register
+def content_split(spark, sf_dir):
+    """Rows of few columns, each of which comes many times, dealt to the sides one by one."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
+    return X.content_split(lines.withColumn("l_quantity", F.col("l_quantity").cast("int")), kind="md5")
+
+
 @register
 def class_counts_by_split(spark, sf_dir):
     flows = X.hash_split(event_flows(spark, sf_dir), ["event_id"], kind="md5")
@@ -336,6 +372,12 @@ def hash_load(spark, sf_dir):
     return load.withColumn("distinct_values", F.to_json("distinct_values"))
 
 
+@register
+def hash_collisions(spark, sf_dir):
+    """Names and segments of customers that share a slot of the feature hasher."""
+    return P.hash_collisions(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
+
+
 @register
 def hashed_features(spark, sf_dir):
     """Rows per bucket of two columns hashed into one vector."""

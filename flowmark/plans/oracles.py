@@ -74,6 +74,20 @@ FROM expected e JOIN actual a USING (dataset) WHERE e.rows <> a.rows
 UNION ALL
 SELECT dataset, 'classes', 'label_tactic counts do not match the paper dataset' FROM differing"""
 
+_FILES = "(VALUES ('events'), ('orders')) AS f(dataset)"
+ORACLES["inventory"] = (
+    ORACLES["inventory_validation"].replace("\nSELECT dataset, 'files' AS problem,", """, problems AS (
+SELECT dataset, 'files' AS problem,""")
+    + f"""
+)
+SELECT dataset, label AS item, n FROM (
+  SELECT dataset, 'class ' || label AS label, n::BIGINT AS n FROM classes
+  UNION ALL SELECT dataset, 'files', 1 FROM {_FILES}
+  UNION ALL SELECT dataset, 'schemas', 1 FROM {_FILES}
+  UNION ALL SELECT dataset, 'rows', rows FROM actual
+  UNION ALL SELECT dataset, message, NULL FROM problems)"""
+)
+
 # --- tasks, samples, splits ----------------------------------------------------------------
 
 ORACLES["task_frame_binary"] = f"""
@@ -168,6 +182,23 @@ ranked AS (
   FROM lineitem)
 SELECT {_LINE_COLUMNS} FROM ranked JOIN quotas USING (l_returnflag) WHERE place <= quota"""
 
+ORACLES["stratified_split"] = f"""
+SELECT {_LINE_COLUMNS}, CASE WHEN row_number() OVER (PARTITION BY l_returnflag ORDER BY {_LINE_ORDER})
+    <= count(*) OVER (PARTITION BY l_returnflag) * 7 // 10 THEN 'train' ELSE 'test' END AS split
+FROM lineitem"""
+ORACLES["stratified_split_hot_key"] = f"""
+SELECT {_LINE_COLUMNS}, CASE WHEN row_number() OVER (PARTITION BY l_returnflag ORDER BY {md5_hash(_HOT_TIE)},
+    l_orderkey, l_linenumber, l_partkey, l_suppkey)
+    <= count(*) OVER (PARTITION BY l_returnflag) * 7 // 10 THEN 'train' ELSE 'test' END AS split
+FROM lineitem"""
+_CONTENT = "l_returnflag, l_linestatus, l_linenumber, l_quantity"
+_CONTENT_KEY = " || '|' || ".join(f"'=' || {c}" for c in (*_CONTENT.split(", "), "copy"))
+ORACLES["content_split"] = f"""
+WITH numbered AS (
+  SELECT {_CONTENT}, row_number() OVER (PARTITION BY ALL) AS copy
+  FROM (SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity::INT AS l_quantity FROM lineitem))
+SELECT {_CONTENT}, {side(_CONTENT_KEY)} AS split FROM numbered""".replace("PARTITION BY ALL", f"PARTITION BY {_CONTENT}")
+
 ORACLES["hash_split"] = f"""
 SELECT l_orderkey, l_linenumber, {side(_LINE_KEY)} AS split FROM lineitem"""
 
@@ -252,6 +283,52 @@ SELECT '{"c_mktsegment":' || b || ',"c_name":' || a || '}' AS distinct_values,
        greatest(0, a + b - 256)::BIGINT AS minimum_collisions, (a + b) / 256.0::DOUBLE AS load_factor
 FROM d"""
 
+
+
+def murmur3(text: str) -> str:
+    """Murmur3 with seed 42 of the UTF-8 bytes of a text, as an unsigned number."""
+
+    def times(a: str, factor: int) -> str:
+        return f"((({a}) * {factor & 0xFFFF} + (((({a}) * {factor >> 16}) & 65535) << 16)) & 4294967295)"
+
+    def turned(a: str, bits: int) -> str:
+        return f"(((({a}) << {bits}) & 4294967295) | (({a}) >> {32 - bits}))"
+
+    def shifted(a: str, bits: int) -> str:
+        return f"xor({a}, ({a}) >> {bits})"
+
+    mixed = times(turned(times("k", 0xCC9E2D51), 15), 0x1B873593)
+    body = f"(({times(turned(f'xor(h, {mixed})', 13), 5)} + {0xE6546B64}) & 4294967295)"
+    word = "('0x' || " + " || ".join(f"substr(own, {at}, 2)" for at in (7, 5, 3, 1)) + ")::BIGINT"
+    return f"""
+  WITH digits AS (SELECT {text} AS text, hex(encode({text})) AS digits, strlen({text}) AS len FROM counted),
+  words AS (
+    SELECT text, len, list_transform(
+      list_transform(range((len + 3) // 4), lambda i: rpad(substr(digits, (8 * i + 1)::INT, 8), 8, '0')),
+      lambda own: {word}) AS words FROM digits),
+  bodies AS (
+    SELECT text, len, words, list_reduce(list_prepend(42::BIGINT, list_slice(words, 1, len // 4)),
+      lambda h, k: {body}) AS h FROM words),
+  tails AS (
+    SELECT text, len, CASE WHEN len % 4 > 0 THEN xor(h, {mixed.replace("k", "words[len // 4 + 1]")}) ELSE h END AS h
+    FROM bodies),
+  m1 AS (SELECT text, xor(h, len) AS h FROM tails),
+  m2 AS (SELECT text, {times(shifted("h", 16), 0x85EBCA6B)} AS h FROM m1),
+  m3 AS (SELECT text, {times(shifted("h", 13), 0xC2B2AE35)} AS h FROM m2)
+  SELECT text, {shifted("h", 16)} AS h FROM m3"""
+
+
+ORACLES["hash_collisions"] = f"""
+WITH counted AS (
+  SELECT 'c_name' AS "column", c_name AS value, count(*) AS rows FROM customer WHERE c_name IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(*) FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY ALL),
+hashed AS ({murmur3("\"column\" || '=' || value")}),
+slotted AS (
+  SELECT (h % 256)::INT AS slot, "column", value, rows
+  FROM counted JOIN hashed ON text = "column" || '=' || value)
+SELECT *, count(*) OVER (PARTITION BY slot) AS slot_values, (sum(rows) OVER (PARTITION BY slot))::BIGINT AS slot_rows
+FROM slotted QUALIFY slot_values > 1"""
+
 ORACLES["feature_vectors"] = f"""
 WITH sides AS (
   SELECT o_orderkey, o_custkey::DOUBLE AS f0, o_totalprice AS f1, epoch(o_orderdate)::DOUBLE AS f2,

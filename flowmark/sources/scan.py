@@ -187,22 +187,26 @@ def inventory(
     spark: SparkSession,
     roots: dict[str, str],
     specs: Sequence[DatasetSpec],
-    label_col: str = "label_tactic",
+    label_col: str | dict[str, str] = "label_tactic",
 ) -> dict[str, DataFrame]:
-    """Files, schemas, classes and problems of several datasets, ``dataset`` as a column."""
+    """Files, schemas, classes and problems of several datasets, ``dataset`` as a column.
+
+    ``label_col`` is the label column of all datasets, or of each by its name.
+    """
     files, schemas, classes, sums = [], [], [], []
     for spec in specs:
         key = F.lit(spec.name).alias("dataset")
+        label = label_col if isinstance(label_col, str) else label_col[spec.name]
         own_files = file_census(spark, roots[spec.name])
         own_schemas = schema_census(spark, roots[spec.name])
         files.append(own_files.select(key, "*"))
         schemas.append(own_schemas.select(key, "*"))
         rows = (
-            local_table(spark, [], f"{label_col} string")
+            local_table(spark, [], f"{label} string")
             if own_files.isEmpty()
             else scan(spark, roots[spec.name])
         )
-        counted = rows.groupBy(F.col(label_col).alias("label_tactic"))
+        counted = rows.groupBy(F.col(label).alias("label_tactic"))
         classes.append(counted.agg(F.count(F.lit(1)).alias("n")).select(key, "*"))
         sums.append(totals(spark, spec.name, own_files, own_schemas))
 
