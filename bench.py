@@ -32,6 +32,11 @@ HEADLINE = (
     "comparison_status",
     "svm_binary",
     "svm_ovr",
+    "svm_sweep",
+    "stratified_split",
+    "content_split",
+    "hash_collisions",
+    "experiment_metrics",
 )
 
 

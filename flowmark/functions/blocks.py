@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmark.functions.ship import ship
@@ -21,46 +21,91 @@ COLLECT_BYTES = 64 << 20
 SCHEMA = "key string, columns int, sums binary"
 
 
-def vector_rows(df: DataFrame, group: int = 0, features: str = "features", label: str | None = "label") -> DataFrame:
+def vector_rows(
+    df: DataFrame, group: int | Column = 0, features: str = "features", label: str | None = "label"
+) -> DataFrame:
     """Rows in the form that passes read: ``group``, ``label`` and the parts of the vector, dense or sparse."""
     return df.select(
-        F.lit(group).alias("group"),
+        (F.lit(group) if isinstance(group, int) else group).cast("int").alias("group"),
         (F.lit(0.0) if label is None else F.col(label).cast("double")).alias("label"),
         F.unwrap_udt(features).alias("vector"),
     )
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | slice]]:
-    """Group, labels, values and their columns, for blocks of rows; columns without values are left out."""
+#: Many rows of one group in one: sizes and places of the values are missing if all vectors are dense.
+PACKED = "group int, width int, labels binary, counts binary, columns binary, numbers binary"
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``vector_rows`` packed into few rows, for many passes: numbers go to the tasks as they are in memory."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, labels, width, counts, columns, numbers in _vectors(batch):
+                parts = (labels, counts, columns, numbers)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([group], pa.int32()),
+                        pa.array([width], pa.int32()),
+                        *[pa.array([None if x is None else x.tobytes()], pa.binary()) for x in parts],
+                    ],
+                    names=["group", "width", "labels", "counts", "columns", "numbers"],
+                )
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(pack, PACKED)
+
+
+def _vectors(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Group, labels, width, values per row, their columns, and all values; no counts and columns if all are dense."""
     groups = batch.column("group").to_numpy()
-    labels = batch.column("label").to_numpy(zero_copy_only=False)
+    labels = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
     for group in np.unique(groups):
         own = np.flatnonzero(groups == group)
         vectors = batch.column("vector") if len(own) == len(groups) else batch.column("vector").take(pa.array(own))
         kind, size, indices, values = vectors.flatten()
         dense = kind.to_numpy(zero_copy_only=False) == 1
-        counts = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
-        numbers, ends = values.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts)
-        width = int(size.drop_null()[0].as_py()) if not dense.all() else int(counts[0]) if len(counts) else 0
+        counts = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        numbers = values.flatten().to_numpy(zero_copy_only=False)
         if dense.all():
-            step = max(1, BLOCK // max(width, 1))
-            table = numbers.reshape(len(own), width)
-            for first in range(0, len(own), step):
-                yield int(group), labels[own[first : first + step]], table[first : first + step], slice(None)
+            yield int(group), labels[own], int(counts[0]), None, None, numbers
             continue
-        column = np.empty(len(numbers), dtype=np.int64)
+        width = int(size.drop_null()[0].as_py())
+        column = np.empty(len(numbers), dtype=np.int32)
         from_dense = np.repeat(dense, counts)
-        column[from_dense] = np.tile(np.arange(width), int(dense.sum()))
+        column[from_dense] = np.tile(np.arange(width, dtype=np.int32), int(dense.sum()))
         column[~from_dense] = indices.flatten().to_numpy(zero_copy_only=False)
-        first = 0
-        while first < len(own):
+        yield int(group), labels[own], width, counts, column, numbers
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """:func:`_vectors` of packed rows."""
+    for i in range(batch.num_rows):
+        group, width = batch.column("group")[i].as_py(), batch.column("width")[i].as_py()
+        parts = []
+        for name, kind in (("labels", "<f8"), ("counts", "<i4"), ("columns", "<i4"), ("numbers", "<f8")):
+            data = batch.column(name)[i].as_buffer()
+            parts.append(None if data is None else np.frombuffer(data, kind))
+        yield group, parts[0], width, *parts[1:]
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | slice]]:
+    """Group, labels, values and their columns, for blocks of rows; columns without values are left out."""
+    found = _vectors(batch) if "vector" in batch.schema.names else _unpacked(batch)
+    for group, labels, width, counts, column, numbers in found:
+        if counts is None:
+            step, table = max(1, BLOCK // max(width, 1)), numbers.reshape(len(labels), width)
+            for first in range(0, len(labels), step):
+                yield group, labels[first : first + step], table[first : first + step], slice(None)
+            continue
+        ends, first = np.cumsum(counts, dtype=np.int64), 0
+        while first < len(labels):
             start = ends[first] - counts[first]
             last = max(first + 1, int(np.searchsorted(ends, start + SPARSE_BLOCK, side="right")))
             used, place = np.unique(column[start : ends[last - 1]], return_inverse=True)
             block = np.zeros((last - first, len(used)))
-            row = np.repeat(np.arange(last - first), counts[first:last])
-            block[row, place] = numbers[start : ends[last - 1]]
-            yield int(group), labels[own[first:last]], block, used
+            block[np.repeat(np.arange(last - first), counts[first:last]), place] = numbers[start : ends[last - 1]]
+            yield group, labels[first:last], block, used
             first = last
 
 

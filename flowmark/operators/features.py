@@ -34,7 +34,7 @@ PREFIX = "__value_"
 INDEXER_VALUES = 10_000
 #: Widest vector that is centred row by row, which makes it dense. Wider ones stay sparse and carry
 #: their mean as an offset.
-DENSE_WIDTH = 20_000
+DENSE_WIDTH = 512
 
 METADATA_SCHEMA = (
     "numeric_features array<string>, categorical_features array<string>,"

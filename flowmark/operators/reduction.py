@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -121,10 +122,14 @@ def fit_scatter(
     refused before anything is read, or, if there are too many classes, by the tasks.
     """
     width = vector_width(df, features)
+    return scatter_of(vector_rows(df, features=features, label=label), width, driver_bytes)
+
+
+def scatter_of(rows: DataFrame, width: int, driver_bytes: int = DRIVER_BYTES) -> Scatter:
+    """:func:`fit_scatter` of rows in the form of ``blocks.vector_rows`` or ``blocks.packed``."""
     most = max(0, driver_bytes // 8 - 4 * width * width) // (2 * width)
     if most == 0:
         raise _too_much(width, driver_bytes)
-    rows = vector_rows(df, features=features, label=label)
     state = merged(
         rows,
         rows.rdd.getNumPartitions(),
@@ -232,14 +237,32 @@ def fit_lda_wide(
     the scatter stays unknown.
     """
     width = vector_width(df, features)
+    most = driver_bytes // _held(width) + 1
+    found = df.select(F.col(label).cast("double").alias("label")).distinct().limit(most).collect()
     rows = vector_rows(df, features=features, label=label)
-    tasks = rows.rdd.getNumPartitions()
-    held = 10 * 8 * width  # columns of the iteration for each class
-    found = df.select(F.col(label).cast("double").alias("label")).distinct().limit(driver_bytes // held + 1).collect()
-    if len(found) * held > driver_bytes:
+    return wide_lda_of(rows, width, [r["label"] for r in found], k_max, normalise, driver_bytes, max_passes)
+
+
+def _held(width: int) -> int:
+    """Bytes that the iteration of :func:`wide_lda_of` holds for each class."""
+    return 10 * 8 * width
+
+
+def wide_lda_of(
+    rows: DataFrame,
+    width: int,
+    labels: Sequence[float],
+    k_max: int,
+    normalise: str = "unit",
+    driver_bytes: int = DRIVER_BYTES,
+    max_passes: int = 200,
+) -> LdaModel:
+    """:func:`fit_lda_wide` of rows in the form of ``blocks.vector_rows`` or ``blocks.packed``, with their labels."""
+    if len(labels) * _held(width) > driver_bytes:
         raise _too_much(width, driver_bytes)
-    totals = added(rows, tasks, lambda sums, *block: _class_sums(sums, width, *block), 8 * width * len(found))
-    classes = np.array(sorted(float(r["label"]) for r in found))
+    tasks = rows.rdd.getNumPartitions()
+    totals = added(rows, tasks, lambda sums, *block: _class_sums(sums, width, *block), 8 * width * len(labels))
+    classes = np.array(sorted(map(float, labels)))
     table = np.stack([totals[str((float(x),))][:, 0] for x in classes])
     counts, means = table[:, -1], table[:, :-1] / table[:, -1:]
     overall = counts @ means / counts.sum()
@@ -294,12 +317,16 @@ def fit_lda(
 
     Class statistics in one pass, if their matrices fit in ``driver_bytes``, else without matrices.
     """
-    width = vector_width(df, features)
-    if 8 * 6 * width * width > driver_bytes:
+    if not matrices_fit(vector_width(df, features), driver_bytes):
         return fit_lda_wide(df, k_max, normalise, features, label, driver_bytes)
     return solve_lda(fit_scatter(df, features, label, driver_bytes), k_max, normalise)
 
 
+def matrices_fit(width: int, driver_bytes: int = DRIVER_BYTES) -> bool:
+    """Whether the driver has room for the matrices of an LDA fit."""
+    return 8 * 6 * width * width <= driver_bytes
+
+
 def lda_project(df: DataFrame, model: LdaModel, k: int, features: str = "features") -> DataFrame:
     """Replace ``features`` by the first ``k`` discriminant scores, one product per Arrow batch."""
     return _projected(df, features, model.projection[:, :k], model.mean)
@@ -362,18 +389,25 @@ def fit_pca(
     is positive.
     """
     width = vector_width(df, features)
+    rows = vector_rows(df, features=features, label=None)
+    return pca_of(rows, width, k_max, driver_bytes, max_passes)
+
+
+def pca_of(
+    rows: DataFrame, width: int, k_max: int, driver_bytes: int = DRIVER_BYTES, max_passes: int = 100
+) -> PcaModel:
+    """:func:`fit_pca` of rows in the form of ``blocks.vector_rows`` or ``blocks.packed``."""
     if not 1 <= k_max <= width:
         raise ValueError(f"{k_max} components of {width} features")
     block = min(width, k_max + 8)
     most = min(width, driver_bytes // (8 * width) // 3 - 2 * block, max(4 * block, 64))
     if most < min(width, 2 * block):
         raise _too_much(width, driver_bytes)
-    rows = vector_rows(df, features=features, label=None)
     tasks = rows.rdd.getNumPartitions()
     totals = added(rows, tasks, lambda sums, *found: _class_sums(sums, width, *found), 8 * width)
     if not totals:
         raise ValueError("no rows to fit principal components on")
-    (total,) = totals.values()
+    total = sum(totals.values())
     n, mean = float(total[-1, 0]), total[:-1, 0] / total[-1, 0]
     if n < 2:
         raise ValueError("principal components need two rows")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmark.fixed_values import SWEEP_ITERATIONS, SWEEP_THRESHOLDS
-from flowmark.functions.blocks import vector_rows
+from flowmark.functions.blocks import packed, vector_rows
 from flowmark.functions.scalars import vector_width
 from flowmark.operators.margins import Fit, Machine, View, fit_machines, with_scores
 from flowmark.operators.metrics import (
@@ -59,8 +60,8 @@ def fit_svm(
 ) -> SvmModel:
     """Linear SVM without regularisation for a binary task, one machine per class otherwise.
 
-    All machines are fitted in the same passes over ``train``, at most ``max_iter`` and one before, so keep it
-    cached. Classes count from 0 to the highest label.
+    All machines are fitted in the same passes over ``train``, at most ``max_iter`` and one before, which is read
+    once and kept packed for them. Classes count from 0 to the highest label.
     """
     width = vector_width(train, "features")
     labels = [0.0, 1.0]
@@ -68,7 +69,11 @@ def fit_svm(
         highest = train.agg(F.max("label")).first()[0]
         labels = [float(x) for x in range(int(highest) + 1)]
     machines = task_machines(kind, labels, 0, 0, width)
-    fits = fit_machines(vector_rows(train), {0: [View()]}, {0: width}, machines, max_iter, snapshots)
+    rows = packed(vector_rows(train)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fits = fit_machines(rows, {0: [View()]}, {0: width}, machines, max_iter, snapshots)
+    finally:
+        rows.unpersist()
     return SvmModel(tuple(machines), tuple(fits), threshold if kind == "binary" else None)
 
 

@@ -12,10 +12,10 @@ from contextlib import contextmanager
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmark.functions.durable import compact, side_table
+from flowmark.functions.durable import compact, local_table, side_table
 from flowmark.functions.scalars import text_value
 from flowmark.operators import compare as C
 from flowmark.operators import metrics as M
@@ -669,13 +669,36 @@ def _trained_on(df: DataFrame, row_bytes: int):
         cached.unpersist()
 
 
+def _share(of: Column, text: Column) -> Column:
+    """Share of the characters of ``text`` that match a class of characters."""
+    return F.length(F.regexp_replace(text, of, "")) / F.greatest(F.length(text), F.lit(1))
+
+
+def _text_features(text: str) -> list[Column]:
+    """Numbers that describe a whole text: its size, words, lines, repetition, and kinds of characters."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    words, lines = F.split(whole, "[ \\n\\t]+"), F.split(whole, "\\n")
+    return [
+        F.length(whole).alias("characters"),
+        F.size(words).alias("words"),
+        (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_words"),
+        (F.size(F.array_distinct(lines)) / F.size(lines)).alias("distinct_lines"),
+        (F.length(whole) / F.size(words)).alias("word_length"),
+        (F.length(whole) / F.size(lines)).alias("line_length"),
+        _share("[^0-9]", whole).alias("digits"),
+        _share("[^A-Z]", whole).alias("capitals"),
+        _share("[^.,;:!?]", whole).alias("marks"),
+        _share("[^#$%&*+/<=>@\\\\^_{|}~]", whole).alias("symbols"),
+    ]
+
+
 def _quality_features(spark, sf_dir):
-    """Quality labels of documents with features of their length, language and source."""
+    """Quality labels of documents with features of their whole texts, language and source."""
     labelled = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"
     )
     labelled = labelled.select(
-        "doc_id", F.col("quality").cast("double").alias("label"), "lang", "source", "n_chars"
+        "doc_id", F.col("quality").cast("double").alias("label"), "lang", "source", *_text_features("text")
     )
     train, test = _sides(labelled, "doc_id")
     model = fit_features(train, policy("corrected", labels=("doc_id", "label")))
@@ -701,6 +724,34 @@ def svm_ovr(spark, sf_dir):
     return M.per_class(M.confusion(predictions, CLASSES))
 
 
+@register
+def svm_least_loss(spark, sf_dir):
+    """Return flags by the line number alone: the least loss of each flag against the others, which is taken where
+    two groups of lines lie on their margins, and whether the fitted machine gets there."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("double").alias("x"))
+    flags = ["A", "N", "R"]
+    label = F.array_position(F.array(*map(F.lit, flags)), F.col("l_returnflag")) - 1
+    train = lines.select(label.cast("double").alias("label"), array_to_vector(F.array("x")).alias("features"))
+    model = V.fit_svm(train, "multinomial", ITERATIONS)
+    fitted = local_table(spark, [(c, f.loss) for c, f in zip(flags, model.fits)], "flag string, loss double")
+    # at most a row for each flag and line number
+    counts = F.broadcast(side_table(lines.groupBy("l_returnflag", "x").agg(F.count(F.lit(1)).alias("n"))))
+    rows = counts.crossJoin(F.broadcast(local_table(spark, [(c,) for c in flags], "flag string"))).select(
+        "flag", "x", F.when(F.col("l_returnflag") == F.col("flag"), 1).otherwise(-1).alias("y"), "n"
+    ).groupBy("flag", "x", "y").agg(F.sum("n").alias("n"))
+    a, b = (rows.select("flag", F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i in (1, 2))
+    slope = (F.col("y1") - F.col("y2")) / (F.col("x1") - F.col("x2"))
+    tried = a.join(b, "flag").filter("x1 < x2").select("flag", slope.alias("w"), (F.col("y1") - slope * F.col("x1")).alias("b"))
+    flat = a.select("flag", F.lit(0.0).alias("w"), F.col("y1").cast("double").alias("b"))
+    lack = F.greatest(F.lit(0.0), 1 - F.col("y") * (F.col("x") * F.col("w") + F.col("b")))
+    losses = tried.unionByName(flat).distinct().join(rows, "flag").groupBy("flag", "w", "b").agg(
+        (F.sum(F.col("n") * lack) / F.sum("n")).alias("loss")
+    )
+    least = losses.groupBy("flag").agg(F.min("loss").alias("least"))
+    reached = F.col("loss") <= F.col("least") * 1.001
+    return least.join(fitted, "flag").select("flag", F.round("least", 6).alias("least"), reached.alias("reached"))
+
+
 @register
 def svm_supports(spark, sf_dir):
     """Rows per class on the test side, as the models above report them."""

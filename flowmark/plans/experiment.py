@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, StructField, StructType
 
 from flowmark.fixed_values import CLASS_CAP, PCA_GRID, SWEEP_ITERATIONS, SWEEP_THRESHOLDS
-from flowmark.functions.blocks import vector_rows
+from flowmark.functions.blocks import packed, vector_rows
 from flowmark.functions.durable import bounded_table, compact, durable, local_table, null_safe_join
 from flowmark.operators import metrics as M
 from flowmark.operators.compare import timing_rows
@@ -28,7 +28,14 @@ from flowmark.operators.features import (
 )
 from flowmark.operators.profile import hash_load, unseen_categories
 from flowmark.operators.margins import Variant, View, fit_machines, scores
-from flowmark.operators.reduction import cumulative_variance, fit_lda, fit_pca
+from flowmark.operators.reduction import (
+    cumulative_variance,
+    matrices_fit,
+    pca_of,
+    scatter_of,
+    solve_lda,
+    wide_lda_of,
+)
 from flowmark.operators.sampling import (
     class_counts,
     sample_for_run,
@@ -81,7 +88,7 @@ class _Group:
     """Rows of the stages of a task that share their features, and the models to be fitted on them."""
 
     number: int
-    ready: DataFrame  # label, split, features
+    rows: DataFrame  # packed; those of the train side are group 2 * number, those of the test side the next
     width: int
     kind: str
     labels: list[float]
@@ -310,15 +317,16 @@ def _prepare(
         fit_frame, how, protocol.scales(stages[0]), protocol.preprocessing_fit_scope
     )
     # both sides come from one scan and stay in one cached table
-    ready = model.transform(sides, ("label", "split")).persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(ready)
+    side = 2 * number + F.when(F.col("split") == "train", 0).otherwise(1)
+    rows = packed(vector_rows(model.transform(sides, ("label", "split")), side)).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(rows)
     # computed in the partitions of the source, before its blocks are merged for the fits; so the
     # timing covers the transform
-    ready.count()
-    ready = compact(ready, sum(r["n"] for r in counts), 8 * model.dimension + 64)
+    rows.count()
+    rows = compact(rows, sum(r["n"] for r in counts), 8 * model.dimension + 64)
     base_seconds = perf_counter() - started
     _describe(results, model, how, train, test, fit_frame, sampling, protocol, places)
-    group = _Group(number, ready, model.dimension, kind, labels, base_seconds)
+    group = _Group(number, rows, model.dimension, kind, labels, base_seconds)
     for stage in stages:
         _reduce(results, group, stage, identities[stage], len(mapping), protocol, config)
     return group
@@ -373,16 +381,19 @@ def _reduce(
     if not counts:
         return
     started = perf_counter()
-    fit_frame = group.ready if protocol.fit_on_all else group.ready.filter(F.col("split") == "train")
+    rows = group.rows if protocol.fit_on_all else _side([group], "train")
     ratios: Sequence[float] = []
     if stage == "minimal":
         group.views.append(View())
     elif stage == "pca":
-        model = fit_pca(fit_frame, max(counts))
+        model = pca_of(rows, group.width, max(counts))
         ratios = list(model.ratios)
         group.views.append(View(model.components))
     else:
-        model = fit_lda(fit_frame, max(counts), config.lda_normalise)
+        if matrices_fit(group.width):
+            model = solve_lda(scatter_of(rows, group.width), max(counts), config.lda_normalise)
+        else:
+            model = wide_lda_of(rows, group.width, group.labels, max(counts), config.lda_normalise)
         ratios = list(model.ratios)
         group.views.append(View(model.projection, model.mean))
     seconds = 0.0 if stage == "minimal" else perf_counter() - started
@@ -393,7 +404,10 @@ def _reduce(
 
 
 def _side(groups: Sequence[_Group], side: str) -> DataFrame:
-    return union_all([vector_rows(g.ready.filter(F.col("split") == side), g.number) for g in groups])
+    """The packed rows of one side, under the numbers of their groups."""
+    last = 0 if side == "train" else 1
+    own = [g.rows.filter(F.col("group") == 2 * g.number + last) for g in groups]
+    return union_all(own).withColumn("group", F.expr("group div 2").cast("int"))
 
 
 def _fit_and_measure(

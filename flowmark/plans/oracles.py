@@ -789,6 +789,20 @@ ORACLES["lda_beyond_rank"] = """
 SELECT 1::BIGINT AS component, 1.0::DOUBLE AS explained_variance,
        round(var_samp(l_quantity), 4) AS variance FROM lineitem
 UNION ALL SELECT 2, 0.0, 0.0"""
+ORACLES["svm_least_loss"] = """
+WITH rows AS (
+  SELECT flag, l_linenumber::DOUBLE AS x, CASE WHEN l_returnflag = flag THEN 1 ELSE -1 END AS y, count(*) AS n
+  FROM lineitem, (VALUES ('A'), ('N'), ('R')) AS f(flag) GROUP BY ALL),
+tried AS (
+  SELECT flag, w, y1 - w * x1 AS b FROM (
+    SELECT p.flag, p.x AS x1, p.y AS y1, (p.y - q.y) / (p.x - q.x) AS w
+    FROM rows p JOIN rows q ON p.flag = q.flag AND p.x < q.x)
+  UNION ALL SELECT flag, 0, y FROM rows),
+losses AS (
+  SELECT flag, w, b, sum(n * greatest(0, 1 - y * (x * w + b))) / sum(n) AS loss
+  FROM (SELECT DISTINCT * FROM tried) JOIN rows USING (flag) GROUP BY ALL)
+SELECT flag, round(min(loss), 6) AS least, TRUE AS reached FROM losses GROUP BY flag"""
+
 ORACLES["svm_supports"] = f"""
 SELECT 'quality' AS task, count(*)::BIGINT AS test_rows FROM documents JOIN labels USING (doc_id)
 WHERE {side("doc_id::VARCHAR")} = 'test'
