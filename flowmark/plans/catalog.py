@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmark.functions.durable import compact, local_table, side_table
+from flowmark.functions.durable import compact, ensure_checkpoint_dir, local_table, side_table
 from flowmark.functions.scalars import text_value
 from flowmark.operators import compare as C
 from flowmark.operators import metrics as M
@@ -24,6 +25,7 @@ from flowmark.operators import reduction as R
 from flowmark.operators import sampling as X
 from flowmark.operators import svm as V
 from flowmark.operators.features import feature_frame, fit_features, policy
+from flowmark.operators.growing import GrowingCap, GrowingQuota
 from flowmark.operators.tasks import (
     DatasetSpec,
     Protocol,
@@ -34,6 +36,7 @@ from flowmark.operators.tasks import (
 from flowmark.plans.audit import METRIC_SCHEMA
 from flowmark.plans.experiment import run
 from flowmark.sources import scan as S
+from flowmark.sources.ledger import CensusLedger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,6 +154,26 @@ def inventory(spark, sf_dir):
     return totals.unionByName(classes).unionByName(problems)
 
 
+def _shared_folder(spark, name):
+    """A new folder on the storage that holds checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+@register
+def census_ledger(spark, sf_dir):
+    """Class counts by way of a ledger, and how many files a second census opened again."""
+    parts = []
+    for name, label in CENSUS_LABELS.items():
+        ledger = CensusLedger(spark, _shared_folder(spark, "ledger"), label)
+        path = f"{sf_dir}/{name}.parquet"
+        ledger.update(path)
+        again = ledger.update(path)
+        counted = ledger.classes(path).select(F.lit(name).alias("dataset"), "label_tactic", "n")
+        parts.append(counted.withColumn("opened_again", F.lit(again)))
+    return X.union_all(parts)
+
+
 # --- tasks, samples, splits ----------------------------------------------------------------
 
 
@@ -210,6 +233,35 @@ def class_cap_null_key(spark, sf_dir):
     return window.unionByName(cutoff)
 
 
+def _line_halves(spark, sf_dir):
+    lines = _line_flows(spark, sf_dir)
+    return [lines.filter(F.col("l_orderkey") % 2 == i) for i in (0, 1)]
+
+
+@register
+def growing_cap(spark, sf_dir):
+    """The capped sample of a table that came in two halves."""
+    state = GrowingCap(
+        spark, _shared_folder(spark, "cap"), ["l_returnflag"], LINE_KEY, 7_000, kind="md5", tie_cols=LINE_TIES
+    )
+    for half in _line_halves(spark, sf_dir):
+        sample = state.add(half)
+    return sample
+
+
+@register
+def growing_quota(spark, sf_dir):
+    """The quota sample of a table that came in two halves."""
+    state = GrowingQuota(
+        spark, _shared_folder(spark, "quota"), "l_returnflag", LINE_KEY, 0.85,
+        protected=["A"], kind="md5", tie_cols=LINE_TIES,
+    )
+    halves = _line_halves(spark, sf_dir)
+    for half in halves:
+        state.add(half)
+    return state.sample(halves[0], _line_flows(spark, sf_dir))
+
+
 def _task_counts(spark, sf_dir):
     frames = build_task_frames(event_flows(spark, sf_dir), [EVENTS])
     return X.class_counts(frames, ["task", "label_tactic"])

@@ -51,6 +51,7 @@ ORACLES["multi_dataset_census"] = " UNION ALL ".join(
     f" FROM {name} GROUP BY 2"
     for name, label in _LABELS.items()
 )
+ORACLES["census_ledger"] = f"SELECT *, 0 AS opened_again FROM ({ORACLES['multi_dataset_census']})"
 ORACLES["chart_counts"] = ORACLES["multi_dataset_census"]
 
 ORACLES["inventory_validation"] = """
@@ -199,6 +200,9 @@ WITH numbered AS (
   FROM (SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity::INT AS l_quantity FROM lineitem))
 SELECT {_CONTENT}, {side(_CONTENT_KEY)} AS split FROM numbered""".replace("PARTITION BY ALL", f"PARTITION BY {_CONTENT}")
 
+ORACLES["growing_cap"] = ORACLES["class_cap_cutoff"]
+ORACLES["growing_quota"] = ORACLES["quota_sample"]
+
 ORACLES["hash_split"] = f"""
 SELECT l_orderkey, l_linenumber, {side(_LINE_KEY)} AS split FROM lineitem"""
 

@@ -28,6 +28,11 @@ def listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     A folder that does not exist holds no files.
     """
+    return stamped_listing(spark, path).drop("modified")
+
+
+def stamped_listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """:func:`listing` with the time at which each file was ``modified``."""
     paths = [path] if isinstance(path, str) else list(path)
     reader = (
         spark.read.format("binaryFile")
@@ -35,11 +40,11 @@ def listing(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         .option("pathGlobFilter", "*.parquet")
     )
     try:
-        return reader.load(paths).select("path", F.col("length").alias("bytes"))
+        return reader.load(paths).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return local_table(spark, [], "path string, bytes bigint")
+        return local_table(spark, [], "path string, bytes bigint, modified timestamp")
 
 
 def file_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -70,8 +75,8 @@ def _decoded(column: str) -> Column:
     return F.url_decode(F.regexp_replace(F.col(column), r"\+", "%2B"))
 
 
-def schema_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Number of files per distinct schema; one footer per file is read, on the executors."""
+def schemas_of(files: DataFrame) -> DataFrame:
+    """``path`` and ``schema`` of Parquet files; one footer per file is read, on the executors."""
 
     def footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
@@ -86,15 +91,14 @@ def schema_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
                 name = re.sub(r"^s3[an]://", "s3://", name)
                 store, inside = fs.FileSystem.from_uri(name)
                 schemas.append(str(pq.read_schema(inside, filesystem=store)))
-            yield pd.DataFrame({"schema": schemas})
+            yield frame[["path"]].assign(schema=schemas)
 
-    return (
-        listing(spark, path)
-        .select("path")
-        .mapInPandas(footers, "schema string")
-        .groupBy("schema")
-        .agg(F.count(F.lit(1)).alias("files"))
-    )
+    return files.select("path").mapInPandas(footers, "path string, schema string")
+
+
+def schema_census(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Number of files per distinct schema."""
+    return schemas_of(listing(spark, path)).groupBy("schema").agg(F.count(F.lit(1)).alias("files"))
 
 
 def class_census(df: DataFrame, label_col: str, by: Sequence[str] = ()) -> DataFrame:
