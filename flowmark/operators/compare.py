@@ -11,6 +11,13 @@ from flowmark.fixed_values import (
     CHART_PHASES,
     PHASES,
     QUALITY_METRICS,
+    STATUS_COLLAPSED,
+    STATUS_COMPARABLE,
+    STATUS_CONTEXT,
+    STATUS_EXCLUDED,
+    STATUS_INVALID,
+    STATUS_MISSING,
+    STATUS_UNMEASURED,
     TIMING_SOURCES,
     VARIANCE_METRICS,
 )
@@ -112,15 +119,15 @@ def with_status(cells: DataFrame) -> DataFrame:
     metric = F.col("metric")
     return cells.withColumn(
         "comparison_status",
-        F.when(F.col("status") == "excluded", F.lit("excluded-paper-erratum"))
-        .when(metric.startswith("gpu_") | metric.contains("_mr_"), F.lit("unmeasured-backend"))
-        .when(F.col("reproduced_value").isNull(), F.lit("missing-run-result"))
-        .when(~F.col("evaluation_valid"), F.lit("invalid-run-result"))
+        F.when(F.col("status") == "excluded", F.lit(STATUS_EXCLUDED))
+        .when(metric.startswith("gpu_") | metric.contains("_mr_"), F.lit(STATUS_UNMEASURED))
+        .when(F.col("reproduced_value").isNull(), F.lit(STATUS_MISSING))
+        .when(~F.col("evaluation_valid"), F.lit(STATUS_INVALID))
         .when(
-            F.col("collapse_flag") & (F.col("unit") == "fraction"), F.lit("collapsed-run-result")
+            F.col("collapse_flag") & (F.col("unit") == "fraction"), F.lit(STATUS_COLLAPSED)
         )
-        .when(F.col("unit") == "seconds", F.lit("context-only-hardware-mismatch"))
-        .otherwise(F.lit("comparable")),
+        .when(F.col("unit") == "seconds", F.lit(STATUS_CONTEXT))
+        .otherwise(F.lit(STATUS_COMPARABLE)),
     )
 
 
@@ -138,7 +145,7 @@ def with_errors(cells: DataFrame) -> DataFrame:
 
 def with_grade(cells: DataFrame) -> DataFrame:
     """Grade of comparable accuracies, empty otherwise."""
-    graded = (F.col("metric") == "accuracy") & (F.col("comparison_status") == "comparable")
+    graded = (F.col("metric") == "accuracy") & (F.col("comparison_status") == STATUS_COMPARABLE)
     return cells.withColumn(
         "grade", F.when(graded, grade(F.col("absolute_percentage_points"))).otherwise(F.lit(""))
     )
@@ -146,7 +153,7 @@ def with_grade(cells: DataFrame) -> DataFrame:
 
 def _comparable(cells: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return cells.filter(
-        F.col("metric").isin(list(metrics)) & (F.col("comparison_status") == "comparable")
+        F.col("metric").isin(list(metrics)) & (F.col("comparison_status") == STATUS_COMPARABLE)
     )
 
 
@@ -275,7 +282,7 @@ def chart_published(cells: DataFrame) -> DataFrame:
     """Published and reproduced accuracy per model in long form."""
     shown = cells.filter(
         (F.col("metric") == "accuracy")
-        & F.col("comparison_status").isin("comparable", "collapsed-run-result")
+        & F.col("comparison_status").isin(STATUS_COMPARABLE, STATUS_COLLAPSED)
     )
     identity = F.concat_ws(
         " / ",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmark.fixed_values import HASH_BUCKETS
-from flowmark.functions.durable import BROADCAST_BYTES, side_table
+from flowmark.functions.durable import BROADCAST_BYTES, durable, side_table
 from flowmark.functions.ordered import global_index
 
 #: Most frequent values per column that are joined by broadcast.
@@ -109,6 +109,52 @@ def unseen_categories(fit: DataFrame, other: DataFrame, columns: Sequence[str])
     )
 
 
+#: Bits of a membership filter for each value, bits set by a value, and the largest filter in words of 64 bits.
+FILTER_BITS, FILTER_MARKS, FILTER_WORDS = 12, 3, 1 << 20
+
+
+def _filter_place(column: Column, value: Column, words: int) -> tuple[Column, Column]:
+    """The word of a value in a membership filter, and the bits it sets there."""
+    place = F.pmod(F.xxhash64(F.lit(0), column, value), F.lit(words))
+    bits = F.lit(0).cast("bigint")
+    for i in range(1, FILTER_MARKS + 1):
+        at = F.pmod(F.xxhash64(F.lit(i), column, value), F.lit(64)).cast("int")
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), at))
+    return place, bits
+
+
+def membership_filter(values: DataFrame, words: int) -> DataFrame:
+    """A Bloom filter of ``(column, value)`` rows: ``place`` and its 64 ``bits``, put together by the tasks."""
+    place, bits = _filter_place(F.col("column"), F.col("value"), words)
+    return values.groupBy(place.alias("place")).agg(F.bit_or(bits).alias("bits"))
+
+
+def unseen_by_filter(fit: DataFrame, other: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """:func:`unseen_categories` by way of a membership filter.
+
+    Rows of ``other`` that a filter of the values of ``fit`` does not know are unseen for sure, and counted where they
+    are. Only the rest is counted by value and confirmed by a join, so the more rows are unseen, the less is moved.
+    The filter is broadcast; values too many for ``FILTER_WORDS`` share words, which costs false alarms, not results.
+    """
+    known = durable(value_counts(fit, columns).select("column", "value").filter(F.col("value").isNotNull()))
+    words = max(1, min(FILTER_WORDS, -(-known.count() * FILTER_BITS // 64)))
+    table = membership_filter(known, words).select("place", "bits")  # at most FILTER_WORDS rows of two numbers
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
+    rows = other.select(pairs.alias("__p")).select("__p.*")
+    place, bits = _filter_place(F.col("column"), F.col("value"), words)
+    looked = rows.withColumns({"place": place, "__own": bits}).join(F.broadcast(table), "place", "left")
+    maybe = F.coalesce(F.col("bits").bitwiseAND(F.col("__own")) == F.col("__own"), F.lit(False)) & F.col("value").isNotNull()
+    # one row per column for what is unseen for sure, one per value for the rest
+    counted = looked.groupBy("column", maybe.alias("maybe"), F.when(maybe, F.col("value")).alias("value")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    counted = durable(counted)
+    strange = counted.filter("maybe").join(known, ["column", "value"], "left_anti")
+    zeros = fit.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"), F.lit(0).cast("bigint").alias("n"))
+    sure = counted.filter("NOT maybe").select("column", "n")
+    return sure.unionByName(strange.select("column", "n")).unionByName(zeros).groupBy("column").agg(F.sum("n").alias("rows"))
+
+
 def hash_load(df: DataFrame, columns: Sequence[str], buckets: int = HASH_BUCKETS) -> DataFrame:
     """Distinct values per hashed column and how full the shared buckets are."""
     counted = value_counts(df, columns).groupBy("column").agg(F.count("value").alias("d"))

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from flowmark.fixed_values import (
     DATASET_2022,
+    POLICY_CAP,
+    POLICY_FULL,
+    POLICY_REDUCTION,
     PROTECTED_CLASSES,
     REDUCTION,
     SEED,
@@ -329,7 +332,7 @@ def sample_metadata(
     shielded = F.col(label).isin(list(protected))
     entry = F.struct(F.col(label).alias("key"), F.col("quota").alias("value"))
     return quota_table.groupBy(*by).agg(
-        F.lit("paper-reported-reduction").alias("policy"),
+        F.lit(POLICY_REDUCTION).alias("policy"),
         F.max(cut).alias("reported_reduction"),
         F.sum("n").alias("source_rows"),
         F.sum("quota").alias("target_rows"),
@@ -391,11 +394,11 @@ def sample_policy(
 ) -> dict:
     """How a task is sampled; equal policies give equal samples of a task."""
     if profile == "development":
-        return {"policy": "development-class-cap", "cap_per_class": cap}
+        return {"policy": POLICY_CAP, "cap_per_class": cap}
     if method == "paper-compatible" and dataset == reduced_dataset:
         cut = (reduction or REDUCTION)[stage, task]
-        return {"policy": "paper-reported-reduction", "reported_reduction": cut}
-    return {"policy": "full-eligible-data"}
+        return {"policy": POLICY_REDUCTION, "reported_reduction": cut}
+    return {"policy": POLICY_FULL}
 
 
 def split_column(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from flowmark.functions.durable import compact, ensure_checkpoint_dir, local_table, side_table
 from flowmark.functions.scalars import text_value
+from flowmark.operators import auroc_state as A
 from flowmark.operators import compare as C
 from flowmark.operators import metrics as M
 from flowmark.operators import profile as P
@@ -418,6 +419,14 @@ def unseen_categories(spark, sf_dir):
     return P.unseen_categories(train, test, ["c_name", "c_mktsegment"])
 
 
+@register
+def unseen_by_filter(spark, sf_dir):
+    """Unseen categories by way of a membership filter."""
+    both = X.hash_split(table(spark, sf_dir, "customer"), ["c_custkey"], kind="md5")
+    train, test = both.filter("split = 'train'"), both.filter("split = 'test'")
+    return P.unseen_by_filter(train, test, ["c_name", "c_mktsegment"])
+
+
 @register
 def hash_load(spark, sf_dir):
     load = P.hash_load(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
@@ -538,6 +547,24 @@ def auroc_binary(spark, sf_dir):
     return rounded(M.auroc(frames, F.col("value"), F.col("label") == 1.0, ["task"]), digits=9)
 
 
+@register
+def auroc_interval(spark, sf_dir):
+    """Exact AUROC of the binary tasks, and whether the interval of a merged state holds it and is narrow.
+
+    The state of one half of the events has the bins; the other half is counted under them."""
+    frames = build_task_frames(event_flows(spark, sf_dir), [EVENTS]).filter("kind = 'binary'")
+    scored = A.scored_rows(frames, F.col("value"), F.col("label") == 1.0, ["task", "event_id"])
+    scored = scored.withColumn("identity", F.to_json(F.struct("task")))
+    halves = [scored.filter(F.col("event_id") % 2 == i).drop("event_id") for i in (0, 1)]
+    first, edges = A.fit_state(halves[0], ["task"], width=1e-3)
+    found = A.bounds(A.merged([first, A.histogram(halves[1], edges, ["task"])], ["task"]), ["task"])
+    exact = M.auroc(frames, F.col("value"), F.col("label") == 1.0, ["task"]).select("task", "auroc")
+    held = (F.col("auroc") >= F.col("lower") - 1e-12) & (F.col("auroc") <= F.col("upper") + 1e-12)
+    return exact.join(found, "task").select(
+        "task", F.round("auroc", 9).alias("auroc"), held.alias("held"), (F.col("width") < 0.01).alias("narrow")
+    )
+
+
 @register
 def auroc_skewed_scores(spark, sf_dir):
     """Few distinct scores, one of them in a third of the rows."""

@@ -279,6 +279,8 @@ UNION ALL
 SELECT 'c_mktsegment', count(*)::BIGINT FROM test
 WHERE c_mktsegment NOT IN (SELECT c_mktsegment FROM train)"""
 
+ORACLES["unseen_by_filter"] = ORACLES["unseen_categories"]
+
 ORACLES["hash_load"] = """
 WITH d AS (
   SELECT count(DISTINCT c_name) AS a, count(DISTINCT c_mktsegment) AS b FROM customer)
@@ -473,6 +475,8 @@ scored AS (SELECT task, value AS score, label = 1 AS hit FROM tasks WHERE kind =
 {rank_sum("scored", "task")}
 SELECT task, positives, negatives, round(auroc, 9)::DOUBLE AS auroc FROM scored_areas"""
 
+ORACLES["auroc_interval"] = f"SELECT task, auroc, TRUE AS held, TRUE AS narrow FROM ({ORACLES['auroc_binary']})"
+
 ORACLES["auroc_skewed_scores"] = f"""
 WITH scored AS (
   SELECT l_linestatus, CASE WHEN l_quantity <= 17 THEN 0 ELSE l_discount END AS score,

@@ -23,30 +23,31 @@ def evaluate(spark, truth, guess, labels):
 
 
 def test_attack_and_weighted_views(spark):
-    total, classes, matrix = evaluate(spark, [0, 0, 1, 1], [0, 1, 1, 1], [0, 1])
-    assert matrix == [[1, 1], [0, 2]]
-    assert total.accuracy == 0.75
-    assert total.attack_precision == pytest.approx(2 / 3)
-    assert total.attack_recall == 1.0
-    assert total.attack_fpr == 0.5
-    assert total.weighted_fpr == pytest.approx(0.25)
-    assert classes[1.0].predicted_support == 3
-    assert sum(r.support for r in classes.values()) == total.test_rows == 4
-    assert total.predicted_support_json == '{"0.0":1,"1.0":3}'
+    truth, guess = [0] * 5 + [1] * 3 + [0] * 2, [0] * 4 + [1] + [1] * 2 + [0] + [1, 0]
+    total, classes, matrix = evaluate(spark, truth, guess, [0, 1])
+    assert matrix == [[5, 2], [1, 2]]
+    assert total.accuracy == 0.7
+    assert total.attack_precision == 0.5
+    assert total.attack_recall == pytest.approx(2 / 3)
+    assert total.attack_fpr == pytest.approx(2 / 7)
+    assert total.weighted_fpr == pytest.approx(0.7 * (1 / 3) + 0.3 * (2 / 7))
+    assert classes[1.0].predicted_support == 4
+    assert sum(r.support for r in classes.values()) == total.test_rows == 10
+    assert total.predicted_support_json == '{"0.0":6,"1.0":4}'
 
 
 def test_no_division_by_zero_and_collapse(spark):
-    total, classes, _ = evaluate(spark, [0, 0, 1], [0, 0, 0], [0, 1])
-    assert (total.attack_precision, total.attack_recall, total.attack_fpr) == (0.0, 0.0, 0.0)
-    assert classes[1.0].f1 == 0.0 and classes[1.0].predicted_support == 0
+    total, classes, _ = evaluate(spark, [1, 0, 2, 2, 0], [0, 0, 2, 2, 0], [0, 1, 2])
+    assert classes[1.0].f1 == 0.0 and classes[1.0].precision == 0.0 and classes[1.0].predicted_support == 0
+    assert classes[2.0].f1 == 1.0
     assert total.collapse_flag
     assert total.collapse_reason == "zero predictions or recall for supported labels: 1.0"
     assert total.evaluation_valid and total.evaluation_warning == ""
 
 
 def test_missing_class_is_not_valid(spark):
-    total, _, matrix = evaluate(spark, [0, 0], [0, 0], [0, 1])
-    assert matrix == [[2, 0], [0, 0]]
+    total, _, matrix = evaluate(spark, [0, 0, 0, 2], [0, 2, 0, 2], [0, 1, 2])
+    assert matrix == [[2, 0, 1], [0, 0, 0], [0, 0, 1]]
     assert not total.evaluation_valid
     assert total.evaluation_warning == "no test support for labels: 1.0"
     assert not total.collapse_flag
