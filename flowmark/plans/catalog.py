@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowmark.functions.durable import compact, ensure_checkpoint_dir, local_table, side_table
 from flowmark.functions.scalars import text_value
@@ -34,9 +35,10 @@ from flowmark.operators.tasks import (
     build_task_frames,
     task_labels,
 )
-from flowmark.plans.audit import METRIC_SCHEMA
+from flowmark.plans.audit import METRIC_SCHEMA, TIMING_SCHEMA, audit_run
 from flowmark.plans.experiment import run
 from flowmark.sources import scan as S
+from flowmark.sources.artifacts import publish_run, read_table
 from flowmark.sources.ledger import CensusLedger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -922,8 +924,8 @@ def _model_results(spark, sf_dir):
     return scored, side_table(results)  # one row per model, read several times
 
 
-def _comparison(spark, sf_dir):
-    """Results on the test side against those on the train side, which stand for the published."""
+def _comparison_parts(spark, sf_dir):
+    """Published cells, metrics and timings: results on the train side stand for the published ones."""
     scored, results = _model_results(spark, sf_dir)
     published = C.long_metrics(results.filter("split = 'train'")).select(
         *C.MODEL, "metric", F.col("value").alias("paper_value"), F.lit("fraction").alias("unit")
@@ -951,6 +953,12 @@ def _comparison(spark, sf_dir):
         F.lit(None).cast("double").alias("evaluation_seconds"),
     )
     metrics = results.filter("split = 'test'").drop("split")
+    return reference, metrics, timings
+
+
+def _comparison(spark, sf_dir):
+    """Results on the test side against those on the train side."""
+    reference, metrics, timings = _comparison_parts(spark, sf_dir)
     return C.compare(reference, metrics, None, timings), metrics
 
 
@@ -966,6 +974,30 @@ def comparison_status(spark, sf_dir):
     return rounded(cells)
 
 
+def _filled(df, schema):
+    """``df`` with the columns of ``schema``, null where it has none."""
+    fields = T.StructType.fromDDL(schema).fields
+    return df.select(
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    )
+
+
+@register
+def published_audit(spark, sf_dir):
+    """A run written as files, found complete by its manifest, read back, audited, and the audit read back."""
+    reference, metrics, timings = _comparison_parts(spark, sf_dir)
+    tables = {"metrics": _filled(metrics, METRIC_SCHEMA), "timings": _filled(timings, TIMING_SCHEMA)}
+    manifest = {"config": {"method": "corrected", "profile": "full"}}
+    base = publish_run(spark, tables, _shared_folder(spark, "runs"), "run", manifest)
+    cells = audit_run(spark, base, reference)["paper_comparison"]
+    protocol = read_table(spark, f"{base}/audit_protocol", "setting string, value string")
+    method = protocol.filter("setting = 'method'").select(F.col("value").alias("method"))
+    back = read_table(spark, f"{base}/paper_comparison", cells.schema)
+    # CSV has one form for null and for empty text, which is what cells without a grade have
+    back = back.withColumn("grade", F.coalesce("grade", F.lit("")))
+    return rounded(back).crossJoin(F.broadcast(method))
+
+
 @register
 def error_summary(spark, sf_dir):
     return rounded(C.error_summary(_comparison(spark, sf_dir)[0]))

@@ -818,3 +818,5 @@ UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE {side("vec_id::VAR
 ORACLES["svm_separable"] = f"""
 SELECT 1.0::DOUBLE AS accuracy, count(*)::BIGINT AS test_rows FROM lineitem
 WHERE {side(_LINE_KEY)} = 'test'"""
+
+ORACLES["published_audit"] = f"SELECT *, 'corrected' AS method FROM ({ORACLES['comparison_status']})"

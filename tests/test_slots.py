@@ -77,3 +77,23 @@ def test_content_split_does_not_depend_on_partitions(spark, monkeypatch):
     assert content_split(df, seed=1).exceptAll(content_split(df, seed=2)).count() > 0
     with pytest.raises(ValueError, match="compared"):
         content_split(df.withColumn("m", F.create_map(F.lit(1), F.lit(2))))
+
+
+def test_literal_hashes(spark):
+    """Hashes that samples and splits rest on, as the engine's own functions of a fixed key and seed give them."""
+    from flowmark.functions.keys import seeded_hash
+
+    row = spark.range(1).select(
+        seeded_hash(F.lit("u1"), 42, "xxhash64").alias("x"),
+        seeded_hash(F.lit(None).cast("string"), 42, "xxhash64").alias("n"),
+        seeded_hash(F.lit("u1"), 42, "md5").alias("m"),
+        F.expr("xxhash64('u1', 42)").alias("own"),
+    ).first()
+    import hashlib
+
+    assert row.m == int(hashlib.md5(b"u1|42").hexdigest()[:15], 16)
+    assert row.x == row.own == XX_U1 and row.n == XX_NULL
+
+
+# xxhash64 of ('u1', 42) and of (null, 42).
+XX_U1, XX_NULL = -7446812027144818283, -387659249110444264
