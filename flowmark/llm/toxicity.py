@@ -304,7 +304,7 @@ def _words(column: pa.Array) -> Words:
     return Words(*blocks[0][1:])
 
 
-def within_budget(rows: list[tuple], budget: int = SAMPLE_BYTES) -> list[tuple]:
+def within_budget(rows: list[tuple], budget: int) -> list[tuple]:
     """Ids of ``(id, label, bytes, ...)`` whose texts have room in ``budget`` bytes a label, in order;
     the shortest text of a label always has."""
     shortest, used, out = {}, {}, []
@@ -320,8 +320,10 @@ def within_budget(rows: list[tuple], budget: int = SAMPLE_BYTES) -> list[tuple]:
     return out
 
 
-def _fitted(docs: DataFrame, learned: DataFrame, sample: int, epochs: int, id_col: str, text_col: str) -> Network:
-    """A network fitted to at most ``sample`` whole texts of either label, of any length."""
+def _fitted(
+    docs: DataFrame, learned: DataFrame, sample: int, sample_bytes: int, epochs: int, id_col: str, text_col: str
+) -> Network:
+    """A network fitted to at most ``sample`` whole texts of either label, ``sample_bytes`` in all."""
     counts = {r["good"]: r["count"] for r in learned.groupBy("good").count().collect()}
     share = counts.get(True, 0) / max(1, sum(counts.values()))
     ids = [tuple(r) for r in sample_per_label(learned, sample).collect()]
@@ -339,7 +341,7 @@ def _fitted(docs: DataFrame, learned: DataFrame, sample: int, epochs: int, id_co
     )
     # lengths only, a row per drawn text; a text past the budget leaves room for shorter ones after it
     lengths = drawn.select("doc_id", "good", F.octet_length("text"), F.xxhash64("doc_id").alias("at"))
-    fits = within_budget([tuple(r) for r in lengths.orderBy("at", "doc_id").collect()])
+    fits = within_budget([tuple(r) for r in lengths.orderBy("at", "doc_id").collect()], sample_bytes)
     table = (
         drawn.join(known_rows(docs.sparkSession, fits, "doc_id long"), "doc_id").orderBy("doc_id").toArrow()
     )
@@ -356,18 +358,20 @@ def toxicity_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     sample: int = SAMPLE,
+    sample_bytes: int = SAMPLE_BYTES,
     epochs: int = EPOCHS,
 ) -> DataFrame:
     """``doc_id``, ``row`` and ``score`` (0 to 1, higher: label 1 likelier) of every row of ``docs``.
 
     ``held_out`` makes a condition of an id column; labels of such ids are not looked at. The
-    network learns from at most ``sample`` whole texts of either label, in all ``SAMPLE_BYTES`` of a label.
+    network learns from at most ``sample`` whole texts of either label, of at most ``sample_bytes`` in all
+    for a label (one text counts always); the driver holds no more of the documents.
     A null, empty or blank text has the part of label 1 as its score, and so has every text where
     labels of one kind are missing (0 without labels). Equal texts have equal scores. No rows, no scores.
     """
     ship(docs.sparkSession)
     network = _fitted(
-        docs, labels_of(labels, label_col, held_out), sample, epochs, id_col, text_col
+        docs, labels_of(labels, label_col, held_out), sample, sample_bytes, epochs, id_col, text_col
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,3 +153,9 @@ def test_toxicity_learns_from_long_texts(spark):
 def test_budget_of_bytes_keeps_a_text_of_either_label():
     rows = [(1, True, 90), (2, True, 20), (3, False, 500), (4, True, 70), (5, False, 900)]
     assert sorted(toxicity.within_budget(rows, 100)) == [(2,), (3,), (4,)]
+
+
+def test_the_byte_budget_keeps_whole_texts_and_one_of_each_label():
+    rows = [(1, True, 50, 0), (2, True, 200, 0), (3, False, 90, 0), (4, True, 60, 0), (5, True, 10, 0), (6, False, 95, 0)]
+    assert sorted(toxicity.within_budget(rows, 100)) == [(1,), (3,), (5,)]
+    assert sorted(toxicity.within_budget(rows, 0)) == [(3,), (5,)]
