@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmark.fixed_values import SWEEP_ITERATIONS, SWEEP_THRESHOLDS
@@ -80,11 +80,18 @@ def fit_svm(
 def predict(model: SvmModel, df: DataFrame) -> DataFrame:
     """Label, prediction and raw scores; other columns of ``df`` but the features are kept."""
     scored = with_scores(df, model.machines, model.fits).drop("features")
-    if model.threshold is not None:
-        both = F.array(-F.col("scores")[0], F.col("scores")[0])
-        return at_threshold(scored.withColumn("scores", both), model.threshold)
-    highest = F.array_position("scores", F.array_max("scores")) - 1
-    return scored.withColumn("prediction", highest.cast("double"))
+    return _judged(scored, F.lit(model.threshold) if model.threshold is not None else None)
+
+
+def _judged(scored: DataFrame, threshold: Column | None) -> DataFrame:
+    """Scores of both sides and the prediction by the threshold, or the class with the highest score without one."""
+    if threshold is None:
+        highest = F.array_position("scores", F.array_max("scores")) - 1
+        return scored.withColumn("prediction", highest.cast("double"))
+    score = F.col("scores")[0]
+    return scored.withColumns(
+        {"prediction": (score > threshold).cast("double"), "scores": F.array(-score, score)}
+    )
 
 
 def evaluate_auroc(
@@ -131,16 +138,26 @@ def sweep(
     One fit at the largest number of iterations; smaller ones are its snapshots. Thresholds only move the cut
     on the raw score, and have no effect on the class with the highest score.
     """
-    longest = fit_svm(train, kind, max(iterations), 0.0, iterations)
-    predicted, diagnosed = None, []
-    for max_iter in iterations:
-        model = longest.after(max_iter, 0.0)
-        scored = predict(model, test)
-        diagnosed += diagnostic_rows(model, max_iter)
-        for threshold in thresholds:
-            cut = at_threshold(scored, threshold) if kind == "binary" else scored
-            cut = cut.select(
-                F.lit(max_iter).alias("svm_max_iter"), F.lit(threshold).alias("svm_threshold"), "*"
-            )
-            predicted = cut if predicted is None else predicted.unionByName(cut)
-    return predicted, diagnosed
+    model = fit_svm(train, kind, max(iterations), 0.0, iterations)
+    snapshots = [model.after(n, 0.0) for n in iterations]
+    diagnosed = [row for n, own in zip(iterations, snapshots) for row in diagnostic_rows(own, n)]
+    # the test rows are read once: every machine of every snapshot scores them side by side
+    machines = [m for own in snapshots for m in own.machines]
+    scored = with_scores(test, machines, [f for own in snapshots for f in own.fits]).drop("features")
+    width = len(model.machines)
+    setting = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(n).alias("svm_max_iter"), F.lit(t).alias("svm_threshold"), F.lit(i * width + 1).alias("at")
+                )
+                for i, n in enumerate(iterations)
+                for t in thresholds
+            ]
+        )
+    )
+    others = [c for c in scored.columns if c != "scores"]
+    each = scored.select(setting.alias("__s"), *others, "scores").select(
+        "__s.svm_max_iter", "__s.svm_threshold", *others, F.slice("scores", F.col("__s.at"), width).alias("scores")
+    )
+    return _judged(each, F.col("svm_threshold") if kind == "binary" else None), diagnosed

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowmark.functions.durable import compact, ensure_checkpoint_dir, local_table, side_table
+from flowmark.functions.durable import compact, durable, ensure_checkpoint_dir, local_table, side_table
 from flowmark.functions.scalars import text_value
 from flowmark.operators import auroc_state as A
 from flowmark.operators import compare as C
@@ -775,12 +775,10 @@ def _text_features(text: str) -> list[Column]:
 
 def _quality_features(spark, sf_dir):
     """Quality labels of documents with features of their whole texts, language and source."""
-    labelled = table(spark, sf_dir, "documents").join(
-        table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id"
-    )
-    labelled = labelled.select(
-        "doc_id", F.col("quality").cast("double").alias("label"), "lang", "source", *_text_features("text")
-    )
+    # texts are read once, before anything is shuffled; the numbers are kept for the fits
+    described = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", *_text_features("text"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    labelled = durable(described.join(labels, "doc_id"))
     train, test = _sides(labelled, "doc_id")
     model = fit_features(train, policy("corrected", labels=("doc_id", "label")))
     return model.transform(train, ("label",)), model.transform(test, ("label",))
