@@ -8,6 +8,7 @@ all paths. Scanning again after a change of one rule scans only that rule.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmark.functions.durable import durable
-from flowmark.llm.common import texts
+from flowmark.llm.common import stored, texts
 
 
 class Rule(NamedTuple):
@@ -133,6 +134,26 @@ def scan(
     return Scan(paths.drop("text"), seen, placed)
 
 
+def scan_in_turn(
+    parts: Sequence[DataFrame],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    rules: tuple[Rule, ...] = BASE_RULES,
+) -> DataFrame:
+    """:func:`findings_by_path` of tables that come one after the other. Ledger and findings of each are stored
+    before the next is scanned, which then scans only blobs that none before it had."""
+    ledger, findings, paths = None, None, []
+    for part in parts:
+        result = scan(part, ledger, findings, id_col, text_col, rules)
+        ledger, findings = stored(result.ledger), stored(result.findings)
+        paths.append(result.paths)
+    found = durable(by_blob(findings, rules))
+    whole = paths[0]
+    for more in paths[1:]:
+        whole = whole.unionByName(more)
+    return _on_paths(whole, found, rules)
+
+
 def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """Per blob: ``n_<kind>``, and ``spans``, a text of kind:start:end by start, then kind as listed.
 
@@ -172,10 +193,13 @@ def by_blob(findings: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFr
 
 def findings_by_path(result: Scan, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """One row per path and version: ``doc_id``, ``row``, ``blob``, counts, ``found``, ``spans``."""
-    counts = [f"n_{r.kind}" for r in rules]
     # kept first: the join then only shuffles its sides, and Spark can split a blob of many paths
-    found = durable(by_blob(result.findings, rules))
-    return result.paths.join(found, "blob", "left").select(
+    return _on_paths(result.paths, durable(by_blob(result.findings, rules)), rules)
+
+
+def _on_paths(paths: DataFrame, found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    counts = [f"n_{r.kind}" for r in rules]
+    return paths.join(found, "blob", "left").select(
         "doc_id",
         "row",
         "blob",

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from flowmark.llm import exact_dedup, kd_shards, secrets
 
 from .tables import awkward, awkward_rows, empty
@@ -137,3 +139,14 @@ def test_no_rows(spark):
     assert secrets.without_secrets(empty(spark)).count() == 0
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
     assert kd_shards.kd_shards(empty(spark), ("n_chars",), n_shards=4).count() == 0
+
+
+def test_parts_in_turn_find_what_one_scan_finds(spark):
+    docs = awkward(spark)
+    names = ["doc_id", "blob", "n_assign", "n_access", "n_hex", "spans"]
+    whole = secrets.findings_by_path(secrets.scan(docs)).select(*names)
+    parts = [docs.filter(F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == i) for i in range(3)]
+    turns = secrets.scan_in_turn([*parts, empty(spark)]).select(*names)
+    assert sorted(map(str, turns.collect())) == sorted(map(str, whole.collect()))
+    again = secrets.scan_in_turn([docs, docs]).select(*names)
+    assert again.count() == 2 * whole.count() and again.distinct().count() == whole.distinct().count()
