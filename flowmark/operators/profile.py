@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowmark.fixed_values import HASH_BUCKETS
 from flowmark.functions.durable import BROADCAST_BYTES, durable, side_table
@@ -67,7 +68,7 @@ def index_column(df: DataFrame, column: str, own: Lookup, output: str) -> DataFr
     """Replace values by their index as a double; unseen values get the number of known ones.
 
     The most frequent values are looked up by broadcast, the others by a join on the value. Rows that
-    were found (or are null) take part in that join under a key of their own that matches nothing and
+    were found (or are null) take part in that join under a hash of their columns that matches nothing and
     spreads them, so the input is read once however many columns are indexed one after the other,
     and no value in the join can hold more than one part in ``head`` of the rows.
     """
@@ -78,7 +79,9 @@ def index_column(df: DataFrame, column: str, own: Lookup, output: str) -> DataFr
         out = df.join(top, df[column] == top["__value"], "left").drop("__value")
     if own.known > own.head:
         missed = F.col("__index").isNull() & F.col(column).isNotNull()
-        spread = F.concat(F.lit("-"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))
+        # by content, so that a task that runs again deals its rows out as before; Spark splits a key of equal rows
+        plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType, T.UserDefinedType))]
+        spread = F.concat(F.lit("-"), F.xxhash64(*plain).cast("string"))
         rare = table.filter(F.col("__index") >= own.head).select(
             F.concat(F.lit("="), "__value").alias("__other"), F.col("__index").alias("__rare")
         )
