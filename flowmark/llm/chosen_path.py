@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from flowmark.functions.durable import durable
 from flowmark.functions.ship import ship
-from flowmark.llm.common import settled, texts
+from flowmark.llm.common import gathered, settled, texts
 from flowmark.llm.components import components
 from flowmark.llm.hashing import mix, runs_of, text_blocks, word_hashes, word_spans
 
@@ -47,8 +48,11 @@ ROW_PAIRS = 1_000
 PART = 2_000
 #: Sketch positions that have to agree for a pair to be looked at on full sets.
 AGREE = 32
-#: Classes of a component confirmed in one task.
+#: Classes of a component confirmed in one task, and sets that one is compared with at once.
 BLOCK = 1500
+TOGETHER = 256
+#: Rows of small tables that one task reads.
+NODE_ROWS = 200_000
 
 _SEEDS = np.random.default_rng(77).integers(0, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(
     2
@@ -101,13 +105,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, POSITIONS)
 
 
-def _member_batches(nodes: list[np.ndarray], classes: np.ndarray) -> pa.RecordBatch:
+def _member_batches(nodes: list[np.ndarray], **columns: np.ndarray) -> pa.RecordBatch:
+    """The branches of classes, each with what is known of its class."""
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate(nodes).view(np.int64)),
-            pa.array(np.tile(classes, len(nodes))),
-        ],
-        names=["node", "cls"],
+        [pa.array(np.concatenate(nodes).view(np.int64))]
+        + [pa.array(np.tile(column, len(nodes))) for column in columns.values()],
+        names=["node", *columns],
     )
 
 
@@ -236,7 +239,13 @@ def _candidates(classes: DataFrame) -> DataFrame:
     the first. That joins the bulk of a large group of near copies, whose members no tree could tell
     apart, by one link each. From there on only classes of different components are compared: in
     nodes with few such pairs all of them, while nodes with many branch on.
+
+    The nodes that are to be compared are gathered first, from all rounds or depths, and compared in one
+    step. ``classes`` has to be a checkpoint.
     """
+    branching = TREES * BRANCHES
+    rows = classes.count()
+    classes = gathered(classes, rows, NODE_ROWS)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,16 +256,15 @@ def _candidates(classes: DataFrame) -> DataFrame:
                 for tree in trees
                 for child in _children(np.full(len(ids), tree), sketches, 0)
             ]
-            yield _member_batches(nodes, ids)
+            yield _member_batches(nodes, cls=ids)
 
     def down(depth: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 nodes = batch.column("node").to_numpy().view(np.uint64)
+                known = {c: batch.column(c).to_numpy() for c in ("cls", "component")}
                 sketches = _matrix(batch.column("sketch"))
-                yield _member_batches(
-                    _children(nodes, sketches, depth), batch.column("cls").to_numpy()
-                )
+                yield _member_batches(_children(nodes, sketches, depth), **known)
 
         return run
 
@@ -267,34 +275,40 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
     def sized(members: DataFrame) -> DataFrame:
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        return durable(members.join(sizes, "node"))
+        return gathered(durable(members.join(sizes, "node")), rows * branching, NODE_ROWS)
 
     def part_of(node: Column, number: Column) -> Column:
         return F.when(number == 0, node).otherwise(F.xxhash64(node, number))
 
-    members = sized(durable(classes.mapInArrow(roots, "node long, cls long")))
-    found, stars = None, members
+    members = gathered(
+        durable(classes.mapInArrow(roots, "node long, cls long")), rows * branching, NODE_ROWS
+    )
+    members = stars = sized(members)
+    dealt = []
     while True:
         # large nodes in parts: their rows meet the first of a part, the first ones meet each other next
         parts = F.ceil(F.col("size") / PART)
         place = part_of(F.col("node"), F.pmod(F.xxhash64("cls"), parts))
-        star = by_node(stars.select(place.alias("node"), "cls"))
-        star = star.mapInArrow(_compare_nodes(SMALL_NODE), "a long, b long")
-        found = star if found is None else found.unionByName(star)
+        dealt.append(stars.select(place.alias("node"), "cls"))
         large = stars.filter(F.col("size") > PART)
         if large.isEmpty():
             break
         firsts = large.groupBy("node", place.alias("part")).agg(F.min("cls").alias("cls"))
-        stars = sized(firsts.select("node", "cls"))
-    links = durable(found.distinct())
-    joined = components(links).select(F.col("v").alias("cls"), F.col("root").alias("component"))
-    members = members.filter(F.col("size") > SMALL_NODE).select("node", "cls")
+        # the first ones of a node meet in a node of their own
+        stars = sized(firsts.select(F.xxhash64("node", F.lit(-len(dealt))).alias("node"), "cls"))
+    star = by_node(reduce(DataFrame.unionByName, dealt))
+    joined = components(star.mapInArrow(_compare_nodes(SMALL_NODE), "a long, b long"))
+    joined = joined.select(F.col("v").alias("cls"), F.col("root").alias("component"))
+    members = (
+        members.filter(F.col("size") > SMALL_NODE)
+        .select("node", "cls")
+        .join(joined, "cls", "left")
+        .withColumn("component", F.coalesce("component", "cls"))
+    )
+    dealt = []
     for depth in range(1, DEPTH + 1):
-        if members.isEmpty():
-            break
-        members = durable(
-            members.join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        )
+        most = rows * branching * BRANCHES ** (depth - 1)
+        members = gathered(durable(members), most, NODE_ROWS)
         mixed = (
             members.groupBy("node", "component")
             .agg(F.count(F.lit(1)).alias("n"))
@@ -308,35 +322,37 @@ def _candidates(classes: DataFrame) -> DataFrame:
             .filter("pairs > 0")
             .select("node", "size", "largest", "pairs")
         )
-        members = durable(members.join(mixed, "node"))
+        members = gathered(durable(members.join(mixed, "node")), most, NODE_ROWS)
         few = (F.col("pairs") <= NODE_PAIRS + ROW_PAIRS * F.col("size")) | F.lit(depth == DEPTH)
         # of a large node the largest component is dealt out to parts, and all else goes to every part
         parts = F.ceil(F.col("size") / PART)
         own = F.array(F.pmod(F.xxhash64("cls"), parts))
         every = F.sequence(F.lit(0).cast("long"), parts - 1)
         number = F.explode(F.when(F.col("component") == F.col("largest"), own).otherwise(every))
-        dealt = members.filter(few).select("node", "component", "cls", number.alias("part"))
-        across = by_node(
-            dealt.select(part_of(F.col("node"), F.col("part")).alias("node"), "component", "cls"),
-            "component",
-        ).mapInArrow(_compare_groups, "a long, b long")
-        links = links.unionByName(across)
-        if depth < DEPTH:
-            large = members.filter(~few).select("node", "cls")
-            below = large.join(classes, "cls").mapInArrow(down(depth), "node long, cls long")
-            members = sized(durable(below)).select("node", "cls")
-    return links.distinct()
+        numbered = members.filter(few).select("node", "component", "cls", number.alias("part"))
+        place = part_of(F.col("node"), F.col("part"))
+        dealt.append(numbered.select(place.alias("node"), "component", "cls"))
+        large = members.filter(~few).select("node", "component", "cls")
+        if depth == DEPTH or large.isEmpty():
+            break
+        members = large.join(classes, "cls").mapInArrow(
+            down(depth), "node long, cls long, component long"
+        )
+    across = by_node(reduce(DataFrame.unionByName, dealt), "component")
+    across = across.mapInArrow(_compare_groups, "a long, b long")
+    return joined.select(F.col("cls").alias("a"), F.col("component").alias("b")).unionByName(across)
 
 
 def _confirm(similarity: float):
     """Function that links the sets of one block, or of two, where they are similar enough."""
     part, whole = int(round(similarity * 10_000)), 10_000
 
-    def linked(a: np.ndarray, b: np.ndarray) -> bool:
-        if min(len(a), len(b)) * whole < part * max(len(a), len(b)):
-            return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both * whole >= part * (len(a) + len(b) - both)
+    def linked(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Which of the sorted sets ``others`` are similar to ``one``; no set is empty."""
+        sizes, flat = np.array([len(s) for s in others]), np.concatenate(others)
+        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        both = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        return both * whole >= part * (len(one) + sizes - both)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cls", ignore_index=True)
@@ -344,11 +360,11 @@ def _confirm(similarity: float):
         # a part of one block is only compared with the other block
         blocks, n = group["own"].to_numpy(), len(sets)
         apart = len(np.unique(blocks)) > 1
-        sketches = _sketches(sets)
+        sketches, sizes = _sketches(sets), np.array([len(s) for s in sets])
         parent = np.arange(n)
         out = []
         classes = group["cls"].to_numpy()
-        order = np.argsort([-len(s) for s in sets], kind="stable")
+        order = np.argsort(-sizes, kind="stable")
         for at, i in enumerate(order):
             rest = order[at + 1 :]
             rest = rest[parent[rest] != parent[i]]
@@ -356,12 +372,18 @@ def _confirm(similarity: float):
                 rest = rest[blocks[rest] != blocks[i]]
             if not len(rest):
                 continue
+            # sets that come later are no larger
+            rest = rest[sizes[rest] * whole >= part * sizes[i]]
             rest = rest[(sketches[rest] == sketches[i]).sum(1) >= AGREE]
-            for j in rest:
-                if parent[i] != parent[j] and linked(sets[i], sets[j]):
-                    low, high = sorted((parent[i], parent[j]))
-                    parent[parent == high] = low
-                    out.append((classes[i], classes[j]))
+            while len(rest):
+                some = rest[:TOGETHER]
+                for j in some[linked(sets[i], [sets[j] for j in some])]:
+                    if parent[i] != parent[j]:
+                        low, high = sorted((parent[i], parent[j]))
+                        parent[parent == high] = low
+                        out.append((classes[i], classes[j]))
+                rest = rest[TOGETHER:]
+                rest = rest[parent[rest] != parent[i]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run

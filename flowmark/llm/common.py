@@ -23,6 +23,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def gathered(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """``df``, read from a checkpoint and of at most ``rows`` rows, in fewer partitions: two for each core,
+    or more if a partition had more than ``most`` rows otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(2 * cores, -(-rows // most)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table into the checkpoint folder, and read from there."""
     spark = df.sparkSession
